@@ -28,21 +28,43 @@ def to_vectors(
 ) -> DataFrame:
     """One ``ARRAY<DOUBLE>`` per cell in the given feature order, zeros filled in.
 
-    A cell holds at most one entry per feature, so the collected list is as
-    long as the (selected) feature list. With ``cells`` given, cells without
-    any entry get a zero vector.
+    A pivot over the known feature list places each value by hash lookup, so
+    the cost per cell follows its non-zeros. With ``cells`` given, cells
+    without any entry get a zero vector.
     """
-    order = F.array(*[F.lit(f) for f in feature_order])
-    picked = expr.where(F.col("gene_id").isin(*feature_order))
-    packed = picked.groupBy("cell_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("gene_id", F.col(value).cast("double").alias("x")))
-        ).alias("_m")
+    wide = (
+        expr.where(F.col("gene_id").isin(*feature_order))
+        .groupBy("cell_id")
+        .pivot("gene_id", list(feature_order))
+        .agg(F.sum(F.col(value).cast("double")))
     )
     if cells is not None:
-        packed = cells.select("cell_id").join(packed, "cell_id", "left")
-    filled = F.transform(order, lambda g: F.coalesce(F.try_element_at(F.col("_m"), g), F.lit(0.0)))
-    return packed.select("cell_id", F.coalesce(filled, F.array_repeat(F.lit(0.0), len(feature_order))).alias(out))
+        wide = cells.select("cell_id").join(wide, "cell_id", "left")
+    filled = [F.coalesce(F.col(f"`{g}`"), F.lit(0.0)) for g in feature_order]
+    return wide.select("cell_id", F.array(*filled).alias(out))
+
+
+def to_sparse(
+    expr: DataFrame, features: DataFrame, value: str = "z", cells: DataFrame | None = None
+) -> DataFrame:
+    """Non-zeros of each cell as index and value arrays.
+
+    ``features`` maps gene_id to a zero-based ``idx``. A cell has at most one
+    entry per feature. With ``cells`` given, empty cells get empty arrays.
+    """
+    packed = (
+        expr.join(features.select("gene_id", F.col("idx").cast("int").alias("idx")), "gene_id")
+        .groupBy("cell_id")
+        .agg(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("x"))).alias("_e"))
+    )
+    if cells is not None:
+        packed = cells.join(packed, "cell_id", "left")
+    others = [c for c in packed.columns if c != "_e"]
+    return packed.select(
+        *others,
+        F.coalesce(F.col("_e.idx"), F.array().cast("array<int>")).alias("idx"),
+        F.coalesce(F.col("_e.x"), F.array().cast("array<double>")).alias("val"),
+    )
 
 
 def pick_layer(expr: DataFrame, layer: str) -> DataFrame:

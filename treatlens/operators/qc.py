@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from treatlens.functions import is_control, log1p_scaled, zscore
 from treatlens.operators.layout import to_vectors
+from treatlens.session import broadcast_if_small, cut_lineage
 
 DOMAIN_LIMIT = 4096
 
@@ -190,46 +191,82 @@ def control_flag(cells: DataFrame) -> Column:
     return is_control(F.col("perturbation_id"), condition)
 
 
-def treatment_shift(expr: DataFrame, cells: DataFrame, value: str = "z") -> DataFrame:
-    """Mean profile of each treatment minus the mean profile of the control cells.
+def group_profiles(
+    expr: DataFrame, cells: DataFrame, genes: DataFrame | None = None, value: str = "z"
+) -> DataFrame:
+    """Mean and variance of every gene in every treatment group, zeros included.
+
+    Columns: perturbation_id, gene_id, n_cells, n_present, mean, var, and per
+    gene global_mean, control_mean (NULL without control cells),
+    sum_of_means, n_groups, n_total, n_control.
 
-    Only (treatment, control flag, gene) sums are shuffled. Pairs without any
-    entry on either side are zero and left out.
+    One pass over ``expr``, combined on the map side to (treatment, gene); that
+    small table is written once and completed to all treatments of all genes.
     """
     tagged = cells.select("cell_id", "perturbation_id", control_flag(cells).alias("_ctl"))
-    joined = expr.join(tagged, "cell_id")
-    cube = joined.groupBy("perturbation_id", "_ctl", "gene_id").agg(F.sum(value).alias("s"))
-    sizes = tagged.groupBy("perturbation_id", "_ctl").agg(F.count(F.lit(1)).alias("n"))
-    control_n = sizes.where("_ctl").agg(F.sum("n").alias("n")).scalar()
-    control = cube.where("_ctl").groupBy("gene_id").agg(F.sum("s").alias("cs")).select(
-        "gene_id", (F.col("cs") / control_n).alias("control_mean")
+    present = cut_lineage(
+        expr.select("cell_id", "gene_id", F.col(value).alias("_v"))
+        .join(tagged, "cell_id")
+        .groupBy("perturbation_id", "gene_id")
+        .agg(
+            F.count("_v").alias("n_present"),
+            F.avg("_v").alias("_m"),
+            F.var_pop("_v").alias("_v2"),
+            F.sum(F.when(F.col("_ctl"), F.col("_v"))).alias("_cs"),
+        ),
+        "group-sums",
     )
-    group_n = sizes.groupBy("perturbation_id").agg(F.sum("n").alias("n"))
-    means = (
-        cube.groupBy("perturbation_id", "gene_id")
-        .agg(F.sum("s").alias("s"))
-        .join(group_n, "perturbation_id")
-        .select("perturbation_id", "gene_id", (F.col("s") / F.col("n")).alias("group_mean"))
-    )
-    # Genes that only the control side has still shift every treatment.
-    grid = control.select("gene_id", F.explode(group_list(group_n)).alias("perturbation_id"))
-    keys = means.select("perturbation_id", "gene_id").union(grid.select("perturbation_id", "gene_id")).distinct()
-    return (
-        keys.join(means, ["perturbation_id", "gene_id"], "left")
-        .join(control, "gene_id", "left")
-        .select(
-            "perturbation_id",
-            "gene_id",
-            F.coalesce("group_mean", F.lit(0.0)).alias("group_mean"),
-            F.coalesce("control_mean", F.lit(0.0)).alias("control_mean"),
-            (F.coalesce("group_mean", F.lit(0.0)) - F.coalesce("control_mean", F.lit(0.0))).alias("shift"),
+    # One array entry per treatment; read once, as a scalar subquery.
+    sizes = (
+        tagged.groupBy("perturbation_id")
+        .agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("_ctl").alias("_nc"))
+        .agg(
+            F.struct(
+                F.collect_list(F.struct("perturbation_id", "n_cells")).alias("groups"),
+                F.sum("n_cells").alias("n_total"),
+                F.sum("_nc").alias("n_control"),
+                F.count(F.lit(1)).alias("n_groups"),
+            ).alias("sizes")
         )
+        .scalar()
+    )
+    gene_ids = (present if genes is None else genes).select("gene_id").distinct()
+    grid = (
+        gene_ids.withColumn("_s", sizes)
+        .select("gene_id", "_s.n_total", "_s.n_control", "_s.n_groups", F.explode("_s.groups").alias("_g"))
+        .select("gene_id", "n_total", "n_control", "n_groups", "_g.perturbation_id", "_g.n_cells")
+    )
+    n, m, v = F.col("n_present"), F.col("_m"), F.col("_v2")
+    full = grid.join(present, ["gene_id", "perturbation_id"], "left").na.fill(
+        0, ["n_present", "_m", "_v2", "_cs"]
+    )
+    # A window group holds one row per treatment of one gene.
+    gene = Window.partitionBy("gene_id")
+    return full.select(
+        "perturbation_id",
+        "gene_id",
+        "n_cells",
+        "n_present",
+        (n * m / F.col("n_cells")).alias("mean"),
+        _with_zeros(n, m, v, F.col("n_cells")).alias("var"),
+        (F.sum(n * m).over(gene) / F.col("n_total")).alias("global_mean"),
+        F.when(F.col("n_control") > 0, F.sum("_cs").over(gene) / F.col("n_control")).alias("control_mean"),
+        F.sum(n * m / F.col("n_cells")).over(gene).alias("sum_of_means"),
+        "n_groups",
+        "n_total",
+        "n_control",
     )
 
 
-def group_list(groups: DataFrame, key: str = "perturbation_id") -> Column:
-    """All group ids of a per-group table as one array (one entry per group)."""
-    return groups.agg(F.array_sort(F.collect_set(key)).alias("ids")).scalar()
+def treatment_shift(expr: DataFrame, cells: DataFrame, value: str = "z") -> DataFrame:
+    """Mean profile of each treatment minus the mean profile of the control cells."""
+    return group_profiles(expr, cells, value=value).select(
+        "perturbation_id",
+        "gene_id",
+        F.col("mean").alias("group_mean"),
+        "control_mean",
+        (F.col("mean") - F.col("control_mean")).alias("shift"),
+    )
 
 
 def require_controls(cells: DataFrame) -> None:
@@ -254,30 +291,64 @@ class Preprocessed:
 
 
 def preprocess(cells: DataFrame, expr: DataFrame, cfg: QcSettings | None = None) -> Preprocessed:
-    """Cell filter, gene filter, normalisation, feature choice, proxies, summary."""
+    """Cell filter, gene filter, normalisation, feature choice, proxies, summary.
+
+    The counts are read once. Two intermediate tables are written: the counts
+    of the kept cells, and their normalised values over the kept genes. Both
+    windows are keyed by cell and (cell, gene) is unique, so a window group is
+    never larger than the gene list.
+    """
     cfg = cfg or QcSettings()
-    kept_cells = qc_cells(cells, expr, cfg.min_counts, cfg.min_genes)
-    cells_ok = cells.drop("library_size").join(kept_cells.select("cell_id"), "cell_id", "left_semi")
-    expr_ok = expr.join(kept_cells.select("cell_id"), "cell_id", "left_semi")
-    genes_ok = qc_genes(expr_ok, cfg.min_cells)
-    counts = expr_ok.join(genes_ok.select("gene_id"), "gene_id", "left_semi")
-    normal = normalise_log1p(counts.select("cell_id", "gene_id", "count"), cfg.target_sum)
-    n_cells = cells_ok.agg(F.count(F.lit(1)).alias("n")).scalar()
-    variance = feature_variance(normal, n_cells)
-    features = select_top_features(variance, cfg.n_features)
-    selected = normal.join(features.select("gene_id"), "gene_id", "left_semi")
-    final_cells = cells_ok.join(library_size(selected, cells_ok), "cell_id").withColumn(
-        "library_size", F.col("library_size").cast("double")
+    per_cell = Window.partitionBy("cell_id")
+    kept = cut_lineage(
+        expr.select(
+            "cell_id",
+            "gene_id",
+            "count",
+            F.sum("count").over(per_cell).alias("_lib"),
+            F.sum((F.col("count") > 0).cast("bigint")).over(per_cell).alias("_n"),
+        )
+        .where((F.col("_lib") >= cfg.min_counts) & (F.col("_n") >= cfg.min_genes))
+        .select("cell_id", "gene_id", "count"),
+        "kept-counts",
+    )
+    genes_ok = cut_lineage(qc_genes(kept, cfg.min_cells), "kept-genes")
+    if genes_ok.isEmpty():
+        raise ValueError("quality control removed every cell or gene; adjust the thresholds")
+    normal = cut_lineage(
+        kept.join(broadcast_if_small(genes_ok.select("gene_id")), "gene_id", "left_semi").select(
+            "cell_id",
+            "gene_id",
+            "count",
+            log1p_scaled(F.col("count"), F.sum("count").over(per_cell), cfg.target_sum).alias("z"),
+        ),
+        "normal",
+    )
+    keep_empty = cfg.min_counts <= 0 and cfg.min_genes <= 0
+    n_kept = (cells if keep_empty else kept.select("cell_id").distinct()).agg(
+        F.count(F.lit(1)).alias("n")
+    ).scalar()
+    # At most n_features rows by construction of the limit.
+    features = cut_lineage(select_top_features(feature_variance(normal, n_kept), cfg.n_features), "features")
+    chosen = F.broadcast(features.select("gene_id", F.lit(True).alias("_sel")))
+    selected = normal.join(chosen, "gene_id", "left_semi")
+    totals = (
+        kept.join(chosen, "gene_id", "left")
+        .groupBy("cell_id")
+        .agg(F.coalesce(F.sum(F.when(F.col("_sel"), F.col("count"))), F.lit(0)).cast("double").alias("library_size"))
     )
+    final_cells = cells.drop("library_size").join(totals, "cell_id", "left" if keep_empty else "inner")
+    final_cells = final_cells.na.fill(0.0, ["library_size"])
     names: list[str] = []
     if cfg.proxies:
+        final_cells = cut_lineage(final_cells, "kept-cells")
         final_cells, names = proxy_matrix(final_cells)
-    summary = qc_summary(cells, expr, kept_cells, genes_ok, cfg)
+    summary = qc_summary(cells, expr, n_kept, genes_ok, cfg)
     return Preprocessed(final_cells, selected, features, summary, names)
 
 
 def qc_summary(
-    cells: DataFrame, expr: DataFrame, kept_cells: DataFrame, kept_genes: DataFrame, cfg: QcSettings
+    cells: DataFrame, expr: DataFrame, n_kept: Column, kept_genes: DataFrame, cfg: QcSettings
 ) -> DataFrame:
     """One row with counts before and after, the fallback flag and the thresholds."""
 
@@ -289,7 +360,7 @@ def qc_summary(
     one = spark.range(1).select(
         count_of(cells).alias("n_cells_input"),
         count_of(genes_in).alias("n_genes_input"),
-        count_of(kept_cells).alias("n_cells_after_qc"),
+        n_kept.alias("n_cells_after_qc"),
         count_of(kept_genes).alias("n_genes_qc"),
     )
     picked = F.least(F.col("n_genes_qc"), F.lit(cfg.n_features).cast("bigint"))

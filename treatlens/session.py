@@ -47,17 +47,22 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table another step reads back."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as parquet below the shared folder and continue from the files.
+
+    Parquet rather than an RDD checkpoint: later passes read only the columns
+    they need and the planner knows the real size when it picks a join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting at most ``row_limit + 1`` rows.
 
