@@ -100,7 +100,7 @@ def rewire(edges: DataFrame, seed: int = 42, rounds: int = 10) -> DataFrame:
         proposed = (
             pair.withColumn("_n", F.count(F.lit(1)).over(mates))
             .withColumn("_ends", F.collect_list(F.struct("_side", "src", "dst")).over(mates))
-            .withColumn("_mate", F.filter("_ends", lambda e: e["_side"] != F.col("_side"))[0])
+            .withColumn("_mate", F.get(F.filter("_ends", lambda e: e["_side"] != F.col("_side")), F.lit(0)))
             .withColumn("_new", F.when(F.col("_n") == 2, F.col("_mate.dst")))
             .withColumn(
                 "_distinct",

@@ -9,6 +9,7 @@ from treatlens.operators import qc
 from treatlens.operators.layout import sample_cap
 from treatlens.plans import views as V
 from treatlens.plans.registry import query
+from treatlens.session import cut_lineage
 
 MIN_COUNTS, MIN_GENES, MIN_CELLS, TOP_K = 50, 2, 3, 15
 
@@ -158,7 +159,7 @@ def qc_summary(spark: SparkSession, folder: str) -> DataFrame:
     FROM cells, (SELECT AVG(library_size) AS m, STDDEV_POP(library_size) AS s FROM cells)""",
 )
 def zscore(spark: SparkSession, folder: str) -> DataFrame:
-    base = V.cells(spark, folder).select("cell_id", "library_size")
+    base = cut_lineage(V.cells(spark, folder).select("cell_id", "library_size"), "cells")
     return qc.zscore(base, "library_size", "z").select("cell_id", rounded("z").alias("z"))
 
 
@@ -179,7 +180,7 @@ proxy AS (
     V.with_sql(V.SQL_CELLS, _SQL_PROXIES) + "SELECT cell_id, name, round(v, 6) + 0.0 AS value FROM proxy",
 )
 def proxy_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    packed, names = qc.proxy_matrix(V.cells(spark, folder))
+    packed, names = qc.proxy_matrix(cut_lineage(V.cells(spark, folder), "cells"))
     labels = F.array(*[F.lit(n) for n in names])
     return packed.select("cell_id", F.posexplode("proxies").alias("i", "v")).select(
         "cell_id", labels[F.col("i")].alias("name"), rounded("v").alias("value")
