@@ -1,6 +1,10 @@
 """Imports every query module, so that the registry is complete."""
 
-from treatlens.plans import queries_baselines, queries_qc  # noqa: F401
+from treatlens.plans import (  # noqa: F401
+    queries_baselines,
+    queries_qc,
+    queries_windows,
+)
 from treatlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
