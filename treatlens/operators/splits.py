@@ -27,7 +27,7 @@ class SplitSettings:
     def __post_init__(self) -> None:
         if self.seed < 0:
             raise ValueError("seed must not be negative")
-        if not (0 <= self.val_fraction < 1 and 0 < self.test_fraction < 1):
+        if not (0 <= self.val_fraction < 1 and 0 <= self.test_fraction < 1):
             raise ValueError("fractions must lie between 0 and 1")
         if self.val_fraction + self.test_fraction >= 1:
             raise ValueError("val and test fractions must leave room for training")

@@ -3,6 +3,7 @@
 from treatlens.plans import (  # noqa: F401
     queries_baselines,
     queries_qc,
+    queries_splits,
     queries_windows,
 )
 from treatlens.plans.registry import ORACLES, QUERIES
