@@ -173,27 +173,6 @@ def default_perturbations(cells: DataFrame) -> DataFrame:
     )
 
 
-def fill_ids(df: DataFrame, dataset: str, order_cols: Sequence[str] | None = None) -> DataFrame:
-    """Add the id columns a raw table lacks.
-
-    Rows are numbered by their place in the scan: partitions keep file order
-    and only their sizes are collected first.
-    """
-    out = df
-    if "cell_id" not in df.columns:
-        source = df.orderBy(*order_cols) if order_cols else df
-        indexed = source.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-        schema = df.schema.add("_row", "bigint")
-        numbered = df.sparkSession.createDataFrame(indexed, schema)
-        digits = F.lpad(
-            F.col("_row").cast("string"), F.greatest(F.lit(6), F.length(F.col("_row").cast("string"))), "0"
-        )
-        out = numbered.withColumn("cell_id", F.concat(F.lit(f"{dataset}_cell_"), digits)).drop("_row")
-    if "perturbation_id" not in df.columns:
-        out = out.withColumn("perturbation_id", F.lit("unassigned"))
-    return out
-
-
 def perturbations_from_map(df: DataFrame, map_col: str) -> DataFrame:
     """Perturbation rows from a map of id to record; the key is the default id."""
     rows = df.select(F.explode(map_col).alias("_key", "_rec"))

@@ -2,8 +2,10 @@
 
 from treatlens.plans import (  # noqa: F401
     queries_baselines,
+    queries_models,
     queries_qc,
     queries_splits,
+    queries_tables,
     queries_windows,
 )
 from treatlens.plans.registry import ORACLES, QUERIES
