@@ -97,6 +97,12 @@ def test_same_result_for_any_partitioning(spark, toy):
     assert pick(2) == pick(8) and len(pick(3)) == 20
 
 
+def test_large_samples_take_the_same_rows(toy, monkeypatch):
+    small = {r[0] for r in layout.sample_cap(toy["cells"], 33, 7).collect()}
+    monkeypatch.setattr(layout, "SMALL_SAMPLE", 5)
+    assert {r[0] for r in layout.sample_cap(toy["cells"], 33, 7).collect()} == small
+
+
 def test_one_hot_domain_is_bounded(spark, toy):
     assert qc.domain(toy["cells"], "batch") == ["b0", "b1", "b2"]
     with pytest.raises(ValueError):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from treatlens import schema as S
 from treatlens.operators import validation as C
-from treatlens.plans.evaluate import check_shapes, evaluate
+from treatlens.plans.evaluate import check_shapes, evaluate, from_pairs
 from treatlens.plans.stage_chain import ChainSettings, read_manifest, run_stages
 from treatlens.sources import stages as IO
 from treatlens.sources.numbering import row_numbers
@@ -113,7 +113,7 @@ def test_report(spark, tmp_path):
         check_shapes(pairs, 51, 5)
     control = spark.createDataFrame([(g, 0.0) for g in genes], "gene_id string, control_mean double")
     suite = spark.createDataFrame([("control_mean", "expression", "mae", 0.8), ("control_mean", "expression", "pearson_mean_gene", 0.0)], S.SUITE)
-    done = evaluate(pairs, control, suite)
+    done = evaluate(*from_pairs(pairs), control, suite)
     row = done.report.first()
     assert row["metrics"]["mae"] < 0.05 and row["metrics"]["pearson_top_1000_degs"] > 0.99
     assert [f["code"] for f in row["failure_modes"]] == ["no_failure_modes_detected"]

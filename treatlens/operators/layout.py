@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treatlens.functions import as_double, clean_text, coerce_counts, is_control, seeded_hash
+from treatlens.operators.ordering import hash_rank
 from treatlens.schema import PERTURBATION_FIELDS
 
+SMALL_SAMPLE = 100_000
+
 
 def to_long(wide: DataFrame, id_cols: Sequence[str], feature_cols: Sequence[str]) -> DataFrame:
     """One row per non-zero count from one column per feature."""
@@ -103,10 +106,14 @@ def resolve_cap(requested: int | None, hard_cap: int | None) -> tuple[int | None
 def sample_cap(df: DataFrame, n: int, seed: int, key: str = "cell_id") -> DataFrame:
     """Uniform sample of ``n`` rows without replacement, the same on any cluster.
 
-    Rows are ordered by a hash of seed and key; every task keeps only its own
-    ``n`` smallest before the final merge.
+    Rows are ordered by a hash of seed and key. For a small sample every task
+    keeps only its own ``n`` smallest before the final merge; a large one is
+    taken by exact hash rank, so it never meets in one task.
     """
-    return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
+    if n <= SMALL_SAMPLE:
+        return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
+    ranked = hash_rank(df.withColumn("_h", seeded_hash(seed, F.col(key))), "_h", key, "_r")
+    return ranked.where(F.col("_r") <= n).select(*df.columns)
 
 
 def text_or(df: DataFrame, name: str, default: Column) -> Column:

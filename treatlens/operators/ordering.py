@@ -110,10 +110,10 @@ def weighted_quantiles(
 def hash_rank(df: DataFrame, hash_col: str, unique: str, out: str) -> DataFrame:
     """One-based position in the order of a hexadecimal hash column.
 
-    Hash prefixes are evenly spread, so 256 prefix buckets give balanced local
-    sorts and a fixed-size offset table; nothing is sampled or written.
+    Hash prefixes are evenly spread, so the 4,096 prefix buckets give balanced
+    local sorts and an offset table of fixed size; nothing is sampled or written.
     """
-    bucketed = df.withColumn("_prefix", F.substring(hash_col, 1, 2))
+    bucketed = df.withColumn("_prefix", F.substring(hash_col, 1, 3))
     sizes = bucketed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = F.broadcast(

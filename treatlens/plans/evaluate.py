@@ -45,35 +45,48 @@ def check_shapes(pairs: DataFrame, n_cells: int, n_features: int) -> None:
         )
 
 
-def model_metrics(pairs: DataFrame, control: DataFrame, cfg: EvaluationSettings) -> DataFrame:
+def model_metrics(
+    moments: DataFrame, calibration: DataFrame, control: DataFrame, cfg: EvaluationSettings
+) -> DataFrame:
     """One row: mae, pearson_top_1000_degs, calibration_error, n_genes, n_eval_cells.
 
-    ``pairs`` is (gene_id, y, p, var), one row per cell and gene; ``control``
-    is (gene_id, control_mean) over the whole table.
+    ``moments`` has one row per gene and ``calibration`` one per predicted
+    spread; ``control`` is (gene_id, control_mean) over the whole table. They
+    come from dense predictions (:func:`from_pairs`), from group-constant ones
+    or directly from a model.
     """
-    moments = cut_lineage(M.dense_moments(pairs), "moments")
-    error = M.calibration_error(M.calibration_rows(pairs), cfg.bins)
+    saved = cut_lineage(moments, "moments")
+    error = M.calibration_error(calibration, cfg.bins)
     return cut_lineage(
-        M.scores(moments).select(
+        M.scores(saved).select(
             "mae",
-            M.pearson_top_degs(moments, control, cfg.top_k)
+            M.pearson_top_degs(saved, control, cfg.top_k)
             .select("pearson_top_1000_degs")
             .scalar()
             .alias("pearson_top_1000_degs"),
             error.scalar().alias("calibration_error"),
-            moments.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_genes"),
-            moments.agg(F.max("n").cast("bigint").alias("n")).scalar().alias("n_eval_cells"),
+            saved.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_genes"),
+            saved.agg(F.max("n").cast("bigint").alias("n")).scalar().alias("n_eval_cells"),
         ),
         "metrics",
     )
 
 
+def from_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moments and calibration rows of (gene_id, y, p, var), one row per cell and gene."""
+    return M.dense_moments(pairs), M.calibration_rows(pairs)
+
+
 def evaluate(
-    pairs: DataFrame, control: DataFrame, suite: DataFrame, cfg: EvaluationSettings | None = None
+    moments: DataFrame,
+    calibration: DataFrame,
+    control: DataFrame,
+    suite: DataFrame,
+    cfg: EvaluationSettings | None = None,
 ) -> Evaluation:
-    """Scores of ``pairs``, compared with the baselines of ``suite``, as a report."""
+    """Scores of a model, compared with the baselines of ``suite``, as a report."""
     cfg = cfg or EvaluationSettings()
-    row = model_metrics(pairs, control, cfg)
+    row = model_metrics(moments, calibration, control, cfg)
     comparison = cut_lineage(M.baseline_comparison(suite, row), "comparison")
     failures = cut_lineage(M.failure_modes(row, comparison, cfg.limits), "failures")
     # Comparison and failures have one row per baseline or rule.

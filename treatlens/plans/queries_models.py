@@ -227,8 +227,9 @@ def linear_transport(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("predict_distribution")
 def predict(spark: SparkSession, folder: str) -> DataFrame:
-    model, rows, sparse, feats, _ = _fitted(spark, folder)
-    return transport.prediction_pairs(transport.predict_distribution(rows, model), sparse, model, feats)
+    model, rows, _, feats, _ = _fitted(spark, folder)
+    ids = [r["gene_id"] for r in feats.orderBy("idx").collect()]
+    return transport.prediction_pairs(rows, model, ids)
 
 
 @query("sample_distribution")
@@ -272,7 +273,7 @@ def evaluate(spark: SparkSession, folder: str) -> DataFrame:
     control = qc.group_profiles(data.expr, data.cells, data.genes).groupBy("gene_id").agg(
         F.first("control_mean").alias("control_mean")
     )
-    row = EV.model_metrics(pairs, control, EV.EvaluationSettings(top_k=10))
+    row = EV.model_metrics(*EV.from_pairs(pairs), control, EV.EvaluationSettings(top_k=10))
     return row.select(
         *[rounded(c).alias(c) for c in ("mae", "pearson_top_1000_degs", "calibration_error")], "n_genes", "n_eval_cells"
     )

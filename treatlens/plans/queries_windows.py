@@ -9,6 +9,7 @@ from treatlens.functions import contig_name, placeholder_sequence, reverse_compl
 from treatlens.operators import windows as W
 from treatlens.plans import views as V
 from treatlens.plans.registry import query
+from treatlens.session import cut_lineage
 
 SIZE = 1000
 CFG = W.WindowSettings(size=SIZE)
@@ -46,6 +47,11 @@ def _contigs(spark: SparkSession, folder: str) -> DataFrame:
     return W.chunk_contigs(V.contig_texts(spark, folder))
 
 
+def _saved_contigs(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks written once: lengths and windows both read them."""
+    return cut_lineage(_contigs(spark, folder), "contigs")
+
+
 @query("contig_lengths", SQL + "SELECT chrom, length FROM lens")
 def contig_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return W.contig_lengths(_contigs(spark, folder))
@@ -124,7 +130,7 @@ def window_bounds(spark: SparkSession, folder: str) -> DataFrame:
     length(sequence) AS window_size_observed, sequence, cache_key, from_cache FROM win""",
 )
 def extract_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return W.extract_windows(V.loci(spark, folder), _contigs(spark, folder), CFG)
+    return W.extract_windows(V.loci(spark, folder), _saved_contigs(spark, folder), CFG)
 
 
 @query(
@@ -135,7 +141,7 @@ def extract_windows(spark: SparkSession, folder: str) -> DataFrame:
     COUNT(*) FILTER (status = 'ok' AND NOT from_cache) AS cache_misses FROM win""",
 )
 def window_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return W.window_summary(W.extract_windows(V.loci(spark, folder), _contigs(spark, folder), CFG))
+    return W.window_summary(W.extract_windows(V.loci(spark, folder), _saved_contigs(spark, folder), CFG))
 
 
 @query(

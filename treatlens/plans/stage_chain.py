@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treatlens import schema as S
-from treatlens.operators import baselines, embeddings, graph, ivgraph, metrics, qc, transport, validation
+from treatlens.operators import baselines, embeddings, graph, ivgraph, qc, transport, validation
 from treatlens.operators.layout import to_sparse
 from treatlens.plans.evaluate import EvaluationSettings, evaluate
 from treatlens.sources import stages as IO
@@ -129,10 +129,8 @@ class Chain:
         transport.check_pairs(rows, n_w, len(ids))
         model = transport.fit_linear_transport(rows, source, n_w, len(ids), self.cfg.alpha)
         self.save("transport_model", transport.model_rows(model, rows, ids))
-        pairs = transport.prediction_pairs(
-            transport.predict_distribution(rows, model), self.read("sparse"), model, features
-        )
-        self.save("transport_fit_summary", metrics.gaussian_nll(pairs))
+        self.save("model_moments", transport.model_moments(rows, model, features.select("gene_id", "idx")))
+        self.save("transport_fit_summary", transport.model_nll(self.read("model_moments")))
 
     def causal(self) -> None:
         cells, expr = self.read("preprocess_cells"), self.read("preprocess_expr")
@@ -151,12 +149,13 @@ class Chain:
         self.outputs["graph_metadata"] = f"{self.root}/causal/metadata"
 
     def evaluate(self) -> None:
-        features = self.read("features")
         model = transport.load_model(self.read("transport_model"))
-        predicted = self.save("predictions", transport.predict_distribution(self.read("training_rows"), model))
-        pairs = transport.prediction_pairs(predicted, self.read("sparse"), model, features)
+        self.save("predictions", transport.predict_distribution(self.read("training_rows"), model))
+        moments = self.read("model_moments")
         control = self.read("transport_model").select("gene_id", F.col("source").alias("control_mean"))
-        done = evaluate(pairs, control, self.read("baseline_suite"), self.cfg.evaluation)
+        done = evaluate(
+            moments, transport.model_calibration_rows(moments), control, self.read("baseline_suite"), self.cfg.evaluation
+        )
         self.save("evaluation_report", done.report)
 
     def card(self) -> None:
