@@ -13,6 +13,27 @@ from treatlens.session import cut_lineage
 
 FLAT = 1e-8
 
+# Severity, metric and message of each failure code.
+FAILURE_TEXTS = {
+    "high_mae": ("critical", "mae", "Model MAE exceeds configured failure threshold."),
+    "low_deg_pearson": (
+        "warning",
+        "pearson_top_1000_degs",
+        "DEG-focused Pearson is below configured threshold.",
+    ),
+    "poor_calibration": (
+        "warning",
+        "calibration_error",
+        "Calibration error exceeds configured threshold.",
+    ),
+    "baseline_underperformance": (
+        "warning",
+        "delta_mae_model_minus_baseline",
+        "Model does not beat one or more baseline MAE values. Non-improved baselines: ",
+    ),
+    "no_failure_modes_detected": ("info", "n_failures", "No configured failure mode was triggered."),
+}
+
 
 def grouped_cells(
     expr: DataFrame, cells: DataFrame, predictions: DataFrame, names: Sequence[str], value: str = "z"
@@ -325,47 +346,28 @@ def failure_modes(
     limits = limits or FailureLimits()
     lost = comparison.agg(F.count_if(~F.col("model_beats_baseline_mae")).alias("n")).scalar()
 
-    def rule(
-        hit: Column, code: str, severity: str, metric: str, value: Column, threshold: float, message: Column
-    ) -> Column:
+    n_lost = F.col("_lost")
+
+    def rule(code: str, hit: Column, value: Column, threshold: float, suffix: Column | None = None) -> Column:
+        severity, metric, message = FAILURE_TEXTS[code]
         row = F.struct(
             F.lit(code).alias("code"),
             F.lit(severity).alias("severity"),
             F.lit(metric).alias("metric"),
             value.cast("double").alias("value"),
             F.lit(float(threshold)).alias("threshold"),
-            message.alias("message"),
+            (F.lit(message) if suffix is None else F.concat(F.lit(message), suffix)).alias("message"),
         )
         return F.when(hit, row)
 
-    n_lost = F.col("_lost")
+    mae, pearson, calibration = (F.col(c) for c in ("mae", "pearson_top_1000_degs", "calibration_error"))
     rules = [
-        rule(
-            F.col("mae") > limits.mae, "high_mae", "critical", "mae", F.col("mae"), limits.mae,
-            F.lit("Model MAE exceeds configured failure threshold."),
-        ),
-        rule(
-            F.col("pearson_top_1000_degs") < limits.pearson, "low_deg_pearson", "warning",
-            "pearson_top_1000_degs", F.col("pearson_top_1000_degs"), limits.pearson,
-            F.lit("DEG-focused Pearson is below configured threshold."),
-        ),
-        rule(
-            F.col("calibration_error") > limits.calibration, "poor_calibration", "warning",
-            "calibration_error", F.col("calibration_error"), limits.calibration,
-            F.lit("Calibration error exceeds configured threshold."),
-        ),
-        rule(
-            n_lost > 0, "baseline_underperformance", "warning", "delta_mae_model_minus_baseline", n_lost, 0,
-            F.concat(
-                F.lit("Model does not beat one or more baseline MAE values. Non-improved baselines: "),
-                n_lost.cast("string"), F.lit("."),
-            ),
-        ),
+        rule("high_mae", mae > limits.mae, mae, limits.mae),
+        rule("low_deg_pearson", pearson < limits.pearson, pearson, limits.pearson),
+        rule("poor_calibration", calibration > limits.calibration, calibration, limits.calibration),
+        rule("baseline_underperformance", n_lost > 0, n_lost, 0, F.concat(n_lost.cast("string"), F.lit("."))),
     ]
-    none = rule(
-        F.lit(True), "no_failure_modes_detected", "info", "n_failures", F.lit(0), 0,
-        F.lit("No configured failure mode was triggered."),
-    )
+    none = rule("no_failure_modes_detected", F.lit(True), F.lit(0), 0)
     hits = F.filter(F.array(*rules), lambda r: r.isNotNull())
     rows = F.when(F.size(hits) > 0, hits).otherwise(F.array(none))
     return metrics.withColumn("_lost", lost).select(F.explode(rows).alias("r")).select("r.*")

@@ -14,6 +14,12 @@ from treatlens.session import broadcast_if_small, cut_lineage
 
 N_BINS = 4
 
+# Why a split departs from the asked fractions.
+TWO_GROUPS = "insufficient_shift_groups_for_three_way_split"
+ONE_GROUP = "single_shift_group_only_train_split_possible"
+SMALL_PART = "undersized_partition_fallback_applied"
+ALL_TRAIN = "dataset_too_small_for_holdout_all_assigned_to_train"
+
 
 @dataclass(frozen=True)
 class SplitSettings:
@@ -60,7 +66,7 @@ def locus_label(perts: DataFrame) -> DataFrame:
     strand = clean_text(F.col("strand"))
     start, end = as_int(F.col("start")), as_int(F.col("end"))
     usable = (
-        F.coalesce(chrom, F.lit("")).isin("").__invert__()
+        (F.coalesce(chrom, F.lit("")) != "")
         & (F.lower(chrom) != "unknown")
         & F.coalesce(start >= 1, F.lit(False))
         & F.coalesce(end >= 1, F.lit(False))
@@ -205,10 +211,10 @@ def undersized_fallback(assigned: DataFrame, cfg: SplitSettings | None = None) -
     ).scalar()
     step3 = step2.withColumn("_tiny", F.col("_small") & (train_now < low))
     reason = (
-        F.when(F.col("_tiny"), "dataset_too_small_for_holdout_all_assigned_to_train")
-        .when(F.col("_small"), "undersized_partition_fallback_applied")
-        .when(f["g"] == 2, "insufficient_shift_groups_for_three_way_split")
-        .when(f["g"] == 1, "single_shift_group_only_train_split_possible")
+        F.when(F.col("_tiny"), ALL_TRAIN)
+        .when(F.col("_small"), SMALL_PART)
+        .when(f["g"] == 2, TWO_GROUPS)
+        .when(f["g"] == 1, ONE_GROUP)
     )
     return step3.select(
         "group",

@@ -17,6 +17,13 @@ from treatlens.session import cut_lineage
 
 CHUNK = 4096
 
+# Why a treatment has no window, in the order the rules apply.
+UNKNOWN_CONTIG = "missing_or_unknown_chromosome"
+BAD_COORDINATES = "missing_or_invalid_coordinates"
+REVERSED_SITE = "invalid_interval_end_before_start"
+ABSENT_CONTIG = "chromosome_not_found_in_reference"
+EMPTY_WINDOW = "empty_window_after_bounds"
+
 
 @dataclass(frozen=True)
 class WindowSettings:
@@ -74,14 +81,14 @@ def classify_locus(perts: DataFrame, lengths: DataFrame, size: int) -> DataFrame
     known = lengths.select(F.col("chrom").alias("_name"), "length")
     joined = parsed.withColumn("_name", contig_name(F.col("chrom_raw"))).join(known, "_name", "left")
     reason = (
-        F.when((F.col("chrom_raw") == "") | (F.lower("chrom_raw") == "unknown"), "missing_or_unknown_chromosome")
+        F.when((F.col("chrom_raw") == "") | (F.lower("chrom_raw") == "unknown"), UNKNOWN_CONTIG)
         .when(
             F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < 1) | (F.col("end") < 1),
-            "missing_or_invalid_coordinates",
+            BAD_COORDINATES,
         )
-        .when(F.col("end") < F.col("start"), "invalid_interval_end_before_start")
-        .when(F.col("length").isNull(), "chromosome_not_found_in_reference")
-        .when(F.col("length") <= 0, "empty_window_after_bounds")
+        .when(F.col("end") < F.col("start"), REVERSED_SITE)
+        .when(F.col("length").isNull(), ABSENT_CONTIG)
+        .when(F.col("length") <= 0, EMPTY_WINDOW)
         .otherwise("ok")
     )
     key = locus_key(F.col("chrom_raw"), F.col("start"), F.col("end"), F.col("strand"), size)

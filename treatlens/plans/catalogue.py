@@ -2,6 +2,7 @@
 
 from treatlens.plans import (  # noqa: F401
     queries_baselines,
+    queries_extra,
     queries_models,
     queries_qc,
     queries_splits,

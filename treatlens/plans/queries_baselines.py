@@ -25,7 +25,9 @@ class Inputs:
     """Normalised counts, cells and the train side of the holdout."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.expr = qc.normalise_log1p(V.expr(spark, folder)).select("cell_id", "gene_id", "z")
+        # A stage table: several passes follow, each over one or two columns.
+        normal = qc.normalise_log1p(V.expr(spark, folder)).select("cell_id", "gene_id", "z")
+        self.expr = metrics.cut_lineage(normal, "normal")
         self.cells = V.treatments(spark, folder)
         self.train_cells = self.cells.where(F.col("perturbation_id") != HELD_OUT)
         # The fit joins the counts to the training cells, which drops the rest.

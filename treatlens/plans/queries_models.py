@@ -238,18 +238,6 @@ def sample(spark: SparkSession, folder: str) -> DataFrame:
     return transport.sample_distribution(transport.predict_distribution(rows, model), model, 2)
 
 
-@query("sinkhorn_distance")
-def sinkhorn(spark: SparkSession, folder: str) -> DataFrame:
-    """Every label's vectors against those of label 0, all vectors."""
-    vectors = V.table(spark, folder, "embeddings").select(
-        F.col("label").cast("string").alias("grp"),
-        F.col("vec_id").alias("id"),
-        F.col("embedding").cast("array<double>").alias("v"),
-    )
-    control = vectors.where(F.col("grp") == "0").select("id", "v")
-    return transport.sinkhorn_distance(vectors.where(F.col("grp") != "0"), control)
-
-
 @query(
     "evaluate",
     SQL_BASE

@@ -196,13 +196,26 @@ def leakage_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("split_provenance")
+@query(
+    "split_provenance",
+    SQL
+    + """, p AS (SELECT grp, n, part FROM parts WHERE shift_type = 'protocol')
+    SELECT 'shift_split_manifest_v1' AS schema_version, 'anndata_v1' AS table_schema_version, 'protocol' AS shift_type,
+      'orders' AS dataset_name, 42 AS seed, 0.15::DOUBLE AS val_fraction, 0.15::DOUBLE AS test_fraction, 32 AS min_cells_per_split,
+      COUNT(*) AS group_count, CAST(SUM(n) AS BIGINT) AS n_cells, string_agg(grp, '|' ORDER BY grp) FILTER (part = 'train') AS train_groups,
+      string_agg(grp, '|' ORDER BY grp) FILTER (part = 'val') AS val_groups,
+      string_agg(grp, '|' ORDER BY grp) FILTER (part = 'test') AS test_groups, FALSE AS fallback_applied,
+      CAST(NULL AS VARCHAR) AS fallback_reason, 64 AS fingerprint_digits FROM p""",
+)
 def split_provenance(spark: SparkSession, folder: str) -> DataFrame:
     cells = _cells(spark, folder)
     _, parts = splits.split(cells, None, "protocol", CFG)
     mark = splits.fingerprint(cells, splits.group_by_column(cells, "protocol"), 25)
     row = splits.split_provenance(parts, "protocol", CFG, mark, "orders")
-    return row.drop("group_cell_counts")
+    joined = {f"{p}_groups": F.array_join(f"{p}_groups", "|") for p in ("train", "val", "test")}
+    return row.withColumns(joined).withColumn("fingerprint_digits", F.length("fingerprint")).drop(
+        "group_cell_counts", "fingerprint"
+    )
 
 
 SQL_SCORED = """scored AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality = 1 AS label

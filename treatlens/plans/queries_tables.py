@@ -451,7 +451,11 @@ def fasta(spark: SparkSession, folder: str) -> DataFrame:
     return read_fasta(spark, path).select("chrom", "chunk_no", "chunk_start", F.sha2("seq", 256).alias("digest"))
 
 
-@query("reuse_or_build")
+@query(
+    "reuse_or_build",
+    """SELECT o_orderpriority AS perturbation_id, COUNT(*) AS n, FALSE AS first_from_cache, TRUE AS second_from_cache
+    FROM orders GROUP BY 1""",
+)
 def reuse_or_build(spark: SparkSession, folder: str) -> DataFrame:
     """The orders processed twice: built first, then read back by checksum."""
     cache = scratch_path(spark, "cache")
