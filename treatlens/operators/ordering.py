@@ -107,21 +107,24 @@ def weighted_quantiles(
     return out
 
 
-def hash_rank(df: DataFrame, hash_col: str, unique: str, out: str) -> DataFrame:
-    """One-based position in the order of a hexadecimal hash column.
+def hash_rank(
+    df: DataFrame, hash_col: str, unique: str, out: str, within: Sequence[str] = ()
+) -> DataFrame:
+    """One-based position in the order of a hexadecimal hash column, per ``within`` keys.
 
     Hash prefixes are evenly spread, so the 4,096 prefix buckets give balanced
     local sorts and an offset table of fixed size; nothing is sampled or written.
     """
     bucketed = df.withColumn("_prefix", F.substring(hash_col, 1, 3))
-    sizes = bucketed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(
-        sizes.select("_prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    )
-    local = Window.partitionBy("_prefix").orderBy(hash_col, unique)
+    keys = [*within, "_prefix"]
+    sizes = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*within).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    if not within:
+        offsets = F.broadcast(offsets)
+    local = Window.partitionBy(*keys).orderBy(hash_col, unique)
     return (
         bucketed.withColumn("_pos", F.row_number().over(local))
-        .join(offsets, "_prefix")
+        .join(offsets, keys)
         .select(*df.columns, (F.col("_before") + F.col("_pos")).cast("bigint").alias(out))
     )

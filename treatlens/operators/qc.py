@@ -307,9 +307,11 @@ def preprocess(cells: DataFrame, expr: DataFrame, cfg: QcSettings | None = None)
             "count",
             F.sum("count").over(per_cell).alias("_lib"),
             F.sum((F.col("count") > 0).cast("bigint")).over(per_cell).alias("_n"),
+            # Marks one row per cell, so cells are counted without a distinct.
+            (F.col("gene_id") == F.min("gene_id").over(per_cell)).alias("first"),
         )
         .where((F.col("_lib") >= cfg.min_counts) & (F.col("_n") >= cfg.min_genes))
-        .select("cell_id", "gene_id", "count"),
+        .select("cell_id", "gene_id", "count", "first"),
         "kept-counts",
     )
     genes_ok = cut_lineage(qc_genes(kept, cfg.min_cells), "kept-genes")
@@ -325,8 +327,8 @@ def preprocess(cells: DataFrame, expr: DataFrame, cfg: QcSettings | None = None)
         "normal",
     )
     keep_empty = cfg.min_counts <= 0 and cfg.min_genes <= 0
-    n_kept = (cells if keep_empty else kept.select("cell_id").distinct()).agg(
-        F.count(F.lit(1)).alias("n")
+    n_kept = (
+        cells.agg(F.count(F.lit(1)).alias("n")) if keep_empty else kept.agg(F.count_if("first").alias("n"))
     ).scalar()
     # At most n_features rows by construction of the limit.
     features = cut_lineage(select_top_features(feature_variance(normal, n_kept), cfg.n_features), "features")
@@ -339,9 +341,9 @@ def preprocess(cells: DataFrame, expr: DataFrame, cfg: QcSettings | None = None)
     )
     final_cells = cells.drop("library_size").join(totals, "cell_id", "left" if keep_empty else "inner")
     final_cells = final_cells.na.fill(0.0, ["library_size"])
+    final_cells = cut_lineage(final_cells, "kept-cells")
     names: list[str] = []
     if cfg.proxies:
-        final_cells = cut_lineage(final_cells, "kept-cells")
         final_cells, names = proxy_matrix(final_cells)
     summary = qc_summary(cells, expr, n_kept, genes_ok, cfg)
     return Preprocessed(final_cells, selected, features, summary, names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treatlens import schema as S
-from treatlens.functions import as_double, as_int, clean_text, seeded_hash
+from treatlens.functions import as_double, as_int, clean_text
 from treatlens.operators.ordering import global_rank, hash_rank
 from treatlens.session import broadcast_if_small, cut_lineage
 
@@ -139,20 +139,27 @@ def shift_groups(cells: DataFrame, perturbations: DataFrame | None, shift_type:
 
 
 def group_counts(groups: DataFrame) -> DataFrame:
-    """(group, n_cells)."""
-    return groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_cells"))
+    """(group, n_cells), per shift type when the labels carry one."""
+    keys = ["shift_type", "group"] if "shift_type" in groups.columns else ["group"]
+    return groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def assign_groups(sizes: DataFrame, shift_type: str, cfg: SplitSettings | None = None) -> DataFrame:
-    """(group, n_cells, part): groups in hash order, cut into train, val, test.
+def assign_groups(
+    sizes: DataFrame, shift_type: str | None = None, cfg: SplitSettings | None = None
+) -> DataFrame:
+    """(shift_type, group, n_cells, part): groups in hash order, cut into train, val, test.
 
-    The order is that of a hash of seed, shift type and group name.
+    The order is that of a hash of seed, shift type and group name. ``sizes``
+    may hold several shift types in a column of that name; all of them are cut
+    in the same pass.
     """
     cfg = cfg or SplitSettings()
-    hashed = sizes.withColumn("_h", seeded_hash(f"{cfg.seed}|{shift_type}", F.col("group")))
-    ranked = hash_rank(hashed, "_h", "group", "_r")
-    g = sizes.agg(F.count(F.lit(1)).cast("double").alias("g")).scalar()
-    tagged = ranked.withColumn("_g", g)
+    named = sizes if shift_type is None else sizes.withColumn("shift_type", F.lit(shift_type))
+    key = F.concat(F.lit(f"{cfg.seed}|"), F.col("shift_type"))
+    hashed = named.withColumn("_h", F.sha2(F.concat_ws("~", key, F.col("group")), 256))
+    ranked = hash_rank(hashed, "_h", "group", "_r", ["shift_type"])
+    counts = named.groupBy("shift_type").agg(F.count(F.lit(1)).cast("double").alias("_g"))
+    tagged = ranked.join(F.broadcast(counts), "shift_type")  # one row per shift type
     n_val = F.greatest(F.lit(1.0), F.bround(F.lit(cfg.val_fraction) * F.col("_g")))
     n_test = F.greatest(F.lit(1.0), F.bround(F.lit(cfg.test_fraction) * F.col("_g")))
     # Shrink val first, then test, until one training group is left over.
@@ -167,14 +174,14 @@ def assign_groups(sizes: DataFrame, shift_type: str, cfg: SplitSettings | None =
     )
     two = F.when(F.col("_r") == 1, "train").otherwise("test")
     part = F.when(F.col("_g") >= 3, three).when(F.col("_g") == 2, two).otherwise("train")
-    return tagged.select("group", "n_cells", part.alias("part"))
+    return tagged.select("shift_type", "group", "n_cells", part.alias("part"))
 
 
 def undersized_fallback(assigned: DataFrame, cfg: SplitSettings | None = None) -> DataFrame:
-    """(group, n_cells, part, fallback, reason) after the rules for too small parts.
+    """(shift_type, group, n_cells, part, fallback, reason) after the rules for too small parts.
 
     Works on the group table. The decisions need only part totals and the
-    second largest group, each a one-row scalar.
+    second largest group of each shift type, one row per shift type.
     """
     cfg = cfg or SplitSettings()
     low = cfg.min_cells
@@ -183,66 +190,91 @@ def undersized_fallback(assigned: DataFrame, cfg: SplitSettings | None = None) -
     def total(part: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n_cells"))), F.lit(0))
 
-    second = saved.orderBy(F.desc("n_cells"), F.asc("group")).limit(2).agg(
-        F.max_by("group", F.struct(-F.col("n_cells"), F.col("group"))).alias("g")
+    by_size = F.struct(-F.col("n_cells"), F.col("group"))
+    facts = saved.groupBy("shift_type").agg(
+        F.count(F.lit(1)).alias("_g"),
+        total("train").alias("_tr"),
+        total("val").alias("_va"),
+        total("test").alias("_te"),
+        F.min_by("group", by_size).alias("_first"),
+    )
+    second = (
+        saved.join(F.broadcast(facts.select("shift_type", "_first")), "shift_type")
+        .where(F.col("group") != F.col("_first"))
+        .groupBy("shift_type")
+        .agg(F.min_by("group", by_size).alias("_second"))
     )
-    facts = saved.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("g"), F.sum("n_cells").alias("all"), total("train").alias("tr"),
-            total("val").alias("va"), total("test").alias("te"),
-        ).alias("f")
-    ).scalar()
-    small = lambda c: (c > 0) & (c < low)
-    f = F.col("_f")
-    step1 = saved.withColumn("_f", facts).withColumn("_second", second.scalar()).withColumn(
-        "_small", small(f["tr"]) | small(f["va"]) | small(f["te"])
+    small = lambda c: (F.col(c) > 0) & (F.col(c) < low)
+    info = facts.join(second, "shift_type", "left").select(
+        "shift_type",
+        "_g",
+        "_second",
+        (small("_tr") | small("_va") | small("_te")).alias("_small"),
+        small("_te").alias("_small_test"),
     )
     folded = F.when(F.col("_small") & (F.col("part") == "val"), "train").otherwise(F.col("part"))
-    retest = F.col("_small") & small(f["te"])
     swapped = (
-        F.when(~retest, F.col("_p1"))
-        .when(f["g"] < 2, F.lit("train"))
+        F.when(~(F.col("_small") & F.col("_small_test")), folded)
+        .when(F.col("_g") < 2, F.lit("train"))
         .when(F.col("group") == F.col("_second"), "test")
         .otherwise("train")
     )
-    step2 = step1.withColumn("_p1", folded).withColumn("_p2", swapped)
-    train_now = step2.agg(
-        F.coalesce(F.sum(F.when(F.col("_p2") == "train", F.col("n_cells"))), F.lit(0)).alias("n")
-    ).scalar()
-    step3 = step2.withColumn("_tiny", F.col("_small") & (train_now < low))
+    moved = saved.join(F.broadcast(info), "shift_type").withColumn("_p", swapped)
+    train = moved.groupBy("shift_type").agg(
+        F.coalesce(F.sum(F.when(F.col("_p") == "train", F.col("n_cells"))), F.lit(0)).alias("_train")
+    )
+    done = moved.join(F.broadcast(train), "shift_type").withColumn(
+        "_tiny", F.col("_small") & (F.col("_train") < low)
+    )
     reason = (
         F.when(F.col("_tiny"), ALL_TRAIN)
         .when(F.col("_small"), SMALL_PART)
-        .when(f["g"] == 2, TWO_GROUPS)
-        .when(f["g"] == 1, ONE_GROUP)
+        .when(F.col("_g") == 2, TWO_GROUPS)
+        .when(F.col("_g") == 1, ONE_GROUP)
     )
-    return step3.select(
+    return done.select(
+        "shift_type",
         "group",
         "n_cells",
-        F.when(F.col("_tiny"), "train").otherwise(F.col("_p2")).alias("part"),
-        (F.col("_small") | (f["g"] <= 2)).alias("fallback"),
+        F.when(F.col("_tiny"), "train").otherwise(F.col("_p")).alias("part"),
+        (F.col("_small") | (F.col("_g") <= 2)).alias("fallback"),
         reason.alias("reason"),
     )
 
 
-def split_cells(groups: DataFrame, parts: DataFrame, shift_type: str) -> DataFrame:
-    """(cell_id, shift_type, part, group): the part of every cell."""
-    lookup = broadcast_if_small(parts.select("group", "part"))
-    return groups.join(lookup, "group").select("cell_id", F.lit(shift_type).alias("shift_type"), "part", "group")
+def split_cells(labels: DataFrame, parts: DataFrame) -> DataFrame:
+    """(cell_id, shift_type, part, group): the part of every cell.
+
+    ``labels`` is (cell_id, shift_type, group).
+    """
+    lookup = broadcast_if_small(parts.select("shift_type", "group", "part"))
+    return labels.join(lookup, ["shift_type", "group"]).select("cell_id", "shift_type", "part", "group")
+
+
+def _labelled(
+    cells: DataFrame, perturbations: DataFrame | None, shift_types: tuple[str, ...]
+) -> DataFrame:
+    out: DataFrame | None = None
+    for kind in shift_types:
+        part = shift_groups(cells, perturbations, kind).select(
+            "cell_id", F.lit(kind).alias("shift_type"), "group"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _split(labels: DataFrame, cfg: SplitSettings) -> tuple[DataFrame, DataFrame]:
+    parts = cut_lineage(undersized_fallback(assign_groups(group_counts(labels), None, cfg), cfg), "parts")
+    if parts.isEmpty():
+        raise ValueError("no groups to split")
+    return split_cells(labels, parts), parts
 
 
 def split(
     cells: DataFrame, perturbations: DataFrame | None, shift_type: str, cfg: SplitSettings | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The assignment of every cell and the group table behind it."""
-    cfg = cfg or SplitSettings()
-    groups = shift_groups(cells, perturbations, shift_type)
-    parts = cut_lineage(
-        undersized_fallback(assign_groups(group_counts(groups), shift_type, cfg), cfg), "parts"
-    )
-    if parts.isEmpty():
-        raise ValueError("no groups to split")
-    return split_cells(groups, parts, shift_type), parts
+    return _split(_labelled(cells, perturbations, (shift_type,)), cfg or SplitSettings())
 
 
 def split_all(
@@ -251,12 +283,8 @@ def split_all(
     cfg: SplitSettings | None = None,
     shift_types: tuple[str, ...] = S.SHIFT_TYPES,
 ) -> DataFrame:
-    """Assignments of several shift types in one table."""
-    out: DataFrame | None = None
-    for kind in shift_types:
-        part, _ = split(cells, perturbations, kind, cfg)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Assignments of several shift types in one table, from one pass of group sizes."""
+    return _split(_labelled(cells, perturbations, shift_types), cfg or SplitSettings())[0]
 
 
 _PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
@@ -344,7 +372,7 @@ def split_provenance(
     def names(part: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("part") == part, F.col("group")))).alias(f"{part}_groups")
 
-    row = parts.agg(
+    row = parts.where(F.col("shift_type") == shift_type).agg(
         F.count(F.lit(1)).alias("group_count"),
         F.sum("n_cells").alias("n_cells"),
         F.map_from_entries(F.collect_list(F.struct("group", "n_cells"))).alias("group_cell_counts"),

@@ -75,7 +75,7 @@ def rank_bins(spark: SparkSession, folder: str) -> DataFrame:
 )
 def assign_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = splits.group_by_column(V.cells(spark, folder), "cell_type")
-    return splits.assign_groups(splits.group_counts(groups), "cell_type", CFG)
+    return splits.assign_groups(splits.group_counts(groups), "cell_type", CFG).drop("shift_type")
 
 
 @query(
@@ -90,7 +90,7 @@ def assign_many_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = V.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").cast("string").alias("group")
     )
-    return splits.assign_groups(splits.group_counts(groups), "protocol", CFG)
+    return splits.assign_groups(splits.group_counts(groups), "protocol", CFG).drop("shift_type")
 
 
 @query(
@@ -115,7 +115,7 @@ def undersized_fallback(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut_lineage(splits.group_counts(groups), "sizes")
     quarter = sizes.agg(F.sum("n_cells")).first()[0] // 4
     cfg = splits.SplitSettings(min_cells=int(quarter))
-    return splits.undersized_fallback(splits.assign_groups(sizes, "protocol", cfg), cfg)
+    return splits.undersized_fallback(splits.assign_groups(sizes, "protocol", cfg), cfg).drop("shift_type")
 
 
 @query(
