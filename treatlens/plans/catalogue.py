@@ -8,6 +8,7 @@ from treatlens.plans import (  # noqa: F401
     queries_splits,
     queries_tables,
     queries_windows,
+    queries_written,
 )
 from treatlens.plans.registry import ORACLES, QUERIES
 
