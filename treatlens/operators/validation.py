@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from treatlens import schema as S
 from treatlens.functions import as_double, clean_text
-from treatlens.operators.layout import restrict  # noqa: F401  (masks are checked there)
 from treatlens.operators.qc import library_size, normalise_log1p
 
 MODES = ("strict", "repair")

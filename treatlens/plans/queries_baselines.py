@@ -6,7 +6,7 @@ covers every cell, so the unseen-treatment rules take part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treatlens.operators import baselines, graph, metrics, qc
@@ -377,8 +377,6 @@ def correlation_graph(spark: SparkSession, folder: str) -> DataFrame:
 def graph_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The two-edge graph against the one-edge graph of the same correlations."""
     two = metrics.cut_lineage(_graph(Inputs(spark, folder)), "graph")
-    from pyspark.sql import Window
-
     strongest = Window.partitionBy("src").orderBy(F.desc(F.abs("weight")), F.asc("dst"))
     one = two.withColumn("_r", F.row_number().over(strongest)).where("_r = 1").drop("_r")
     return graph.graph_metrics(two, one).withColumn("value", rounded("value"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treatlens.operators import embeddings, graph, ivgraph, layout, metrics, qc, transport
+from treatlens.operators.gram import BLOCK, moment_blocks
 from treatlens.plans import evaluate as EV
 from treatlens.plans import stage_chain
 from treatlens.plans import views as V
 from treatlens.plans.queries_baselines import SQL as SQL_BASE
-from treatlens.plans.queries_baselines import Inputs
+from treatlens.plans.queries_baselines import Inputs, _model_row
 from treatlens.plans.queries_qc import rounded
 from treatlens.plans.registry import query
 from treatlens.session import cut_lineage, scratch_path
@@ -144,8 +145,6 @@ def fit_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stage1_group_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Sums per treatment from the same pass of products that feeds the two-stage fit."""
-    from treatlens.operators.gram import BLOCK, moment_blocks
-
     data = Inputs(spark, folder)
     feats = cut_lineage(graph.indexed_features(data.genes), "features")
     keyed, _ = ivgraph.instruments(data.cells)
@@ -278,8 +277,6 @@ def evaluate(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'graph_recovery', FALSE, 'no recovery scores' UNION ALL SELECT 'all', FALSE, 'every gate'""",
 )
 def quality_gates(spark: SparkSession, folder: str) -> DataFrame:
-    from treatlens.plans.queries_baselines import _model_row
-
     model, rest = _model_row(Inputs(spark, folder))
     wins = metrics.baseline_comparison(rest, model).select(
         F.lit("orders").alias("stage"), "baseline_name", F.col("model_beats_baseline_mae").alias("won")

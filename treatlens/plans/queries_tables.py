@@ -402,12 +402,10 @@ def repair_perturbations(spark: SparkSession, folder: str) -> DataFrame:
 )
 def validate(spark: SparkSession, folder: str) -> DataFrame:
     """Strict violations over damaged tables; treatments described under other names."""
-    from treatlens.operators.layout import harmonise_genes as genes_of
-
     perts = V.treatment_loci(spark, folder).withColumn(
         "perturbation_id", F.concat(F.lit("other_"), F.col("perturbation_id"))
     )
-    genes = genes_of(V.table(spark, folder, "part").select(F.col("p_brand").alias("gene_id")).distinct())
+    genes = layout.harmonise_genes(V.table(spark, folder, "part").select(F.col("p_brand").alias("gene_id")).distinct())
     tables = {
         "cells": cut_lineage(_bad_cells(spark, folder), "cells"),
         "genes": genes,
