@@ -50,7 +50,12 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     lines = (
         table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+        .agg(
+            F.sum("l_quantity").alias("qty"),
+            # Discounts are whole hundredths: adding them as integers makes the mean
+            # the same for any order of the rows, so equal values stay equal in ranks.
+            (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / (F.count(F.lit(1)) * 10)).alias("disc10"),
+        )
     )
     control = F.col("o_orderpriority") == CONTROL_PRIORITY
     return (
@@ -67,7 +72,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
             F.coalesce("qty", F.lit(0.0)).alias("library_size"),
             F.col("o_orderpriority").alias("perturbation_id"),
             F.when(control, 0.0)
-            .otherwise(F.coalesce(10 * F.col("disc"), F.lit(0.0)))
+            .otherwise(F.coalesce("disc10", F.lit(0.0)))
             .alias("knockdown_efficiency_proxy"),
         )
     )
@@ -141,11 +146,11 @@ SQL_CELLS = """cells AS (
     CASE WHEN o_orderpriority = '5-LOW' THEN 'control' ELSE 'perturbed' END AS condition,
     c_mktsegment AS protocol, COALESCE(qty, 0.0) AS library_size,
     o_orderpriority AS perturbation_id,
-    CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE COALESCE(10 * disc, 0.0) END
+    CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE COALESCE(disc10, 0.0) END
       AS knockdown_efficiency_proxy
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
-  LEFT JOIN (SELECT l_orderkey, SUM(l_quantity) AS qty, AVG(l_discount) AS disc
+  LEFT JOIN (SELECT l_orderkey, SUM(l_quantity) AS qty, CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (COUNT(*) * 10) AS disc10
              FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 
 SQL_NORMAL = """lib AS (SELECT cell_id, SUM(count) AS lib FROM expr GROUP BY 1),
