@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treatlens.llm.phrase_dedup import remove_repeats
 from treatlens.llm.registry import query
 from treatlens.llm.simhash import as_hex, near_duplicates
 from treatlens.llm.tables import table
@@ -14,3 +15,9 @@ from treatlens.llm.tables import table
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), radius=4)
     return groups.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
