@@ -21,21 +21,26 @@ from treatlens.llm.mixing import uniform
 from treatlens.llm.tables import rows_of
 
 #: Labelled rows that one chain is fitted on, on average.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Words a chain looks at; each must show in so many sampled texts.
 VOCABULARY, MIN_TEXTS = 256, 5
+#: Least chi-square of a chosen word; chance words stay below.
+LEAST_CHI = 16.0
 SHAPE = ("symbols", "marks", "upper", "repeats", "length")
+#: Word beginnings of these lengths count as words of their own, as inflected words share them.
+STEMS = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
 def words_and_shape(text: str | None) -> tuple[set[str], list[float]]:
-    """Distinct lower-case words of the whole text and its ``SHAPE``; null counts as empty."""
+    """Distinct lower-case words and stems of the whole text and its ``SHAPE``; null counts as empty."""
     text = text or ""
     words = _LETTERS.findall(text.lower())
     distinct = set(words)
+    stems = {w[:k] + "-" for k in STEMS for w in distinct if len(w) > k}
     n = max(1, len(text))
-    return distinct, [
+    return distinct | stems, [
         10 * sum(text.count(c) for c in "#*$%&|<>") / n,
         10 * (text.count("!") + text.count("?")) / n,
         len(_UPPER.findall(text)) / n,
@@ -49,6 +54,7 @@ class Chain:
     categories: tuple[str, ...]
     vocabulary: dict[str, int]
     weights: tuple[np.ndarray, ...]  # words, shape, earlier log-odds, constant
+    cuts: tuple[float, ...]  # probability from which a text counts as of the category
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.categories)))
@@ -67,7 +73,7 @@ class Chain:
         return x
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 12) -> np.ndarray:
     """Logistic regression by Newton steps with a quadratic penalty (not on the constant)."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     w = np.zeros(x.shape[1])
@@ -84,25 +90,41 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 1
     return w
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that parts the classes with the highest F1, halfway to the next lower one."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    if not len(p) or not hits[-1]:
+        return 0.5
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + hits[-1])
+    k = int(np.argmax(f1))
+    return float(p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2
+
+
 def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: Sequence[str], vocabulary: dict[str, int]) -> Chain:
-    """Fit the categories in order; ``folds`` numbers the rows' folds."""
-    weights = []
+    """Fit the categories in order; ``folds`` numbers the rows' folds.
+
+    What later models and the cuts see of a row comes from models fitted on the
+    other folds.
+    """
+    weights, cuts = [], []
     seen = x
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
         weights.append(fit_linear(seen, y))
-        if k + 1 < len(categories):
-            held = np.zeros(len(x))
-            for fold in np.unique(folds):
-                out = folds == fold
-                w = fit_linear(seen[~out], y[~out]) if (~out).any() else weights[-1]
-                held[out] = np.hstack([seen[out], np.ones((int(out.sum()), 1))]) @ w
-            seen = np.hstack([seen, np.clip(held, -30, 30)[:, None]])
-    return Chain(tuple(categories), vocabulary, tuple(weights))
+        held = np.zeros(len(x))
+        for fold in np.unique(folds):
+            out = folds == fold
+            w = fit_linear(seen[~out], y[~out]) if (~out).any() else weights[-1]
+            held[out] = np.hstack([seen[out], np.ones((int(out.sum()), 1))]) @ w
+        held = np.clip(held, -30, 30)
+        cuts.append(best_cut(1 / (1 + np.exp(-held)), y))
+        seen = np.hstack([seen, held[:, None]])
+    return Chain(tuple(categories), vocabulary, tuple(weights), tuple(cuts))
 
 
 def choose_words(doc: np.ndarray, word: np.ndarray, n_words: int, labels: np.ndarray) -> np.ndarray:
-    """Numbers of the words that part the classes of some category most, by chi-square."""
+    """Numbers of the words that speak most for some category, by chi-square."""
     n = len(labels)
     df = np.bincount(word, minlength=n_words).astype(float)
     best = np.zeros(n_words)
@@ -111,9 +133,9 @@ def choose_words(doc: np.ndarray, word: np.ndarray, n_words: int, labels: np.nda
         hit = np.bincount(word, weights=y[doc], minlength=n_words)
         expected = df * y.mean()
         spread = np.maximum(expected * (1 - y.mean()) * (1 - df / n), 1e-9)
-        best = np.maximum(best, np.where(df >= MIN_TEXTS, (hit - expected) ** 2 / spread, 0))
+        best = np.maximum(best, np.where((df >= MIN_TEXTS) & (hit > expected), (hit - expected) ** 2 / spread, 0))
     order = np.argsort(-best, kind="stable")[:VOCABULARY]
-    return order[best[order] > 0]
+    return order[best[order] >= LEAST_CHI]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample_rows: int = SAMPLE_ROWS, n_folds: int = 4) -> Chain:
@@ -121,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample_
 
     Rows with a null label are left out; several labels of one document count as
     their largest. Above ``sample_rows`` they are sampled by a hash of the id.
-    Without labelled rows every probability is one half.
+    Without labelled rows every probability is one half and no text counts.
     """
     held = labels.dropna(subset=list(categories)).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     total = held.count()
@@ -150,11 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample_
     got = got.sort_by([("doc_id", "ascending")])
     y = np.column_stack([got[c].to_numpy() for c in categories]) if got.num_rows else np.zeros((0, len(categories)))
     if not got.num_rows:
-        return Chain(tuple(categories), {}, tuple(np.zeros(len(SHAPE) + k + 1) for k in range(len(categories))))
+        flat = tuple(np.zeros(len(SHAPE) + k + 1) for k in range(len(categories)))
+        return Chain(tuple(categories), {}, flat, (1.0,) * len(categories))
     words = got["words"].combine_chunks()
     sizes = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
-    doc, word = np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy()
+    doc, word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), coded.indices.to_numpy()
     chosen = choose_words(doc, word, len(coded.dictionary), y)
     vocabulary = {coded.dictionary[int(w)].as_py(): i for i, w in enumerate(chosen)}
     place = np.full(len(coded.dictionary), -1)
@@ -166,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample_
     return fit_chain(x, y, np.arange(len(x)) % n_folds, categories, vocabulary)
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
-    """``doc_id`` with ``p_<category>`` and, for each, whether it reaches ``threshold``.
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """``doc_id`` with ``p_<category>`` and, for each, whether it reaches the chain's cut.
 
     Whole texts are read, a null text is empty. Repeated rows get equal scores;
     other columns are not read.
@@ -187,4 +210,4 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     rated = docs.select("doc_id", "text").mapInArrow(
         rate, f"doc_id {id_type}, " + ", ".join(f"`{n}` double" for n in names)
     )
-    return rated.select("*", *[(F.col(f"p_{c}") >= threshold).alias(c) for c in chain.categories])
+    return rated.select("*", *[(F.col(f"p_{c}") >= cut).alias(c) for c, cut in zip(chain.categories, chain.cuts)])
