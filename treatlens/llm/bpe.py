@@ -29,7 +29,7 @@ from treatlens.llm.tables import rows_of
 _S = r"\p{White_Space}"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+"
 #: Words a task remembers, and the longest of them.
-MEMORY, MEMORY_CHARS = 300_000, 64
+MEMORY, MEMORY_CHARS = 150_000, 64
 NEVER = int(np.iinfo(np.int64).max)
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 
@@ -218,7 +218,7 @@ class ByteBpe:
         known = self._pairs
         fresh = np.array([c for c in distinct.tolist() if c not in known], np.int64)
         if len(fresh):
-            if len(known) > 10 * MEMORY:
+            if len(known) > 2 * MEMORY:
                 known.clear()
                 fresh = distinct
             known.update(zip(fresh.tolist(), self.conflicts(fresh // self._size, fresh % self._size).tolist()))
@@ -287,7 +287,7 @@ def _coder(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(ByteBpe(f.read()))
 
 
-def _some(rows: list, limit: int = 4_000_000) -> Iterator[list]:
+def _some(rows: list, limit: int = 2_000_000) -> Iterator[list]:
     """Runs of texts of about ``limit`` characters."""
     run, size = [], 0
     for row in rows:
