@@ -37,7 +37,7 @@ WINDOW, GRAM = 50, 20
 #: Phrases of one trigger above which its windows are dealt out one by one.
 HOT_PHRASES = 256
 #: Bytes of text handled at once in a task, and hashed at once.
-BATCH_BYTES, HASH_BYTES = 16 << 20, 1 << 19
+BATCH_BYTES, HASH_BYTES = 6 << 20, 1 << 18
 SPANS, TRIGGERS, OPEN, TEXTS, PHRASES = range(5)
 _ROW = "target int, kind int, payload binary"
 _BASE = 0x9E3779B97F4A7C15
