@@ -39,9 +39,12 @@ def test_minimal_table(spark, tmp_path):
 
 def test_cap_and_missing_ids(spark, tmp_path):
     _, path = wide(tmp_path, 6200)
+    every = load_entity_table(spark, path, "replogle_sample")
+    assert every["cells"].count() == 6200
+    spec = {"cell_type": "K562", "protocol": "p", "batch_prefix": "b", "hard_cap": 500, "seed": 42}
     with pytest.warns(UserWarning, match="exceeds the cap"):
-        t = load_entity_table(spark, path, "replogle_sample", max_entities=9000)
-    assert t["cells"].count() == 5000 and t["cells"].select("cell_id").distinct().count() == 5000
+        t = load_entity_table(spark, path, "replogle_sample", spec=spec, max_entities=9000)
+    assert t["cells"].count() == 500 and t["cells"].select("cell_id").distinct().count() == 500
     assert {r[0] for r in t["cells"].select("perturbation_id").distinct().collect()} == {"unassigned"}
 
 

@@ -7,7 +7,6 @@ tasks. The defaults are deterministic.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -32,47 +31,74 @@ class Provider(Protocol):
         """Vectors for one batch, one row per input."""
 
 
-def _generator(text: str) -> np.random.Generator:
-    head = hashlib.sha256(text.encode("utf-8")).digest()[:8]
-    return np.random.default_rng(int.from_bytes(head, "big"))
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit values of whole numbers."""
+    x = np.asarray(x, np.uint64)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
 
 
-class HashedSequences:
-    """Standard normal vector drawn from a generator seeded by the sequence's hash."""
+class KmerSpectrum:
+    """Signed hashed counts of a sequence's k-mers, scaled to length one.
 
-    name = "deterministic_mock_sequence"
-    version = "mock_sequence_v1"
-
-    def __init__(self, dim: int = 256, seed: int = 42) -> None:
-        if dim <= 0:
-            raise ValueError("dim must be positive")
-        self.dim, self.seed = dim, seed
-
-    def batch(self, values: object) -> np.ndarray:
-        rows = [_generator(f"{self.seed}|{s.upper().strip()}").normal(size=self.dim) for s in values]
-        return np.array(rows, dtype=np.float32).reshape(len(rows), self.dim)
+    Case and outer white space do not matter. A sequence shorter than ``k`` is
+    one k-mer of its own.
+    """
 
+    name = "kmer_spectrum"
+    version = "1"
 
-class RandomProjection:
-    """Row-standardised profile times a fixed random matrix."""
+    def __init__(self, dim: int = 256, seed: int = 42, k: int = 6) -> None:
+        if dim <= 0 or k <= 0:
+            raise ValueError("dim and k must be positive")
+        self.dim, self.seed, self.k = dim, seed, k
 
-    name = "deterministic_mock_cell_state"
-    version = "mock_cell_state_v1"
+    def batch(self, values: object) -> np.ndarray:
+        out = np.zeros((len(values), self.dim))
+        for row, sequence in zip(out, values):
+            letters = np.frombuffer(sequence.strip().upper().encode("utf-8"), np.uint8)
+            width = min(self.k, len(letters))
+            codes = np.zeros(len(letters) - width + 1, np.uint64)
+            for at in range(width):
+                codes = codes * np.uint64(257) + letters[at : at + len(codes)]
+            spread = _scrambled(codes + np.uint64(self.seed) * np.uint64(0x9E3779B1))
+            sign = np.where(spread >> np.uint64(63), 1.0, -1.0)
+            row += np.bincount((spread % np.uint64(self.dim)).astype(np.int64), sign, self.dim)
+            length = np.sqrt(row @ row)
+            if length == 0.0:  # all counts cancelled
+                row[int(spread[0] % np.uint64(self.dim))] = length = 1.0
+            row /= length
+        return out.astype(np.float32)
+
+
+class SignProjection:
+    """Row-standardised profiles times a matrix of hashed signs, scaled by the number of features."""
+
+    name = "sign_projection"
+    version = "1"
 
     def __init__(self, dim: int = 256, seed: int = 42) -> None:
         if dim <= 0:
             raise ValueError("dim must be positive")
         self.dim, self.seed = dim, seed
+        self._made: tuple[int, np.ndarray] | None = None
 
     def matrix(self, n_features: int) -> np.ndarray:
-        shape = (n_features, self.dim)
-        return _generator(f"{self.seed}|{n_features}|{self.dim}").normal(size=shape) / np.sqrt(max(n_features, 1))
+        """Entry ``(feature, column)`` depends on its place and the seed only; made once per task."""
+        if self._made is None or self._made[0] != n_features:
+            place = np.arange(n_features, dtype=np.uint64)[:, None] * np.uint64(1 << 20)
+            place = place + np.arange(self.dim, dtype=np.uint64) + np.uint64(self.seed) * np.uint64(1 << 44)
+            signs = (_scrambled(place) >> np.uint64(63)).astype(np.float64) * 2 - 1
+            self._made = n_features, signs / np.sqrt(max(1, n_features))
+        return self._made[1]
 
     def batch(self, values: object) -> np.ndarray:
-        x = np.asarray(values, dtype=np.float64)
-        spread = x.std(axis=1, keepdims=True)
-        standard = (x - x.mean(axis=1, keepdims=True)) / np.where(spread <= 1e-8, 1.0, spread)
-        return (standard @ self.matrix(x.shape[1])).astype(np.float32)
+        profiles = np.array(values, dtype=np.float64)
+        profiles -= profiles.mean(axis=1, keepdims=True)
+        spread = np.sqrt((profiles**2).mean(axis=1, keepdims=True))
+        profiles /= np.where(spread > 1e-8, spread, 1.0)
+        return (profiles @ self.matrix(profiles.shape[1])).astype(np.float32)
 
 
 def _checked(out: np.ndarray, n: int, provider: Provider) -> np.ndarray:
@@ -188,4 +214,4 @@ def embed_cells(
 
 def project(sparse: DataFrame, n_features: int, dim: int = 256, seed: int = 42) -> DataFrame:
     """Random projection of row-standardised profiles."""
-    return embed_cells(sparse, n_features, RandomProjection(dim, seed))
+    return embed_cells(sparse, n_features, SignProjection(dim, seed))

@@ -72,7 +72,7 @@ def reference_graph(graph: DataFrame | None, fallback: DataFrame) -> DataFrame:
     return (fallback if graph is None else graph).where(F.col("src") != F.col("dst"))
 
 
-def rewire(edges: DataFrame, seed: int = 42, rounds: int = 10) -> DataFrame:
+def rewire(edges: DataFrame, seed: int = 42, rounds: int = 20) -> DataFrame:
     """Random graph with the same in and out degrees; a weight stays with its source.
 
     Each round pairs edges inside small hash buckets, swaps the targets of a

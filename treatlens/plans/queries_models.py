@@ -26,7 +26,7 @@ DIM = 16
 def treatment_vectors(spark: SparkSession, folder: str) -> DataFrame:
     cells = V.treatments(spark, folder)
     sequences, _ = embeddings.sequence_source(cells)
-    done = embeddings.treatment_vectors(cells, sequences, embeddings.HashedSequences(DIM))
+    done = embeddings.treatment_vectors(cells, sequences, embeddings.KmerSpectrum(DIM))
     return done.select("perturbation_id", F.size("vector").alias("dim"), "found")
 
 
@@ -41,7 +41,7 @@ def sequence_metadata(spark: SparkSession, folder: str) -> DataFrame:
     cells = V.treatments(spark, folder)
     known, source = embeddings.sequence_source(cells)
     blank = F.when(F.col("perturbation_id") == V.CONTROL_PRIORITY, " ").otherwise(F.col("sequence"))
-    provider = embeddings.HashedSequences(DIM)
+    provider = embeddings.KmerSpectrum(DIM)
     vectors = embeddings.treatment_vectors(cells, known.withColumn("sequence", blank), provider)
     row = embeddings.sequence_metadata(cells, vectors, provider, source)
     return row.select(
@@ -53,7 +53,7 @@ def sequence_metadata(spark: SparkSession, folder: str) -> DataFrame:
 def embed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     cells = V.treatments(spark, folder)
     sequences, _ = embeddings.sequence_source(cells, perturbations=V.treatment_loci(spark, folder))
-    vectors = embeddings.treatment_vectors(cells, sequences, embeddings.HashedSequences(DIM))
+    vectors = embeddings.treatment_vectors(cells, sequences, embeddings.KmerSpectrum(DIM))
     return embeddings.embed_sequences(cells, vectors)
 
 
@@ -210,7 +210,7 @@ def _fitted(spark: SparkSession, folder: str) -> tuple[transport.LinearTransport
     sparse, feats, n = _sparse(data)
     sparse = cut_lineage(sparse, "sparse")
     sequences, _ = embeddings.sequence_source(data.cells)
-    vectors = embeddings.treatment_vectors(data.cells, sequences, embeddings.HashedSequences(DIM))
+    vectors = embeddings.treatment_vectors(data.cells, sequences, embeddings.KmerSpectrum(DIM))
     per_cell = embeddings.embed_sequences(data.cells, vectors)
     rows, source = transport.transport_pairs(sparse, data.cells, n, "control_mean", per_cell)
     rows = cut_lineage(rows, "rows")

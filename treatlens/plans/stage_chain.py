@@ -87,7 +87,7 @@ class Chain:
 
     def embed(self) -> None:
         cells, dim = self.read("preprocess_cells"), self.cfg.embedding_dim
-        provider = embeddings.HashedSequences(dim, self.cfg.seed)
+        provider = embeddings.KmerSpectrum(dim, self.cfg.seed)
         sequences, source = embeddings.sequence_source(cells, perturbations=self.read("ingest_perturbations"))
         vectors = self.save("treatment_vectors", embeddings.treatment_vectors(cells, sequences, provider))
         self.save("sequence_metadata", embeddings.sequence_metadata(cells, vectors, provider, source))
@@ -95,7 +95,7 @@ class Chain:
             "sparse", to_sparse(self.read("preprocess_expr"), self.read("features"), "z", cells.select("cell_id"))
         )
         states = embeddings.embed_cells(
-            sparse, len(self.feature_ids()), embeddings.RandomProjection(dim, self.cfg.seed)
+            sparse, len(self.feature_ids()), embeddings.SignProjection(dim, self.cfg.seed)
         )
         both = embeddings.embed_sequences(cells, vectors).join(states, "cell_id")
         saved = self.save("embed_vectors", both)

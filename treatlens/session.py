@@ -43,6 +43,8 @@ def _shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not context.master.startswith("local") and (named.startswith("file:") or named.startswith("/tmp/")):
+        raise RuntimeError(f"spark.checkpoint.dir is '{named}', a folder of one machine; a cluster needs a shared one")
     context.setCheckpointDir(named)
     return context.getCheckpointDir() or named
 

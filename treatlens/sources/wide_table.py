@@ -35,7 +35,7 @@ SPECS: dict[str, dict[str, object]] = {
         "cell_type": "K562",
         "protocol": "perturbseq_replogle_2022",
         "batch_prefix": "replogle_batch",
-        "hard_cap": 5000,
+        "hard_cap": None,
         "seed": 42,
     },
 }
