@@ -183,8 +183,9 @@ def extract_windows(
     cfg = cfg or WindowSettings()
     loci = cut_lineage(classify_locus(perts, contig_lengths(contigs), cfg.size), "loci")
     cut = _cut(dedup_loci(loci), contigs, cfg.size, chunk)
-    joined = loci.join(cut, "cache_key", "left")
     ok = F.col("reason") == "ok"
+    # Fallback loci share one empty key, so they pass by the join.
+    joined = loci.where(ok).join(cut, "cache_key", "left").unionByName(loci.where(~ok), allowMissingColumns=True)
 
     def or_missing(col: str) -> Column:
         value = F.col(col)
