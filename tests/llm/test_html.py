@@ -39,6 +39,12 @@ def test_host_without_article_keeps_what_changes(spark):
     assert [r[2] for r in read(spark, rows)] == [f"story {i}" for i in range(5)]
 
 
+def test_templates_of_a_host_may_differ(spark):
+    rows = [(i, f"http://g.org/{i}", f"<body><article><p>piece {i}</p></article></body>", "", "") for i in range(3)]
+    rows += [(i, f"http://g.org/{i}", f"<body><div class=story><p>tale {i}</p></div></body>", "", "") for i in range(3, 6)]
+    assert [r[2] for r in read(spark, rows)] == [f"piece {i}" for i in range(3)] + [f"tale {i}" for i in range(3, 6)]
+
+
 def test_wrapper_has_repeats_optionals_and_slots(spark):
     a = folded(Page("<body><h1>x</h1><p>1</p><p>2</p></body>").tree)
     b = folded(Page("<body><h1>y</h1><div>extra</div><p>1</p></body>").tree)

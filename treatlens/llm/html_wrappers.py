@@ -57,6 +57,7 @@ _CLOSES = {  # an opening element ends these if one is open
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"},
 }
+REGIONS = frozenset({"article", "main"})
 _SCOPE = frozenset("table ul ol dl article section div main body html".split())
 
 #: A wrapper: [key, optional, repeated, children]; a text slot has the key "#".
@@ -229,21 +230,32 @@ def _names(path: str) -> list[str]:
 
 
 def content_paths(wrapper: Node, seen: dict[str, dict]) -> list[str]:
-    """Slots of the article among a wrapper's.
+    """Slots of a wrapper that may hold the article.
 
-    Inside ``article`` (else ``main``) all that is not marked as something else.
-    Without either, slots whose text changes from page to page, or of a host with
-    one page, and of which less than half are links.
+    Inside ``article`` or ``main`` all that is not marked as something else.
+    Elsewhere slots whose text changes from page to page, or of a host with one
+    page, and of which less than half are links.
     """
-    paths = [p for p in dict.fromkeys(slots(wrapper)) if p in seen]
+    return [
+        p for p in dict.fromkeys(slots(wrapper))
+        if p in seen and (
+            not REGIONS.isdisjoint(_names(p))
+            or (seen[p]["low"] != seen[p]["high"] or seen[p]["pages"] < 2) and 2 * seen[p]["links"] < seen[p]["chars"]
+        )
+    ]
+
+
+def article(blocks: list[tuple[str, str, int]], content: set[str]) -> list[str]:
+    """Texts of a page's blocks in content slots: those in ``article``, else in ``main``, else all.
+
+    The choice is made page by page, as the pages of a host need not share one template.
+    """
+    held = [(p, t) for p, t, _ in blocks if p in content]
     for region in ("article", "main"):
-        inside = [p for p in paths if region in _names(p)]
+        inside = [t for p, t in held if region in _names(p)]
         if inside:
             return inside
-    return [
-        p for p in paths
-        if (seen[p]["low"] != seen[p]["high"] or seen[p]["pages"] < 2) and 2 * seen[p]["links"] < seen[p]["chars"]
-    ]
+    return [t for _, t in held]
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +348,7 @@ def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for source, content in zip(rows_of(batch, "html"), rows_of(batch, "content")):
-            held = set(content or [])
-            texts.append("\n\n".join(t for p, t, _ in Page(source).blocks if p in held))
+            texts.append("\n\n".join(article(Page(source).blocks, set(content or []))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
