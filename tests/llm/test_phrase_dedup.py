@@ -58,6 +58,16 @@ def test_long_text_is_cut_without_loss(spark, docs, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_tasks_follow_the_size_of_the_texts(docs, monkeypatch):
+    rows = texts(3)
+    monkeypatch.setattr(phrase_dedup, "TASK_BYTES", 1000)
+    frame = docs(rows)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert phrase_dedup._buckets(frame) == -(-size // 1000)
+    got = remove_repeats(frame).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_null_and_repeated_ids(spark, docs, empty_docs):
     t = "some passage that is surely longer than fifty bytes, as it must be"
     got = sorted(((r.doc_id, r.n_removed) for r in remove_repeats(docs([(None, t), (7, t), (7, t), (7, t + "!"), (8, t)])).collect()), key=str)
@@ -67,7 +77,7 @@ def test_null_and_repeated_ids(spark, docs, empty_docs):
 
 def test_columns_come_back_with_shortened_texts(spark, docs):
     t = "\u00e9" * 40
-    frame = docs([(1, t + "tail"), (2, "head" + t), (3, None), (None, t), (4, t), (4, t)], extra=["tag", "kept"])
+    frame = docs([(1, t + "tail"), (2, "head" + t), (3, None), (None, t), (4, t), (4, t)], extra=["tag", "kept", "_id", "_tag", "_kept", "_text_tag"])
     out = without_repeats(frame)
     assert out.columns == frame.columns
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)

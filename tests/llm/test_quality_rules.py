@@ -70,7 +70,7 @@ def test_keep_good_drops_base_failures_and_learned_junk(spark, docs):
     good = [" ".join(word() for _ in range(80)) for _ in range(120)]
     junk = [" ".join(word() + "###" for _ in range(80)) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(good + junk)] + [(500, "too short"), (501, None), (502, "x y z " * 40)]
-    frame_ = docs(rows, extra=["quality"])
+    frame_ = docs(rows, extra=["quality", "_q_n_words", "_label"])
     labels = spark.createDataFrame(
         [(i, int(i < 120)) for i in range(0, 180) if i % 3] + [(1, None), (4, 1), (4, 1)], "doc_id long, quality int"
     )

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treatlens.llm.tables import WORD
+from treatlens.llm.tables import WORD, packed
 
 #: Axis (column) -> value -> share of all tokens.
 Targets = Mapping[str, Mapping[str, float]]
@@ -22,9 +22,9 @@ OTHER = "(other)"
 MAX_CELLS = 20_000
 
 
-def pooled(column: str, values: Mapping[str, float]) -> Column:
+def pooled(column: Column, values: Mapping[str, float]) -> Column:
     """The value itself if it has a target, else ``(other)``; null counts as ``(other)``."""
-    return F.when(F.col(column).isin(*values), F.col(column)).otherwise(F.lit(OTHER))
+    return F.when(column.isin(*values), column).otherwise(F.lit(OTHER))
 
 
 def _shares(values: Mapping[str, float]) -> list[float]:
@@ -95,17 +95,19 @@ def token_count(text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, targets: Targets, tokens: Column | None = None, id_col: str = "doc_id", rounds: int = 25
-) -> DataFrame:
-    """``docs`` with ``_tokens``, ``_probability`` and ``_sampled``; every row comes back.
-
-    ``targets`` names columns of ``docs``. Null texts have no tokens and weigh
-    nothing, but are sampled like others of their cell; a cell without any token
-    has probability 0. Repeated rows share their decision.
+    docs: DataFrame, targets: Targets, tokens: Column | None = None, id_col: str = "doc_id", rounds: int = 25,
+    values: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``_row`` (the columns of ``docs`` in one struct), ``_tokens``, ``_probability`` and ``_sampled``.
+
+    Every row comes back, whatever its columns are called. ``targets`` names
+    columns of ``docs``, or axes that ``values`` computes. Null texts have no
+    tokens and weigh nothing, but are sampled like others of their cell; a cell
+    without any token has probability 0. Repeated rows share their decision.
     """
     tokens = token_count(F.col("text")) if tokens is None else tokens
-    axes = list(targets)
-    keys = [pooled(a, targets[a]).alias(f"_mix_{a}") for a in axes]
+    axes, own = list(targets), values or {}
+    keys = [pooled(own.get(a, F.col(f"`{a}`")), targets[a]).alias(f"_mix_{a}") for a in axes]
     cells = docs.select(*keys, tokens.alias("tokens")).groupBy(*[f"_mix_{a}" for a in axes]).agg(
         F.sum("tokens").alias("tokens")
     )
@@ -114,11 +116,10 @@ def mix(
         *[F.col(a).alias(f"_mix_{a}") for a in axes], F.col("probability").alias("_probability")
     )
     # At most MAX_CELLS rows: the axes were pooled to the values that have targets.
-    joined = docs.select("*", *keys, tokens.alias("_tokens")).join(
+    joined = packed(docs, *keys, tokens.alias("_tokens"), uniform(id_col).alias("_chance")).join(
         F.broadcast(chance), [f"_mix_{a}" for a in axes], "left"
     )
     probability = F.coalesce(F.col("_probability"), F.lit(0.0))
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_tokens", probability.alias("_probability"),
-        (uniform(id_col) < probability).alias("_sampled"),
+        "_row", "_tokens", probability.alias("_probability"), (F.col("_chance") < probability).alias("_sampled"),
     )

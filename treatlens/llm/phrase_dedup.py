@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treatlens.llm.tables import chunks
+from treatlens.llm.tables import chunks, packed, unpacked
 from treatlens.session import cut_lineage
 
 WINDOW, GRAM = 50, 20
@@ -38,6 +38,8 @@ WINDOW, GRAM = 50, 20
 HOT_PHRASES = 256
 #: Bytes of text handled at once in a task, and hashed at once.
 BATCH_BYTES, HASH_BYTES = 6 << 20, 1 << 18
+#: Most text that one task takes on average, whatever the session's number of partitions.
+TASK_BYTES = 32 << 20
 SPANS, TRIGGERS, OPEN, TEXTS, PHRASES = range(5)
 _ROW = "target int, kind int, payload binary"
 _BASE = 0x9E3779B97F4A7C15
@@ -472,8 +474,10 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
 # --- the operator ---------------------------------------------------------
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(docs: DataFrame) -> int:
+    """The session's shuffle partitions, or as many as keep ``TASK_BYTES`` of text to one."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -486,10 +490,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``doc_id`` comes before and after nothing, so such rows keep their text.
     Other columns are not read.
     """
-    spark = docs.sparkSession
-    n = _buckets(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = own.filter("doc_id IS NOT NULL")
+    n = _buckets(named)
 
     def step(rows: DataFrame, fn: Callable) -> DataFrame:
         return rows.repartitionById(n, F.col("target")).mapInArrow(fn, _ROW)
@@ -512,19 +515,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with each text reduced to what is left, and ``n_chars``, where there is one, to its length.
 
     Every row stays, also with an empty text. Bytes of a character of which a
-    part was removed go with it. Null texts stay null.
+    part was removed go with it. Null texts stay null. Columns may have any names.
     """
     left = remove_repeats(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL AND n_removed > 0")
     done = left.mapInArrow(_as_text, "_id long, _tag long, _kept string").dropDuplicates(["_id", "_tag"])
-    tag = F.xxhash64(F.coalesce("text", F.lit("")))
-    both = docs.withColumn("_text_tag", tag).join(
-        done, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_tag") == F.col("_tag")), "left"
-    )
-    text = F.coalesce("_kept", "text")
-    new = {"text": text}
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag")
+    both = packed(docs, F.col("doc_id").cast("long").alias("_id"), tag).join(done, ["_id", "_tag"], "left")
+    new = {"text": F.coalesce("_kept", "_row.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "n_chars")
-    return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "_row.n_chars")
+    return unpacked(both, docs.columns, **new)
 
 
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,9 +81,12 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
 def with_statistics(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     """``docs`` with one long column per statistic, named with ``prefix``.
 
-    Texts are read whole. Other columns pass through; names beginning with the
-    prefix must be free.
+    Texts are read whole. Other columns pass through; those that bear the name
+    of a statistic are refused (``keep_good`` takes any names).
     """
+    taken = sorted({c.lower() for c in docs.columns} & {(prefix + s).lower() for s in STATS})
+    if taken:
+        raise ValueError(f"columns {', '.join(taken)} are taken; choose another prefix")
     fields = [T.StructField(prefix + s, T.LongType(), False) for s in STATS]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,15 @@ def fit_rules(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor the learned list rejects; columns as they were."""
-    rated = with_statistics(docs)
+    """The rows of ``docs`` that neither the base rules nor the learned list rejects; columns as they were.
+
+    Columns may have any names. Repeated rows are judged one by one.
+    """
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    rated = with_statistics(docs, prefix)
     rules = fit_rules(with_statistics(docs.select("doc_id", "text")).drop("text"), labels, sample_rows=sample_rows)
-    return rated.filter(~base_failed() & rules.rejecting_rule().isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rated.filter(~base_failed(prefix) & rules.rejecting_rule(prefix).isNull()).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )

@@ -73,7 +73,7 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     mixed = mix(docs.withColumn("topic", topic_of(F.col("text"))), TARGETS, rounds=ROUNDS)
     return mixed.select(
-        "doc_id", "source", "lang", "topic", F.col("_tokens").alias("n_tokens"),
+        "_row.doc_id", "_row.source", "_row.lang", "_row.topic", F.col("_tokens").alias("n_tokens"),
         F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
     )
 

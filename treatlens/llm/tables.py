@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of every contract here: runs of characters other than space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,5 +30,15 @@ def chunks(texts: Iterable[bytes], limit: int) -> Iterator[list[int]]:
         yield run
 
 
+def packed(df: DataFrame, *needed: str | Column) -> DataFrame:
+    """``needed`` beside all of ``df`` in one struct ``_row``, so that no name of a caller's column can clash."""
+    return df.select(*needed, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: Iterable[str], **new: Column) -> DataFrame:
+    """The columns of the packed rows again, in order; those in ``new`` replaced."""
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
