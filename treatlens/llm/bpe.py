@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treatlens.llm.tables import rows_of
+from treatlens.llm.tables import rows_of, tidy
 
 #: Splits text before the merges (public pattern of byte-level vocabularies); white space is Unicode's property.
 _S = r"\p{White_Space}"
@@ -358,5 +358,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), "text").mapInArrow(
-        run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treatlens.llm.tables import chunks, packed, unpacked
+from treatlens.llm.tables import chunks, packed, tidy, unpacked
 from treatlens.session import cut_lineage
 
 WINDOW, GRAM = 50, 20
@@ -495,14 +495,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = _buckets(named)
 
     def step(rows: DataFrame, fn: Callable) -> DataFrame:
-        return rows.repartitionById(n, F.col("target")).mapInArrow(fn, _ROW)
+        return rows.repartitionById(n, F.col("target")).mapInArrow(tidy(fn), _ROW)
 
-    matched = cut_lineage(step(named.mapInArrow(parse_texts(n), _ROW), match_phrases(n)), "phrases")
-    packed = named.mapInArrow(pack_texts(n), _ROW)
+    matched = cut_lineage(step(named.mapInArrow(tidy(parse_texts(n)), _ROW), match_phrases(n)), "phrases")
+    packed = named.mapInArrow(tidy(pack_texts(n)), _ROW)
     opened = step(packed.unionByName(matched.filter(f"kind = {OPEN}")), open_phrases(n))
     settled = cut_lineage(step(opened, sort_phrases(n)), "spans")
     spans = matched.filter(f"kind = {SPANS}").unionByName(settled)
-    done = packed.unionByName(spans).repartitionById(n, F.col("target")).mapInArrow(cut_texts, _RESULT)
+    done = packed.unionByName(spans).repartitionById(n, F.col("target")).mapInArrow(tidy(cut_texts), _RESULT)
     loose = own.filter("doc_id IS NULL").select(
         "doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treatlens.llm.mixing import uniform
-from treatlens.llm.tables import WORD
+from treatlens.llm.tables import WORD, tidy
 
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -99,7 +99,7 @@ def with_statistics(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
                 names=[*batch.schema.names, *[f.name for f in fields]],
             )
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(tidy(add), T.StructType([*docs.schema.fields, *fields]))
 
 
 def base_failed(prefix: str = "_q_") -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treatlens.llm.components import components
-from treatlens.llm.tables import WORD, rows_of
+from treatlens.llm.tables import WORD, rows_of, tidy
 from treatlens.session import cut_lineage
 
 BITS = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 def blocks_of(n: int, low: int = 0, high: int = BITS) -> list[int]:
@@ -231,7 +231,7 @@ def links_within(nodes: DataFrame, radius: int = 4) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(distinct[i]), pa.array(distinct[j])], names=["a", "b"])
 
     return filed.repartition(F.col("m"), F.col("k")).select("node", "fp", "m", "k").mapInArrow(
-        compare, "a long, b long"
+        tidy(compare), "a long, b long"
     )
 
 

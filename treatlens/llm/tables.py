@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,5 +42,23 @@ def unpacked(df: DataFrame, columns: Iterable[str], **new: Column) -> DataFrame:
     return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``fn`` for ``mapInArrow``; after a task, freed memory goes back to the system.
+
+    A Python worker serves many tasks, and would otherwise keep what its largest
+    one took beside the next stage's needs.
+    """
+
+    @wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
