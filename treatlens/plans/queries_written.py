@@ -47,14 +47,14 @@ def edge_list(spark: SparkSession, folder: str) -> DataFrame:
     "split_manifest",
     queries_splits.SQL
     + """SELECT CAST(cell_id AS VARCHAR) AS cell_id, l.shift_type, part, l.grp AS "group" FROM labels4 l
-    JOIN parts p ON l.shift_type = p.shift_type AND l.grp = p.grp WHERE l.shift_type IN ('protocol', 'cell_type')""",
+    JOIN parts p ON l.shift_type = p.shift_type AND l.grp = p.grp""",
 )
 def split_manifest(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "split")
     cells = cut_lineage(V.cells(spark, folder), "cells")
-    both = splits.split_all(cells, None, queries_splits.CFG, ("protocol", "cell_type"))
-    counts = both.groupBy("shift_type", "part").agg(F.count(F.lit(1)).alias("n"))
-    stages.write_split(both.withColumn("cell_id", F.col("cell_id").cast("string")), counts, path)
+    every = splits.split_all(cells, V.treatment_loci(spark, folder), queries_splits.CFG)
+    counts = every.groupBy("shift_type", "part").agg(F.count(F.lit(1)).alias("n"))
+    stages.write_split(every.withColumn("cell_id", F.col("cell_id").cast("string")), counts, path)
     return stages.read_split(spark, path).select(*S.ASSIGNMENT.fieldNames())
 
 
