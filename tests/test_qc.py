@@ -87,6 +87,12 @@ def test_treatment_shift_against_dense(spark, toy):
                 assert np.isclose(got[(p, g)], z[pert == p].mean(0)[j] - control[j])
 
 
+def test_treatment_shift_needs_controls(toy):
+    treated = toy["cells"].withColumn("perturbation_id", F.lit("p1")).drop("condition")
+    with pytest.raises(Exception, match="no control cells"):
+        qc.treatment_shift(toy["expr"], treated).collect()
+
+
 def test_same_result_for_any_partitioning(spark, toy):
     def run(n):
         shifted = qc.treatment_shift(toy["expr"].repartition(n), toy["cells"].repartition(n))

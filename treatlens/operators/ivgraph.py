@@ -35,7 +35,7 @@ from treatlens.session import cut_lineage
 class GraphSettings:
     """Parameters of the two-stage fit."""
 
-    max_features: int = 128
+    max_features: int | None = None
     stage1_alpha: float = 1e-3
     stage2_alpha: float = 1e-3
     draws: int = 24
@@ -44,7 +44,7 @@ class GraphSettings:
     naive: bool = True
 
     def __post_init__(self) -> None:
-        if self.max_features <= 1:
+        if self.max_features is not None and self.max_features <= 1:
             raise ValueError("max_features must be greater than 1")
         if self.stage1_alpha < 0 or self.stage2_alpha < 0:
             raise ValueError("ridge penalties must not be negative")
@@ -55,21 +55,25 @@ class GraphSettings:
 
 
 def select_graph_features(
-    genes: DataFrame, expr: DataFrame, n_cells: int, k: int = 128, value: str = "z"
+    genes: DataFrame, expr: DataFrame, n_cells: int, k: int | None = None, value: str = "z"
 ) -> DataFrame:
-    """(gene_id, idx): flagged genes in id order when there are any, else the k most variable.
+    """(gene_id, idx): flagged genes in id order when there are any, else genes by falling variance.
 
-    At most ``k`` rows leave either branch, so the numbering window is small.
+    Without ``k`` every such gene takes part. The numbering window holds one row
+    per feature; the fit that follows holds the square of that in a task.
     """
+    order = [F.asc("gene_id")]
     chosen: DataFrame | None = None
     if "highly_variable" in genes.columns:
-        flagged = genes.where(F.col("highly_variable")).select("gene_id").orderBy("gene_id").limit(k)
+        flagged = genes.where(F.col("highly_variable")).select("gene_id")
         if not flagged.isEmpty():
-            chosen = flagged.select("gene_id", F.row_number().over(Window.orderBy("gene_id")).alias("r"))
+            chosen = flagged
     if chosen is None:
         order = [F.desc("variance"), F.asc("gene_id")]
-        top = feature_variance(expr, n_cells, value).orderBy(*order).limit(k)
-        chosen = top.select("gene_id", F.row_number().over(Window.orderBy(*order)).alias("r"))
+        chosen = feature_variance(expr, n_cells, value)
+    if k is not None:
+        chosen = chosen.orderBy(*order).limit(k)
+    chosen = chosen.select("gene_id", F.row_number().over(Window.orderBy(*order)).alias("r"))
     out = cut_lineage(chosen.select("gene_id", (F.col("r") - 1).cast("int").alias("idx")), "graph-features")
     if out.count() < 2:
         raise ValueError("the graph needs at least 2 features")
@@ -125,11 +129,19 @@ def _stage2(
     """Weights (source, target) of one regression per target.
 
     ``lhs`` is D'D for D = [1, sources, covariates], ``response`` is D'Y. The
-    row and column of the target's own source are left out of its system.
+    row and column of the target's own source are left out of its system. With a
+    penalty one inverse serves all targets: leaving out entry k of a system with
+    inverse P and full solution u changes the solution by ``-P[:, k] u[k] / P[k, k]``.
     """
     out = np.zeros((n_y, n_y))
     penalty = np.full(lhs.shape[0], alpha)
     penalty[0] = 0.0
+    if alpha > 0 and lhs[0, 0] > 0:
+        inverse = np.linalg.inv(lhs + np.diag(penalty))
+        full, own = inverse @ response, np.arange(n_y)
+        out = (full - inverse[:, 1 : 1 + n_y] * (full[1 + own, own] / inverse[1 + own, 1 + own]))[1 : 1 + n_y]
+        out[own, own] = 0.0
+        return out
     for target in range(n_y):
         keep = np.delete(np.arange(lhs.shape[0]), 1 + target)
         coef = ridge_solve(lhs[np.ix_(keep, keep)], response[keep, target], penalty[keep])
@@ -199,7 +211,7 @@ def graph_inputs(
     with_proxies, names = proxies(cells)
     keyed, reference = instruments(with_proxies)
     slim = keyed.select("cell_id", F.col("proxies").alias("w"), "key", F.xxhash64("cell_id").alias("h"))
-    rows = to_sparse(expr, F.broadcast(features), value, slim)
+    rows = to_sparse(expr, features, value, slim)
     return GraphInputs(features, rows, len(names), features.count(), reference, names)
 
 
@@ -249,21 +261,19 @@ def edge_table(fits: DataFrame, features: DataFrame, cfg: GraphSettings) -> Data
     else:
         zero = F.lit(0.0)
         joined = point.select("*", zero.alias("standard_error"), zero.alias("ci_lower"), zero.alias("ci_upper"))
-    named = F.broadcast(features)  # at most max_features rows
     return (
-        joined.join(named.select(F.col("idx").alias("source"), F.col("gene_id").alias("source_gene_id")), "source")
-        .join(named.select(F.col("idx").alias("target"), F.col("gene_id").alias("target_gene_id")), "target")
+        joined.join(features.select(F.col("idx").alias("source"), F.col("gene_id").alias("source_gene_id")), "source")
+        .join(features.select(F.col("idx").alias("target"), F.col("gene_id").alias("target_gene_id")), "target")
         .select("source_gene_id", "target_gene_id", "weight", "standard_error", "ci_lower", "ci_upper")
     )
 
 
 def naive_edges(fits: DataFrame, features: DataFrame) -> DataFrame:
     """(source_gene_id, target_gene_id, weight) of the regression without instruments and proxies."""
-    named = F.broadcast(features)  # at most max_features rows
     return (
         fits.where((F.col("draw") == 0) & (F.col("kind") == "naive"))
-        .join(named.select(F.col("idx").alias("source"), F.col("gene_id").alias("source_gene_id")), "source")
-        .join(named.select(F.col("idx").alias("target"), F.col("gene_id").alias("target_gene_id")), "target")
+        .join(features.select(F.col("idx").alias("source"), F.col("gene_id").alias("source_gene_id")), "source")
+        .join(features.select(F.col("idx").alias("target"), F.col("gene_id").alias("target_gene_id")), "target")
         .select("source_gene_id", "target_gene_id", "weight")
     )
 

@@ -16,12 +16,12 @@ from treatlens.plans.queries_qc import rounded
 from treatlens.plans.registry import query
 from treatlens.session import cut_lineage, scratch_path
 
-DIM = 16
+DIM = 256
 
 
 @query(
     "treatment_vectors",
-    """SELECT DISTINCT o_orderpriority AS perturbation_id, 16 AS dim, TRUE AS found FROM orders""",
+    """SELECT DISTINCT o_orderpriority AS perturbation_id, 256 AS dim, TRUE AS found FROM orders""",
 )
 def treatment_vectors(spark: SparkSession, folder: str) -> DataFrame:
     cells = V.treatments(spark, folder)
@@ -123,7 +123,7 @@ def iv_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    fit = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(max_features=12, draws=24))
+    fit = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=24))
     return fit.edges
 
 
@@ -185,24 +185,22 @@ def edge_table(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "transport_pairs",
     SQL_BASE
-    + """SELECT c.cell_id, g.gene_id, round(COALESCE(cm, 0), 6) + 0.0 AS source, round(COALESCE(z, 0), 6) + 0.0 AS target
-    FROM cells c CROSS JOIN genes g LEFT JOIN normal n ON n.cell_id = c.cell_id AND n.gene_id = g.gene_id
-    LEFT JOIN ctl ON ctl.gene_id = g.gene_id""",
+    + """SELECT 'target' AS part, cell_id, gene_id, round(z, 6) + 0.0 AS value FROM normal JOIN genes USING (gene_id)
+    UNION ALL SELECT 'source', NULL, gene_id, round(COALESCE(cm, 0), 6) + 0.0 FROM genes LEFT JOIN ctl USING (gene_id)""",
 )
 def transport_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The non-zero targets of every cell, and the common source profile once."""
     data = Inputs(spark, folder)
     sparse, feats, n = _sparse(data)
     rows, source = transport.transport_pairs(sparse, data.cells, n)
-    order = [r["gene_id"] for r in feats.orderBy("idx").collect()]
-    # Opened to one row per cell and gene for the comparison.
-    filled = F.map_from_entries(F.arrays_zip(F.col("idx"), F.col("val")))
-    slots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g"), F.lit(s).alias("s")) for i, (g, s) in enumerate(zip(order, source))])
-    return rows.select("cell_id", filled.alias("m"), F.explode(slots).alias("t")).select(
-        "cell_id",
-        F.col("t.g").alias("gene_id"),
-        rounded(F.col("t.s")).alias("source"),
-        rounded(F.coalesce(F.try_element_at("m", F.col("t.i")), F.lit(0.0))).alias("target"),
+    targets = rows.select("cell_id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select(
+        F.lit("target").alias("part"), "cell_id", F.col("e.idx").alias("idx"), F.col("e.val").alias("value")
     )
+    profile = spark.createDataFrame(list(enumerate(source)), "idx int, value double").select(
+        F.lit("source").alias("part"), F.lit(None).cast(data.cells.schema["cell_id"].dataType).alias("cell_id"), "idx", "value"
+    )
+    both = targets.unionByName(profile).join(feats, "idx")
+    return both.select("part", "cell_id", "gene_id", rounded(F.col("value")).alias("value"))
 
 
 def _fitted(spark: SparkSession, folder: str) -> tuple[transport.LinearTransport, DataFrame, DataFrame, DataFrame, Inputs]:

@@ -43,7 +43,7 @@ class ChainSettings:
     """Settings of the whole chain."""
 
     qc: qc.QcSettings = field(default_factory=lambda: qc.QcSettings(min_counts=1, min_genes=1, min_cells=1))
-    graph: ivgraph.GraphSettings = field(default_factory=lambda: ivgraph.GraphSettings(max_features=40, draws=0))
+    graph: ivgraph.GraphSettings = field(default_factory=lambda: ivgraph.GraphSettings(draws=0))
     evaluation: EvaluationSettings = field(default_factory=EvaluationSettings)
     embedding_dim: int = 256
     alpha: float = 1e-3
