@@ -17,6 +17,8 @@ from treatlens.plans.registry import query
 from treatlens.session import cut_lineage, scratch_path
 
 DIM = 256
+#: Width in the staged job, whose every stage is written and read again.
+CHAIN_DIM = 16
 
 
 @query(
@@ -294,6 +296,6 @@ def run_stages(spark: SparkSession, folder: str) -> DataFrame:
         "vectors": None,
         "version": None,
     }
-    cfg = stage_chain.ChainSettings(embedding_dim=DIM)
+    cfg = stage_chain.ChainSettings(embedding_dim=CHAIN_DIM)
     stage_chain.run_stages(spark, tables, root, "catalogue", cfg)
     return spark.read.json(f"{root}/card").select("metrics.*")
