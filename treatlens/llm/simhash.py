@@ -10,12 +10,14 @@ the 64-entry words in which every counter has passed the radius.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +33,33 @@ _WORD = re.compile(WORD.encode())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Bits set in over half of the shingle hashes, repeats included; 0 without words.
+def words_of(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode("utf-8").translate(_LOWER))
 
-    Shingles are ``width`` words joined by spaces, or all words if there are
-    fewer. A null text counts as empty.
-    """
-    words = _WORD.findall((text or "").encode("utf-8").translate(_LOWER))
+
+def shingles(words: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of ``width`` words joined by spaces, or of all words if there are fewer."""
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     digest = xxhash.xxh64_intdigest
     stops = ends[min(width, len(words)) - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Bits set in over half of the shingle hashes, repeats included; 0 without words.
+
+    A null text counts as empty.
+    """
+    return _majority(shingles(words_of(text), width, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 8192):  # bounded memory for very long texts
         part = np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, BITS)
@@ -253,12 +266,195 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     return marked.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
+#: Parts by hash into which every band of sizes is dealt; each pair of parts is compared by itself.
+PARTS = 8
+_UNIT = ["band", "i", "j"]
+
+
+def _sketches(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """``doc_id``, ``fp``, ``size`` (distinct shingles) and ``words`` (digest of the word sequence)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, digests = [], [], []
+            for text in rows_of(batch, "text"):
+                words = words_of(text)
+                hashes = shingles(words, width, seed)
+                fps.append(_majority(hashes))
+                sizes.append(len(np.unique(hashes)))
+                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
+                names=["doc_id", "fp", "size", "words"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long, size long, words string")
+
+
+def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """``node``, ``words`` and ``held``, the sorted distinct shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [words_of(t) for t in rows_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()),
+                    pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in texts], pa.string()),
+                    pa.array([np.unique(shingles(w, width, seed)).tobytes() for w in texts], pa.binary()),
+                ],
+                names=["node", "words", "held"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "node long, words string, held binary")
+
+
+def candidates(unit: dict[str, np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Per entry of one unit the later entries within ``radius`` bits whose sizes allow the similarity.
+
+    Each pair of entries is met in one unit only: a pair of one band in that
+    band's, others in the lower band's, where the higher band's entries are guests.
+    """
+    order = np.argsort(unit["guest"], kind="stable")
+    fps, sizes, guest, part = (unit[k][order] for k in ("fp", "size", "guest", "part"))
+    fps, n, home = fps.view(np.uint64), len(order), int((~guest).sum())
+    cross = unit["i"][0] != unit["j"][0]
+    step = max(1, (1 << 20) // max(1, n))
+    for at in range(0, home, step):
+        rows = slice(at, min(at + step, home))
+        near = np.bitwise_count(fps[rows, None] ^ fps[None, :]) <= radius
+        for a, b in _runs(*np.nonzero(near)):
+            x = at + a
+            b = b[b > x]
+            b = b[np.minimum(sizes[b], sizes[x]) >= similarity * np.maximum(sizes[b], sizes[x]) - 1e-9]
+            if cross:
+                b = b[part[b] != part[x]]
+            if len(b):
+                yield int(order[x]), order[b]
+
+
+def _runs(rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if len(rows):
+        for a, b in _files(rows):
+            yield int(rows[a]), columns[a:b]
+
+
+def confirmed(held: list[np.ndarray], found: Iterator[tuple[int, np.ndarray]], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the candidates whose sets reach the similarity."""
+    codes = np.unique(np.concatenate(held), return_inverse=True)[1].ravel()
+    ends = np.cumsum([len(h) for h in held])
+    sets = np.split(codes, ends[:-1])
+    mark = np.zeros(len(codes) + 1, bool)
+    label = np.arange(len(held))
+    for x, others in found:
+        mark[sets[x]] = True
+        for y in others[label[others] != label[x]].tolist():
+            if label[y] == label[x]:
+                continue
+            common = int(np.count_nonzero(mark[sets[y]]))
+            if common >= similarity * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
+                label[label == label[y]] = label[x]
+                yield x, y
+        mark[sets[x]] = False
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    whole = pa.Table.from_batches(parts)
+    whole = whole.take(pa.compute.sort_indices(whole, [(k, "ascending") for k in _UNIT]))
+    keys = np.stack([whole[k].to_numpy() for k in _UNIT])
+    cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), keys.shape[1]]):
+        yield whole.slice(a, b - a)
+
+
+_FIELDS = ["node", "words", "fp", "size", "band", "i", "j", "guest", "part"]
+_FIELD_TYPES = "node long, words string, fp long, size long, band long, i long, j long, guest boolean, part long"
+
+
+def _entries(unit: pa.Table) -> dict[str, np.ndarray]:
+    return {k: unit[k].to_numpy(zero_copy_only=False) for k in ("fp", "size", "i", "j", "guest", "part")}
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, similarity: float, radius: int, width: int = 5, seed: int = 42) -> DataFrame:
+    """Links ``(a, b)`` between nodes that connect all pairs within ``radius`` bits and of at least this Jaccard similarity.
+
+    ``classes`` has one row ``(node, fp, size, words)`` per distinct word
+    sequence. Sizes of similar sets differ by less than the similarity, so
+    entries are filed by bands of sizes. Fingerprints alone are compared first;
+    shingle sets go only to the units in which their entry has a candidate, and
+    a link leaves a task only if the sets confirm it.
+    """
+    wide = -math.log(similarity) * (1 + 1e-7)
+    part = F.pmod(F.xxhash64("node", "words"), F.lit(PARTS))
+    based = classes.filter("size > 0").select(
+        "node", "words", "fp", "size", F.floor(F.log(F.col("size").cast("double")) / F.lit(wide)).alias("_band"), part.alias("part")
+    )
+    filed = based.select(
+        "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_other")).select(
+        "node", "words", "fp", "size",
+        (F.col("_band") - F.col("guest").cast("long")).alias("band"),
+        F.least("part", F.col("_other").cast("long")).alias("i"),
+        F.greatest("part", F.col("_other").cast("long")).alias("j"),
+        "guest", "part",
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            hit = np.zeros(unit.num_rows, bool)
+            for x, others in candidates(_entries(unit), radius, similarity):
+                hit[x] = True
+                hit[others] = True
+            if hit.any():
+                yield from unit.filter(pa.array(hit)).select(_FIELDS).combine_chunks().to_batches()
+
+    met = cut_lineage(filed.repartition(*_UNIT).mapInArrow(tidy(compare), _FIELD_TYPES), "candidates")
+    asked = met.select(F.col("node").alias("doc_id")).distinct()
+    sets = _sets(docs.join(asked, "doc_id", "left_semi"), width, seed).dropDuplicates(["node", "words"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            ids = unit["node"].to_numpy()
+            held = [np.frombuffer(h.as_py(), np.uint64) for h in unit["held"]]
+            pairs = list(confirmed(held, candidates(_entries(unit), radius, similarity), similarity))
+            if pairs:
+                at = np.array(pairs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
+
+    return met.join(sets, ["node", "words"]).repartition(*_UNIT).select(*_FIELDS, "held").mapInArrow(
+        tidy(confirm), "a long, b long"
+    )
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, radius: int = 16, width: int = 5, seed: int = 42) -> DataFrame:
+    """``doc_id`` and ``component_id`` by links of at least this Jaccard similarity of ``width``-word shingles.
+
+    Texts of equal words are one node; texts without words are equal. Pairs over
+    ``radius`` bits apart are not met. Null ids get the component of equal texts.
+    """
+    marked = cut_lineage(_sketches(docs, width, seed), "sketches")
+    classes = cut_lineage(
+        marked.filter("doc_id IS NOT NULL").groupBy("words", "fp", "size").agg(F.min("doc_id").cast("long").alias("node")),
+        "classes",
+    )
+    found = components(similar_links(docs, classes, similarity, radius, width, seed))
+    labels = classes.join(found, "node", "left").select("words", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(labels, "words", "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, similarity: float | None = None) -> DataFrame:
     """The document of each component with the smallest ``doc_id``; columns as they were.
 
-    Of repeated rows with that id one stays. Rows with a null id stay.
+    With a ``similarity``, links within ``radius`` bits count only if the shingle
+    sets reach that Jaccard similarity. Of repeated rows with that id one stays.
+    Rows with a null id stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), radius)
+    texts = docs.select("doc_id", "text")
+    groups = near_duplicates(texts, radius, width) if similarity is None else similar_documents(texts, similarity, radius, width)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
     first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
