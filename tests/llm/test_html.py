@@ -55,3 +55,26 @@ def test_wrapper_has_repeats_optionals_and_slots(spark):
         "page_id long, url string, html string",
     )
     assert [r.wrapper for r in infer_wrappers(pages).collect()] == ["( (body (h1 #)? (p #)))"]
+
+
+def test_copies_of_one_page_keep_its_text(spark):
+    page = "<body><div class=story><h2>Head</h2><p>tale</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page, "", "") for i in range(2)] + [(5, "http://i.org/", page, "", "")]
+    assert [r[2] for r in read(spark, rows)] == ["Head\n\ntale"] * 3
+
+
+def test_constant_slots_beside_changing_ones_stay(spark):
+    page = "<body><div id=top><p>Welcome</p></div><div class=story><h2>Summary</h2><p>{0}</p></div></body>"
+    rows = [(i, f"http://j.org/{i}", page.format(f"tale {i}"), "", "") for i in range(3)]
+    assert [r[2] for r in read(spark, rows)] == [f"Summary\n\ntale {i}" for i in range(3)]
+
+
+def test_one_word_of_a_compound_class_does_not_drop_an_article(spark):
+    article = "<article><div class='article-header'><h1>T</h1></div><p>x</p><div class='comment-list'><p>c</p></div></article>"
+    frames = [
+        f"<body class='no-sidebar'>{article}</body>", f"<body class='sidebar'>{article}</body>",
+        f"<body><div class='has-sidebar'>{article}</div></body>", f"<body><div class='page-header-wrap'>{article}</div></body>",
+    ]
+    rows = [(i, f"http://k{i}.org/", f, "", "") for i, f in enumerate(frames)]
+    rows.append((9, "http://l.org/", f"<body><div class='related-posts'>{article}</div><div class=side-bar><p>s</p></div></body>", "", ""))
+    assert [r[2] for r in read(spark, rows)] == ["T\n\nx"] * 4 + [""]

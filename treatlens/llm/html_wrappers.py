@@ -5,7 +5,8 @@ are aligned element by element into a union-free regular expression: equal token
 stay, a run of equal siblings becomes a repeated group, elements that only some
 pages have become optional groups, and texts become slots. What the slots hold
 over all pages (how much, how much of it links, whether it ever changes) tells
-the article from the template; every page is then read through its host's wrapper.
+the article from the template. A page's own blocks are then filtered by the paths
+of these slots; it is not matched against the expression.
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ MARKED = frozenset(
     "signup login search share social related recommended comment comments respond disqus widget toolbar pagination "
     "complementary contentinfo".split()
 )
+#: Words of layout: in a compound class of an ancestor they do not exclude an article below.
+LAYOUT = frozenset("side sidebar nav navbar menu banner header masthead footer notice widget toolbar".split())
+#: Words that turn the next into a property of the layout, as in "has-sidebar".
+_ABOUT = frozenset("no not has with without hide show".split())
 _CLOSES = {  # an opening element ends these if one is open
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"},
@@ -64,14 +69,32 @@ _SCOPE = frozenset("table ul ol dl article section div main body html".split())
 Node = list
 
 
-def _key(name: str, attributes: str) -> tuple[str, bool]:
-    """Name with class, id and role, and whether these mark boilerplate."""
+#: How an element is marked: not, by a layout word of a compound class, or otherwise.
+_PLAIN, _WEAK, _STRONG = 0, 1, 2
+
+
+def _mark(token: str, inside: bool) -> int:
+    """How one class, id or role marks its element; ``inside`` an article headers belong to it."""
+    words = [x for x in _LABELS.split(token) if x]
+    if not _ABOUT.isdisjoint(words[:-1]):
+        return _PLAIN
+    marks = MARKED.intersection(words)
+    if inside:
+        marks -= {"header", "masthead"}
+    if not marks:
+        return _PLAIN
+    return _WEAK if len(words) > 1 and marks <= LAYOUT else _STRONG
+
+
+def _key(name: str, attributes: str, inside: bool = False) -> tuple[str, int]:
+    """Name with class, id and role, and how these mark boilerplate."""
     if not attributes:
-        return name, False
-    found, marked = [], False
+        return name, _PLAIN
+    found, marked = [], _PLAIN
     for kind, *values in _ATTRIBUTE.findall(attributes):
-        labels = sorted({x for v in values for x in _LABELS.split(v.lower()) if x and not x.isdigit()})
-        marked |= not MARKED.isdisjoint(labels)
+        tokens = [t for v in values for t in v.lower().split()]
+        labels = sorted({x for t in tokens for x in _LABELS.split(t) if x and not x.isdigit()})
+        marked = max([marked, *(_mark(t, inside) for t in tokens)])
         if labels:
             found.append(f"{kind.lower()}={'.'.join(labels)}")
     return " ".join([name, *sorted(found)]), marked
@@ -83,7 +106,7 @@ class Page:
     def __init__(self, source: str | None) -> None:
         self.blocks: list[tuple[str, str, int]] = []  # path, text, characters in links
         self.tree: Node = ["", 0, 0, []]
-        self._open = [("", self.tree, "", False)]  # name, node, path, excluded
+        self._open = [("", self.tree, "", _PLAIN)]  # name, node, path, how it is excluded
         self._text: list[str] = []
         self._links = self._in_link = 0
         self._read(source or "")
@@ -101,10 +124,14 @@ class Page:
         self._text, self._links = [], 0
 
     def _push(self, name: str, attributes: str) -> None:
-        key, marked = _key(name, attributes)
         _, parent, path, excluded = self._open[-1]
         inside = any(n == "article" for n, *_ in self._open)
-        excluded |= marked or name in NEVER or (name == "header" and not inside)
+        key, marked = _key(name, attributes, inside)
+        if name in ("html", "body"):
+            marked = _PLAIN
+        if name in REGIONS and excluded == _WEAK:
+            excluded = _PLAIN
+        excluded = max(excluded, marked, _STRONG * (name in NEVER or (name == "header" and not inside)))
         node = [key, 0, 0, []]
         parent[3].append(node)
         if name not in VOID:
@@ -233,16 +260,26 @@ def content_paths(wrapper: Node, seen: dict[str, dict]) -> list[str]:
     """Slots of a wrapper that may hold the article.
 
     Inside ``article`` or ``main`` all that is not marked as something else.
-    Elsewhere slots whose text changes from page to page, or of a host with one
-    page, and of which less than half are links.
+    Elsewhere slots of which less than half are links and whose text changes from
+    page to page, or which only one page (copies count once) has; and constant
+    slots beside such ones in an element, directly in ``body`` only between them.
     """
-    return [
-        p for p in dict.fromkeys(slots(wrapper))
-        if p in seen and (
-            not REGIONS.isdisjoint(_names(p))
-            or (seen[p]["low"] != seen[p]["high"] or seen[p]["pages"] < 2) and 2 * seen[p]["links"] < seen[p]["chars"]
-        )
-    ]
+    order = list(slots(wrapper))
+    prose = [p for p in order if p in seen and 2 * seen[p]["links"] < seen[p]["chars"]]
+    changing = {p for p in prose if seen[p]["low"] != seen[p]["high"] or seen[p]["first"] == seen[p]["last"]}
+    around: dict[str, list[int]] = {}
+    for i, p in enumerate(order):
+        if p in changing:
+            around.setdefault(p.rpartition("/")[0], []).append(i)
+
+    def among(i: int, path: str) -> bool:
+        parent = path.rpartition("/")[0]
+        at = around.get(parent)
+        return bool(at) and (_names(parent)[-1] not in ("", "html", "body") or at[0] < i < at[-1])
+
+    kept = {p for i, p in enumerate(order) if p in seen and not REGIONS.isdisjoint(_names(p))} | changing
+    kept |= {p for i, p in enumerate(order) if p in prose and among(i, p)}
+    return [p for p in dict.fromkeys(order) if p in kept]
 
 
 def article(blocks: list[tuple[str, str, int]], content: set[str]) -> list[str]:
@@ -270,13 +307,14 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[0] += len(text)
                 held[1] += links
                 held[2].append(text)
+            whole = xxhash.xxh3_64_intdigest(json.dumps(page.blocks)) >> 1
             hosts.append(split_url(url)[0])
             streams.append(json.dumps(folded(page.tree), separators=(",", ":")))
             stats.append([
-                {"path": p, "chars": c, "links": k, "hash": xxhash.xxh3_64_intdigest("\n".join(t)) >> 1}
+                {"path": p, "chars": c, "links": k, "hash": xxhash.xxh3_64_intdigest("\n".join(t)) >> 1, "page": whole}
                 for p, (c, k, t) in texts.items()
             ])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("hash", pa.int64())]))
+        kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("hash", pa.int64()), ("page", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(stats, kind)],
             names=["host", "stream", "slots"],
@@ -317,7 +355,7 @@ def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     """
     survey = cut_lineage(
         pages.select("url", "html").mapInArrow(
-            _survey, "host string, stream string, slots array<struct<path string, chars long, links long, hash long>>"
+            _survey, "host string, stream string, slots array<struct<path string, chars long, links long, hash long, page long>>"
         ),
         "survey",
     )
@@ -330,14 +368,15 @@ def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
         survey.select("host", F.explode("slots").alias("s"))
         .groupBy("host", "s.path")
         .agg(
-            F.count(F.lit(1)).alias("pages"),
+            F.min("s.page").alias("first"),
+            F.max("s.page").alias("last"),
             F.sum("s.chars").alias("chars"),
             F.sum("s.links").alias("links"),
             F.min("s.hash").alias("low"),
             F.max("s.hash").alias("high"),
         )
         .groupBy("host")  # one entry per slot of the wrapper
-        .agg(F.collect_list(F.struct("path", "pages", "chars", "links", "low", "high")).alias("seen"))
+        .agg(F.collect_list(F.struct("path", "first", "last", "chars", "links", "low", "high")).alias("seen"))
     )
     return whole.join(seen, "host", "left").mapInArrow(
         _choose, "host string, wrapper string, content array<string>"
