@@ -31,14 +31,21 @@ def _shares(values: Mapping[str, float]) -> list[float]:
     return [float(v) for v in values.values()] + [max(0.0, 1.0 - sum(values.values()))]
 
 
-def cell_probabilities(cells: DataFrame, targets: Targets, rounds: int = 25) -> DataFrame:
+def cell_probabilities(cells: DataFrame, targets: Targets, rounds: int = 25, rate: float | None = None) -> DataFrame:
     """Raked weight and sampling probability of every cell (axis columns, ``tokens``).
 
     One round scales the cells of each axis in turn to its marginals. A target
-    no cell can serve leaves the others in proportion. The probability is the
-    cell's factor divided by the largest factor, so the expected mix is the
-    raked one. Without tokens there is nothing to weigh: no cell, no row.
+    no cell can serve leaves the others in proportion. Without tokens there is
+    nothing to weigh: no cell, no row.
+
+    With a ``rate``, the share of all tokens that is asked for, a cell is asked
+    for ``wanted`` tokens and kept with ``min(1, wanted / tokens)``; what a cell
+    taken whole cannot give is its ``shortfall``. Without one the probability is
+    the cell's factor divided by the largest factor: the expected mix is exactly
+    the raked one, and the scarcest cell sets how much of the corpus is kept.
     """
+    if rate is not None and not 0 < rate < float("inf"):
+        raise ValueError("the rate must be a positive number")
     axes = list(targets)
     if any(v < 0 for t in targets.values() for v in t.values()):
         raise ValueError("target shares must not be negative")
@@ -70,17 +77,30 @@ def cell_probabilities(cells: DataFrame, targets: Targets, rounds: int = 25) ->
     )
     factors = raked.select(
         "_start", "_end", F.zip_with("_start", "_end", lambda a, b: b["w"] / a["w"]).alias("_factor")
-    ).select("_start", "_end", "_factor", F.array_max("_factor").alias("_top"))
-    flat = factors.select(F.explode(F.arrays_zip("_start", "_end", "_factor")).alias("c"), "_top")
+    ).select(
+        "_start", "_end", "_factor", F.array_max("_factor").alias("_top"),
+        F.expr("aggregate(_start, 0D, (m, x) -> m + x.w)").alias("_tokens"),
+        F.expr("aggregate(_end, 0D, (m, x) -> m + x.w)").alias("_raked"),
+    )
+    flat = factors.select(F.explode(F.arrays_zip("_start", "_end", "_factor")).alias("c"), "_top", "_tokens", "_raked")
     names = [
         F.element_at(F.array(*[F.lit(v) for v in [*targets[a], OTHER]]), F.col(f"c._start._{a}")).alias(a)
         for a in axes
     ]
+    tokens, end, factor = F.col("c._start.w"), F.col("c._end.w"), F.col("c._factor")
+    if rate is None:
+        chance = F.coalesce(F.try_divide(factor, F.col("_top")), F.lit(0.0))
+        wanted = chance * tokens
+    else:
+        wanted = F.coalesce(F.try_divide(end, F.col("_raked")), F.lit(0.0)) * F.col("_tokens") * F.lit(float(rate))
+        chance = F.least(F.lit(1.0), wanted / tokens)
     return flat.select(
         *names,
-        F.col("c._start.w").alias("tokens"),
-        F.col("c._end.w").alias("raked"),
-        F.coalesce(F.try_divide(F.col("c._factor"), F.col("_top")), F.lit(0.0)).alias("probability"),
+        tokens.alias("tokens"),
+        end.alias("raked"),
+        chance.alias("probability"),
+        wanted.alias("wanted"),
+        F.greatest(F.lit(0.0), wanted - tokens).alias("shortfall"),
     )
 
 
@@ -94,9 +114,23 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mix_cells(
+    docs: DataFrame, targets: Targets, tokens: Column | None = None, rounds: int = 25,
+    values: Mapping[str, Column] | None = None, rate: float | None = None,
+) -> DataFrame:
+    """The report of a mix: per cell its tokens, what was wanted of it, its probability and its shortfall."""
+    tokens = token_count(F.col("text")) if tokens is None else tokens
+    own = values or {}
+    keys = [pooled(own.get(a, F.col(f"`{a}`")), targets[a]).alias(f"_mix_{a}") for a in targets]
+    cells = docs.select(*keys, tokens.alias("tokens")).groupBy(*[f"_mix_{a}" for a in targets]).agg(
+        F.sum("tokens").alias("tokens")
+    )
+    return cell_probabilities(cells.select(*[F.col(f"_mix_{a}").alias(a) for a in targets], "tokens"), targets, rounds, rate)
+
+
 def mix(
     docs: DataFrame, targets: Targets, tokens: Column | None = None, id_col: str = "doc_id", rounds: int = 25,
-    values: Mapping[str, Column] | None = None,
+    values: Mapping[str, Column] | None = None, rate: float | None = None,
 ) -> DataFrame:
     """``_row`` (the columns of ``docs`` in one struct), ``_tokens``, ``_probability`` and ``_sampled``.
 
@@ -104,15 +138,12 @@ def mix(
     columns of ``docs``, or axes that ``values`` computes. Null texts have no
     tokens and weigh nothing, but are sampled like others of their cell; a cell
     without any token has probability 0. Repeated rows share their decision.
+    ``rate`` is explained at ``cell_probabilities``.
     """
     tokens = token_count(F.col("text")) if tokens is None else tokens
     axes, own = list(targets), values or {}
     keys = [pooled(own.get(a, F.col(f"`{a}`")), targets[a]).alias(f"_mix_{a}") for a in axes]
-    cells = docs.select(*keys, tokens.alias("tokens")).groupBy(*[f"_mix_{a}" for a in axes]).agg(
-        F.sum("tokens").alias("tokens")
-    )
-    cells = cells.select(*[F.col(f"_mix_{a}").alias(a) for a in axes], "tokens")
-    chance = cell_probabilities(cells, targets, rounds).select(
+    chance = mix_cells(docs, targets, tokens, rounds, values, rate).select(
         *[F.col(a).alias(f"_mix_{a}") for a in axes], F.col("probability").alias("_probability")
     )
     # At most MAX_CELLS rows: the axes were pooled to the values that have targets.
