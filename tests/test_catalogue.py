@@ -36,3 +36,22 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert catalogue.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["rewire", "rewire_invariants"])
+def test_rewiring_queries_run_all_rounds(spark, monkeypatch, name):
+    import inspect
+
+    from treatlens.operators import graph
+
+    real, asked = graph.rewire, []
+
+    def noted(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append(bound.arguments["rounds"])
+        return bound.arguments["edges"].select("src", "dst", "weight")
+
+    monkeypatch.setattr(graph, "rewire", noted)
+    catalogue.queries()[name](spark, FOLDER)
+    assert asked == [20]

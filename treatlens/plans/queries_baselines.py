@@ -386,7 +386,7 @@ def graph_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def rewire(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the rewired correlation graph: both degree differences are 0."""
     base = metrics.cut_lineage(_graph(Inputs(spark, folder)), "graph")
-    return graph.graph_metrics(base, graph.rewire(base, seed=42, rounds=4))
+    return graph.graph_metrics(base, graph.rewire(base, seed=42))
 
 
 @query(

@@ -213,7 +213,7 @@ def sinkhorn(spark: SparkSession, folder: str) -> DataFrame:
 def rewire_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Rewiring keeps edge count and degrees and makes no self or repeated edge."""
     base = cut_lineage(_graph(Inputs(spark, folder)), "graph")
-    done = cut_lineage(graph.rewire(base, seed=42, rounds=4), "rewired")
+    done = cut_lineage(graph.rewire(base, seed=42), "rewired")
     scores = graph.graph_metrics(base, done).where(F.col("metric") != "edge_overlap_fraction")
     extra = done.agg(
         F.count_if(F.col("src") == F.col("dst")).cast("double").alias("self_edges"),
