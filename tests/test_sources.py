@@ -151,3 +151,19 @@ def test_chain_stops_resumes_and_completes(spark, tmp_path, toy):
     suite = IO.read_stage(spark, f"{root}/baseline_suite")
     gap = suite.where("metric in ('in_degree_l1_diff', 'out_degree_l1_diff')").agg(F.sum("value")).first()[0]
     assert gap == 0.0 and set(S.BASELINE_NAMES) == {r[0] for r in suite.select("baseline").distinct().collect()}
+
+
+def test_large_files_are_identified_by_content(spark, tmp_path, monkeypatch):
+    import hashlib
+    import os
+
+    monkeypatch.setattr(IO, "HASHED_WHOLE", 8)
+    path, copy = tmp_path / "a b.bin", tmp_path / "copy.bin"
+    path.write_bytes(b"one content")
+    copy.write_bytes(b"one content")
+    os.utime(path, (1_000_000, 1_000_000))
+    first = IO.source_fingerprint(spark, str(path))
+    assert first == IO.source_fingerprint(spark, str(copy)) == hashlib.sha256(b"one content").hexdigest()
+    path.write_bytes(b"two content")
+    os.utime(path, (1_000_000, 1_000_000))
+    assert IO.source_fingerprint(spark, str(path)) == hashlib.sha256(b"two content").hexdigest()
