@@ -17,7 +17,7 @@ from treatlens.llm.mixing import OTHER
 from treatlens.llm.quality_rules import FEATURES, STATS, fit_rules, text_statistics, with_statistics
 from treatlens.llm.queries_mix import ROUNDS, TARGETS
 
-from . import test_phrase_dedup, test_quality_rules
+from . import test_phrase_dedup, test_quality_rules, test_token_alignment
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -32,7 +32,7 @@ def db():
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -221,6 +221,11 @@ def test_bpe_equals_the_library(spark, texts):
     assert sorted(map(tuple, got.collect())) == encoded(texts)
 
 
+def test_token_alignment_equals_brute_force(spark, texts):
+    got = QUERIES["op11_token_alignment"](spark, FOLDER)
+    assert test_token_alignment.digests(got) == test_token_alignment.brute(texts)
+
+
 def test_simhash_equals_brute_force(spark, texts):
     want = {i: (f"{fp:016x}", c) for i, (fp, c) in groups(texts).items()}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op10_simhash"](spark, FOLDER).collect()}

@@ -9,6 +9,7 @@ from treatlens.llm.bpe import digests
 from treatlens.llm.quality_rules import STATS, base_failed, fit_rules, with_statistics
 from treatlens.llm.registry import query
 from treatlens.llm.tables import table
+from treatlens.llm.token_alignment import alignment_summary
 from treatlens.llm.topk import top_k
 from treatlens.llm.toxicity import score, train
 from treatlens.session import cut_lineage
@@ -63,3 +64,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
     return score(docs, train(docs, labels, ["junk", "toxic"]))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE against pieces: what their tokens share in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment_summary(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
