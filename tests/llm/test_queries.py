@@ -17,7 +17,7 @@ from treatlens.llm.mixing import OTHER
 from treatlens.llm.quality_rules import FEATURES, STATS, fit_rules, text_statistics, with_statistics
 from treatlens.llm.queries_mix import ROUNDS, TARGETS
 
-from . import test_phrase_dedup, test_quality_rules, test_token_alignment
+from . import test_minhash, test_phrase_dedup, test_quality_rules, test_token_alignment
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -221,6 +221,11 @@ def test_bpe_equals_the_library(spark, texts):
     assert sorted(map(tuple, got.collect())) == encoded(texts)
 
 
+def test_minhash_equals_brute_force(spark, texts):
+    got = QUERIES["op12_minhash"](spark, FOLDER).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == test_minhash.brute(texts)
+
+
 def test_token_alignment_equals_brute_force(spark, texts):
     got = QUERIES["op11_token_alignment"](spark, FOLDER)
     assert test_token_alignment.digests(got) == test_token_alignment.brute(texts)
