@@ -65,8 +65,9 @@ def test_preprocess_against_dense(spark, toy):
     assert (row["n_cells_after_qc"], row["removed_cells"], row["fallback_used"]) == (keep.sum(), 90 - keep.sum(), False)
     vec = {r["cell_id"]: r["v"] for r in done.vectors().collect()}
     assert np.allclose(np.array([vec[i] for i in np.array(toy["ids"])[keep]]), z[:, order])
-    assert done.proxy_names[:2] == ["library_size_z", "knockdown_efficiency_proxy_z"]
-    assert done.proxy_names[2:] == ["batch=b0", "batch=b1", "batch=b2", "protocol=p0", "protocol=p1"]
+    names = [r["name"] for r in done.proxy_names.orderBy("i").collect()]
+    assert names[:2] == ["library_size_z", "knockdown_efficiency_proxy_z"]
+    assert names[2:] == ["batch=b0", "batch=b1", "batch=b2", "protocol=p0", "protocol=p1"]
 
 
 def test_preprocess_fallback_and_empty(spark, toy):
@@ -109,10 +110,21 @@ def test_large_samples_take_the_same_rows(toy, monkeypatch):
     assert {r[0] for r in layout.sample_cap(toy["cells"], 33, 7).collect()} == small
 
 
-def test_one_hot_domain_is_bounded(spark, toy):
-    assert qc.domain(toy["cells"], "batch") == ["b0", "b1", "b2"]
-    with pytest.raises(ValueError):
-        qc.domain(toy["cells"], "cell_id", limit=10)
+def test_domains_of_any_size_are_tables(spark, toy):
+    assert [tuple(r) for r in qc.domain(toy["cells"], "batch").orderBy("code").collect()] == [("b0", 0), ("b1", 1), ("b2", 2)]
+    wide = spark.range(6000).select(
+        F.col("id").alias("cell_id"), F.col("id").cast("double").alias("library_size"), F.lit(0.5).alias("knockdown_efficiency_proxy"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.format_string("b%05d", "id")).alias("batch"), F.lit("p").alias("protocol"),
+    )
+    sparse, names = qc.sparse_proxies(wide)
+    assert names.count() == names.select("name").distinct().count() == 2 + 5142 + 1 + 1
+    first = sparse.where("cell_id = 1").first()
+    named = {r["i"]: r["name"] for r in names.where(F.col("i").isin(first["widx"])).collect()}
+    assert [named[i] for i in first["widx"]] == ["library_size_z", "knockdown_efficiency_proxy_z", "batch=b00001", "protocol=p"]
+    assert first["wval"][2:] == [1.0, 1.0]
+    dense, _ = qc.proxy_matrix(toy["cells"])
+    row = dense.where("cell_id = 'c001'").first()
+    assert row["proxies"][2:] == [0.0, 1.0, 0.0, 0.0, 1.0] and "widx" not in dense.columns
 
 
 def test_caps_and_layers(spark, toy):

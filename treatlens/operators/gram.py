@@ -1,9 +1,11 @@
 """Products ``X'X`` over all rows, the only thing the linear fits need from the data.
 
-Rows arrive as Arrow batches: a dense array of covariates ``w`` and the sparse
-selected features ``idx`` / ``val``. Each task adds up one block matrix and
-emits it once; blocks are then summed by a normal aggregation. The result is
-as large as the square of the selected columns, whatever the number of rows.
+Rows arrive as Arrow batches: covariates as a dense array ``w`` or sparse as
+``widx`` / ``wval``, and the sparse selected features ``idx`` / ``val``. A task
+takes a slice of rows at a time and multiplies it tile by tile; every tile leaves
+the task at once and is summed by a normal aggregation, first within the task.
+No task holds the square of the columns, and the result is as large as that
+square whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treatlens.session import cut_lineage, partial_tasks
+from treatlens.session import cut_lineage
 
 BLOCK = 64
-_FLUSH_VALUES = 4_000_000
+#: Rows and bytes that a task multiplies at once, and key sums likewise.
+SLICE_ROWS, SLICE_BYTES, KEY_ROWS = 65_536, 64 << 20, 1024
 _ROWS_SCHEMA = "draw int, kind string, key string, i int, jb int, vals array<double>"
 
 
@@ -44,39 +47,6 @@ def design_block(batch: pa.RecordBatch, n_w: int, n_y: int) -> np.ndarray:
     return out
 
 
-def poisson_weights(base: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """Resampling weights (row, draw): draw 0 is all ones, the others are Poisson(1).
-
-    A weight depends on the row's hash, the draw and the seed only, so a lost
-    and recomputed task repeats it.
-    """
-    out = np.ones((base.size, draws + 1))
-    if draws == 0:
-        return out
-    cdf = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(20)])
-    step = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for b in range(1, draws + 1):
-            x = base.astype(np.uint64) + np.uint64(b + 1_000_003 * seed) * step
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-            u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            out[:, b] = np.searchsorted(cdf, u, side="right")
-    return out
-
-
-def _rows(draw: int, kind: str, key: str | None, i0: int, matrix: np.ndarray) -> Iterator[tuple]:
-    """Block rows of a matrix; for square ones only the upper block triangle."""
-    n_rows, q = matrix.shape
-    padded = np.zeros((n_rows, -(-q // BLOCK) * BLOCK))
-    padded[:, :q] = matrix
-    for i in range(n_rows):
-        first = (i // BLOCK) if n_rows == q else 0
-        for jb in range(first, padded.shape[1] // BLOCK):
-            yield draw, kind, key, i0 + i, jb, padded[i, jb * BLOCK : (jb + 1) * BLOCK]
-
-
 def _to_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     buffer: list[tuple] = []
 
@@ -113,66 +83,104 @@ def _sum_blocks(partials: DataFrame) -> DataFrame:
     )
 
 
+def first_feature(n_w: int, aligned: bool) -> int:
+    """Column of the first feature: after intercept and covariates, or at the next block if ``aligned``."""
+    return -(-(1 + n_w) // BLOCK) * BLOCK if aligned else 1 + n_w
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n_w: int, y_at: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with their non-zeros (row, column, value), by column; bounded in rows and in non-zeros."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def done() -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        n = table.num_rows
+        rows, cols, vals = [np.arange(n)], [np.zeros(n, np.int64)], [np.ones(n)]
+
+        def add(idx: str, val: str, offset: int) -> None:
+            lists = table[idx].combine_chunks()
+            rows.append(np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+            cols.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + offset)
+            vals.append(table[val].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+
+        if "widx" in table.column_names:
+            add("widx", "wval", 1)
+        elif n_w:
+            dense = table["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            rows.append(np.repeat(np.arange(n), n_w))
+            cols.append(np.tile(np.arange(1, 1 + n_w), n))
+            vals.append(dense)
+        add("idx", "val", y_at)
+        r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+        order = np.argsort(c, kind="stable")
+        return table, r[order], c[order], v[order]
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(start, SLICE_ROWS)
+            if held and (size + batch.nbytes > SLICE_BYTES or sum(b.num_rows for b in held) + batch.num_rows > SLICE_ROWS):
+                yield done()
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield done()
+
+
 def moment_blocks(
-    rows: DataFrame, n_w: int, n_y: int, draws: int = 0, seed: int = 42, by_key: bool = False
+    rows: DataFrame, n_w: int, n_y: int, draws: int = 0, by_key: bool = False, aligned: bool = False
 ) -> DataFrame:
     """Summed blocks of ``X'X`` (kind ``G``) for ``X = [1, w, y]``, and with
     ``by_key`` the column sums of every key (kind ``S``), for each draw.
 
-    ``rows`` has ``w`` array<double>, ``idx`` array<int>, ``val``
-    array<double>, plus ``key`` string with ``by_key`` and ``h`` bigint with
-    ``draws``. All draws are computed in the same pass over the rows. Key sums
-    are handed on whenever a task holds many, so their memory stays bounded.
+    ``rows`` has ``w`` array<double> (or ``widx`` array<int>, ``wval``
+    array<double>), ``idx`` array<int>, ``val`` array<double>, plus ``key``
+    string with ``by_key`` and ``weights`` array<double>, one per draw, with
+    ``draws``; draw 0 weighs every row once. All draws are computed in the same
+    pass over the rows. ``aligned`` lets the features begin at a block of their own.
     """
-    q = 1 + n_w + n_y
-    slice_rows = max(256, _FLUSH_VALUES // q)
-    max_keys = max(16, _FLUSH_VALUES // q)
+    y_at = first_feature(n_w, aligned)
+    tiles = -(-(y_at + n_y) // BLOCK)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for table, row, col, val in _slices(batches, n_w, y_at):
+            n = table.num_rows
+            weights = np.ones((n, draws + 1))
+            if draws:
+                weights[:, 1:] = table["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, draws)
+            edge = np.searchsorted(col, np.arange(tiles + 1) * BLOCK)
+
+            def dense(t: int) -> np.ndarray:
+                part = slice(edge[t], edge[t + 1])
+                out = np.zeros((n, BLOCK))
+                out[row[part], col[part] - t * BLOCK] = val[part]
+                return out
+
+            if by_key:
+                codes = table["key"].combine_chunks().dictionary_encode()
+                names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                starts = np.searchsorted(code[order], np.arange(len(names)))
+            for ib in range(tiles):
+                left = dense(ib)
+                for d in range(draws + 1):
+                    weighted = left if d == 0 else left * weights[:, d : d + 1]
+                    if by_key:
+                        sums = np.add.reduceat(weighted[order], starts, axis=0)
+                        yield from ((d, "S", k, 0, ib, v) for k, v in zip(names, sums) if v.any())
+                for jb in range(ib, tiles):
+                    right = left if jb == ib else dense(jb)
+                    for d in range(draws + 1):
+                        tile = left.T @ (right if d == 0 else right * weights[:, d : d + 1])
+                        yield from _tile_rows(d, "G", ib, jb, tile, y_at + n_y)
 
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((draws + 1, q, q))
-        sums: dict[tuple[int, str], np.ndarray] = {}
-        seen = False
+    return _sum_blocks(rows.mapInArrow(lambda batches: _to_batches(multiply(batches)), _ROWS_SCHEMA))
 
-        def sum_rows() -> Iterator[tuple]:
-            for (draw, key), vec in sums.items():
-                yield from _rows(draw, "S", key, 0, vec.reshape(1, q))
 
-        for whole in batches:
-            for start in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(start, slice_rows)
-                seen = True
-                x = design_block(batch, n_w, n_y)
-                base = (
-                    _column(batch, "h").to_numpy(zero_copy_only=False) if draws else np.zeros(batch.num_rows)
-                )
-                weights = poisson_weights(base.astype(np.int64).view(np.uint64), draws, seed)
-                if by_key:
-                    codes = _column(batch, "key").dictionary_encode()
-                    names = codes.dictionary.to_pylist()
-                    code = codes.indices.to_numpy(zero_copy_only=False)
-                    order = np.argsort(code, kind="stable")
-                    starts = np.searchsorted(code[order], np.arange(len(names)))
-                for d in range(draws + 1):
-                    xw = x if d == 0 else x * weights[:, d : d + 1]
-                    total[d] += x.T @ xw
-                    if by_key:
-                        part = np.add.reduceat(xw[order], starts, axis=0)
-                        for name, vec in zip(names, part):
-                            have = sums.get((d, name))
-                            sums[(d, name)] = vec if have is None else have + vec
-                if len(sums) > max_keys:
-                    yield from _to_batches(sum_rows())
-                    sums.clear()
-        if not seen:
-            return
-        yield from _to_batches(sum_rows())
-        for d in range(draws + 1):
-            yield from _to_batches(_rows(d, "G", None, 0, total[d]))
-
-    tasks = partial_tasks(rows.sparkSession) if q <= 512 else rows.sparkSession.sparkContext.defaultParallelism
-    # Fewer, longer tasks: each one emits a single q x q partial.
-    partials = rows.coalesce(tasks).mapInArrow(accumulate, _ROWS_SCHEMA)
-    return _sum_blocks(partials)
+def _tile_rows(draw: int, kind: str, ib: int, jb: int, tile: np.ndarray, q: int) -> Iterator[tuple]:
+    for k in range(min(BLOCK, q - ib * BLOCK)):
+        yield draw, kind, None, ib * BLOCK + k, jb, tile[k]
 
 
 def weighted_key_products(blocks: DataFrame, q: int, alpha: float, skip_key: str) -> DataFrame:
@@ -180,32 +188,46 @@ def weighted_key_products(blocks: DataFrame, q: int, alpha: float, skip_key: str
 
     ``s_k`` are the key sums, whose first entry is the key's weight ``n_k``.
     This is what remains of a ridge fit on one indicator per key once those
-    indicators are eliminated, for any number of keys.
+    indicators are eliminated, for any number of keys. A key's tiles travel
+    together, as one row of ``q`` numbers at most.
     """
     vectors = (
         blocks.where((F.col("kind") == "S") & (F.col("key") != skip_key))
         .groupBy("draw", "key")
         .agg(F.sort_array(F.collect_list(F.struct("jb", "vals"))).alias("b"))
-        .select("draw", F.slice(F.flatten(F.col("b.vals")), 1, q).alias("s"))
+        .select("draw", F.col("b.jb").alias("jb"), F.flatten(F.col("b.vals")).alias("s"))
     )
+    tiles = -(-q // BLOCK)
 
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            s = _column(batch, "s").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, q)
-            draw = _column(batch, "draw").to_numpy(zero_copy_only=False)
-            for d in np.unique(draw):
-                rows = s[draw == d]
-                n = rows[:, 0]
-                rows, n = rows[n + alpha > 0], n[n + alpha > 0]
-                pair = h.setdefault(int(d), [np.zeros((q, q)), np.zeros((q, q))])
-                pair[0] += rows.T @ (rows / (n + alpha)[:, None])
-                pair[1] += rows.T @ (rows * (n / (n + alpha) ** 2)[:, None])
-        for d, (one, two) in h.items():
-            yield from _to_batches(_rows(d, "H", None, 0, one))
-            yield from _to_batches(_rows(d, "H2", None, 0, two))
-
-    return _sum_blocks(vectors.mapInArrow(accumulate, _ROWS_SCHEMA))
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, KEY_ROWS):
+                batch = whole.slice(at, KEY_ROWS)
+                draw = _column(batch, "draw").to_numpy(zero_copy_only=False)
+                jb = _column(batch, "jb")
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(jb).to_numpy(zero_copy_only=False))
+                place = jb.flatten().to_numpy(zero_copy_only=False)
+                s = _column(batch, "s").flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCK)
+                n = np.zeros(batch.num_rows)
+                n[owner[place == 0]] = s[place == 0, 0]
+
+                def dense(t: int) -> np.ndarray:
+                    out = np.zeros((batch.num_rows, BLOCK))
+                    out[owner[place == t]] = s[place == t]
+                    return out
+
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    one, two = np.where(n + alpha > 0, 1 / (n + alpha), 0.0), np.where(n + alpha > 0, n / (n + alpha) ** 2, 0.0)
+                for ib in range(tiles):
+                    left = dense(ib)
+                    for t in range(ib, tiles):
+                        right = left if t == ib else dense(t)
+                        for d in np.unique(draw).tolist():
+                            own = draw == d
+                            for kind, w in (("H", one), ("H2", two)):
+                                yield from _tile_rows(d, kind, ib, t, left[own].T @ (right[own] * w[own, None]), q)
+
+    return _sum_blocks(vectors.mapInArrow(lambda batches: _to_batches(multiply(batches)), _ROWS_SCHEMA))
 
 
 def matrix_from(pdf: pd.DataFrame, kind: str, q: int) -> np.ndarray:

@@ -5,29 +5,28 @@ regresses every feature on the fitted values of the others and the proxies.
 Both stages, for the point estimate and for all bootstrap draws, follow from
 one pass of products over the cells: treatment indicators are eliminated
 algebraically (their block of the normal equations is diagonal), so any number
-of treatments is fine, and fitted rows are never built.
+of treatments is fine, and fitted rows are never built. Batches and protocols
+are sparse columns of the same products, any number of them.
+
+The systems themselves are tables of tiles (``tiles``): a draw's inverse is one
+factorisation in joins over its tiles, and its targets are solved tile by tile,
+so neither a draw nor a matrix is ever the work of one task.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treatlens import schema as S
 from treatlens.functions import clean_text, is_control
-from treatlens.operators.gram import (
-    matrix_from,
-    moment_blocks,
-    ridge_solve,
-    saved_blocks,
-    weighted_key_products,
-)
+from treatlens.operators import tiles as T
+from treatlens.operators.gram import first_feature, moment_blocks, saved_blocks, weighted_key_products
 from treatlens.operators.layout import to_sparse
-from treatlens.operators.qc import feature_variance, proxy_matrix
+from treatlens.operators.qc import feature_variance, sparse_proxies
 from treatlens.session import cut_lineage
 
 
@@ -60,7 +59,7 @@ def select_graph_features(
     """(gene_id, idx): flagged genes in id order when there are any, else genes by falling variance.
 
     Without ``k`` every such gene takes part. The numbering window holds one row
-    per feature; the fit that follows holds the square of that in a task.
+    per feature.
     """
     order = [F.asc("gene_id")]
     chosen: DataFrame | None = None
@@ -99,94 +98,33 @@ def instruments(cells: DataFrame) -> tuple[DataFrame, str]:
     return tagged, facts["ctl"] if facts["ctl"] is not None else facts["lo"]
 
 
-def proxies(cells: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Cells with ``proxies`` (z library, z knockdown, batch and protocol indicators)."""
+def proxies(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells with ``widx`` and ``wval`` (z library, z knockdown, batch and protocol indicators), and the columns' names."""
     missing = [c for c in S.PROXY_SOURCE_COLUMNS if c not in cells.columns]
     if missing:
         raise ValueError(f"the two-stage fit needs the proxy columns {', '.join(missing)}")
-    return proxy_matrix(cells, tiny=1e-12, blank_as="unknown")
+    return sparse_proxies(cells, tiny=1e-12, blank_as="unknown")
 
 
-def _stage1(g: np.ndarray, h: np.ndarray, h2: np.ndarray, n_v: int, alpha: float) -> tuple[np.ndarray, ...]:
-    """Products of the fitted values with everything, from the eliminated normal equations.
+def poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1) at 0, 1, ..., 19."""
+    return np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(20)]).tolist()
 
-    ``g`` is X'X for X = [V, Y] with V = [1, proxies]; ``h`` and ``h2`` are the
-    treatment-weighted products. Returns (fitted'fitted, fitted'X).
-    """
-    v, y = slice(0, n_v), slice(n_v, None)
-    penalty = np.full(n_v, alpha)
-    penalty[0] = 0.0
-    b = ridge_solve(g[v, v] - h[v, v], g[v, y] - h[v, y], penalty)
-    fitted_x = h[y, :] + b.T @ (g[v, :] - h[v, :])
-    within = h2[y, y] - h2[y, v] @ b - b.T @ h2[v, y] + b.T @ h2[v, v] @ b
-    across = b.T @ (h[v, y] - h[v, v] @ b)
-    return within + across + across.T + b.T @ g[v, v] @ b, fitted_x
-
-
-def _stage2(
-    response: np.ndarray, lhs: np.ndarray, n_y: int, alpha: float
-) -> np.ndarray:
-    """Weights (source, target) of one regression per target.
-
-    ``lhs`` is D'D for D = [1, sources, covariates], ``response`` is D'Y. The
-    row and column of the target's own source are left out of its system. With a
-    penalty one inverse serves all targets: leaving out entry k of a system with
-    inverse P and full solution u changes the solution by ``-P[:, k] u[k] / P[k, k]``.
+
+def draw_weights(cell: Column, draws: int, seed: int) -> Column:
+    """Resampling weights of a cell, Poisson(1), one per draw.
+
+    A weight depends on the cell's id, the draw and the seed only (52 bits of an
+    MD5), so a lost and recomputed task repeats it, and any engine can.
     """
-    out = np.zeros((n_y, n_y))
-    penalty = np.full(lhs.shape[0], alpha)
-    penalty[0] = 0.0
-    if alpha > 0 and lhs[0, 0] > 0:
-        inverse = np.linalg.inv(lhs + np.diag(penalty))
-        full, own = inverse @ response, np.arange(n_y)
-        out = (full - inverse[:, 1 : 1 + n_y] * (full[1 + own, own] / inverse[1 + own, 1 + own]))[1 : 1 + n_y]
-        out[own, own] = 0.0
-        return out
-    for target in range(n_y):
-        keep = np.delete(np.arange(lhs.shape[0]), 1 + target)
-        coef = ridge_solve(lhs[np.ix_(keep, keep)], response[keep, target], penalty[keep])
-        sources = np.delete(np.arange(n_y), target)
-        out[sources, target] = coef[1:n_y]
-    return out
+    steps = F.array(*[F.lit(x) for x in poisson_steps()])
 
+    def weight(d: Column) -> Column:
+        text = F.concat_ws(":", cell.cast("string"), d.cast("string"), F.lit(str(seed)))
+        u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+        return F.size(F.filter(steps, lambda s: s <= u)).cast("double")
 
-def _fit_draw(pdf: pd.DataFrame, n_w: int, n_y: int, cfg: GraphSettings) -> pd.DataFrame:
-    """All edge weights of one draw; for draw 0 also the naive graph and the stage-1 R2."""
-    draw = int(pdf["draw"].iloc[0])
-    q, n_v = 1 + n_w + n_y, 1 + n_w
-    g, h, h2 = (matrix_from(pdf, kind, q) for kind in ("G", "H", "H2"))
-    fitted2, fitted_x = _stage1(g, h, h2, n_v, cfg.stage1_alpha)
-    y = np.arange(n_v, q)
-    # D = [1, fitted, proxies]
-    size = 1 + n_y + n_w
-    lhs, response = np.zeros((size, size)), np.zeros((size, n_y))
-    a, w = slice(1, 1 + n_y), slice(1 + n_y, size)
-    lhs[0, 0] = g[0, 0]
-    lhs[a, 0] = fitted_x[:, 0]
-    lhs[a, a] = fitted2
-    lhs[w, 0] = g[1:n_v, 0]
-    lhs[w, a] = fitted_x[:, 1:n_v].T
-    lhs[w, w] = g[1:n_v, 1:n_v]
-    lhs = np.tril(lhs) + np.tril(lhs, -1).T
-    response[0], response[a], response[w] = g[0, y], fitted_x[:, y], g[1:n_v][:, y]
-    frames = [("iv", _stage2(response, lhs, n_y, cfg.stage2_alpha))]
-    if draw == 0 and cfg.naive:
-        idx = np.concatenate([[0], y])
-        frames.append(("naive", _stage2(g[np.ix_(idx, y)], g[np.ix_(idx, idx)], n_y, cfg.stage2_alpha)))
-    src, dst = np.nonzero(~np.eye(n_y, dtype=bool))
-    parts = [
-        pd.DataFrame({"draw": draw, "kind": kind, "source": src, "target": dst, "weight": m[src, dst]})
-        for kind, m in frames
-    ]
-    if draw == 0:
-        yy = np.diag(g)[y]
-        left = yy - 2.0 * np.diag(fitted_x[:, y]) + np.diag(fitted2)
-        total = yy - g[0, y] ** 2 / g[0, 0]
-        r2 = 1.0 - left / np.where(total <= 1e-12, 1.0, total)
-        parts.append(
-            pd.DataFrame({"draw": 0, "kind": "r2", "source": np.arange(n_y), "target": -1, "weight": r2})
-        )
-    return pd.concat(parts, ignore_index=True)
+    return F.transform(F.sequence(F.lit(1), F.lit(draws)), weight)
 
 
 _FIT_SCHEMA = "draw int, kind string, source int, target int, weight double"
@@ -201,39 +139,125 @@ class GraphInputs:
     n_w: int
     n_y: int
     reference: str
-    proxy_names: list[str] = field(default_factory=list)
+    proxy_names: DataFrame
 
 
 def graph_inputs(
-    cells: DataFrame, expr: DataFrame, features: DataFrame, value: str = "z"
+    cells: DataFrame, expr: DataFrame, features: DataFrame, value: str = "z", cfg: GraphSettings | None = None
 ) -> GraphInputs:
-    """One row per cell: proxies, selected features, treatment and its hash."""
+    """One row per cell: proxies, selected features, treatment and, with draws, its weight in each."""
+    cfg = cfg or GraphSettings()
     with_proxies, names = proxies(cells)
     keyed, reference = instruments(with_proxies)
-    slim = keyed.select("cell_id", F.col("proxies").alias("w"), "key", F.xxhash64("cell_id").alias("h"))
+    weights = draw_weights(F.col("cell_id"), cfg.draws, cfg.seed) if cfg.draws else F.array().cast("array<double>")
+    slim = keyed.select("cell_id", "widx", "wval", "key", weights.alias("weights"))
     rows = to_sparse(expr, features, value, slim)
-    return GraphInputs(features, rows, len(names), features.count(), reference, names)
+    return GraphInputs(features, rows, names.count(), features.count(), reference, names)
 
 
-def fit_draws(inputs: GraphInputs, cfg: GraphSettings) -> DataFrame:
-    """(draw, kind, source, target, weight) for draw 0 and all bootstrap draws.
+def _penalty(n_v: int, y_at: int, n_y: int, alpha: float, keep_v: int) -> np.ndarray:
+    """Numbers for the diagonal: 0 for the intercept, ``alpha`` for columns in use, 1 for those left empty."""
+    out = np.ones(-(-(y_at + n_y) // T.TILE) * T.TILE)
+    out[0] = 0.0
+    out[1 : min(n_v, keep_v)] = alpha
+    out[y_at : y_at + n_y] = alpha
+    return out
 
-    A group of the last step is one draw: three square matrices of the
-    selected columns, whatever the number of cells or treatments.
+
+def _solved(lhs: DataFrame, response: DataFrame, first_y: int, blocks: int, y_at: int, n_y: int, kind: str) -> DataFrame:
+    """Weights of one regression per target, each without its own source.
+
+    ``lhs`` is D'D with its penalty, ``response`` is D'Y. One inverse serves all
+    targets: leaving out entry k of a system with inverse P and full solution u
+    changes the solution by ``-P[:, k] u[k] / P[k, k]``.
     """
-    q = 1 + inputs.n_w + inputs.n_y
-    blocks = saved_blocks(
-        moment_blocks(inputs.rows, inputs.n_w, inputs.n_y, cfg.draws, cfg.seed, by_key=True)
+    right = response.select("draw", "ib", (F.col("jb") - first_y + blocks).alias("jb"), "t")
+    own = T.swept(lhs.unionByName(right), blocks).where(F.col("ib") >= first_y)
+    solution = own.where(F.col("jb") >= blocks).select("draw", "ib", (F.col("jb") - blocks + first_y).alias("jb"), "t")
+    full = T.entries(solution, "u")
+    p = T.entries(own.where((F.col("jb") >= first_y) & (F.col("jb") < blocks)), "held")
+    both = full.join(p, ["draw", "i", "j"]).select("draw", (F.col("i") - y_at).alias("source"), (F.col("j") - y_at).alias("target"), "u", "held")
+    both = cut_lineage(both.where(f"source < {n_y} AND target < {n_y}"), "solved")
+    diagonal = both.where("source = target").select("draw", "target", (F.col("u") / F.col("held")).alias("share"))
+    return both.where("source <> target").join(diagonal, ["draw", "target"]).select(
+        "draw", F.lit(kind).alias("kind"), "source", "target", (F.col("u") - F.col("held") * F.col("share")).alias("weight")
     )
-    weighted = weighted_key_products(blocks, q, cfg.stage1_alpha, inputs.reference)
-    # With a single treatment left besides the reference there is still one H row set per draw.
-    square = blocks.where(F.col("kind") == "G").unionByName(weighted).drop("key")
-    n_w, n_y = inputs.n_w, inputs.n_y
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit_draw(pdf, n_w, n_y, cfg)
 
-    return square.groupBy("draw").applyInPandas(fit, _FIT_SCHEMA)
+def _explained(g: DataFrame, fitted_y: DataFrame, fitted2: DataFrame, first_y: int, y_at: int, n_y: int) -> DataFrame:
+    """Share of each feature's variance that stage 1 explains, from the diagonals of draw 0."""
+
+    def at(tiles: DataFrame, name: str) -> DataFrame:
+        return T.entries(tiles.where("draw = 0 AND ib = jb"), name).where("i = j").select(F.col("i").alias("column"), name)
+
+    first = T.entries(g.where(f"draw = 0 AND ib = 0 AND jb >= {first_y}"), "total").where("i = 0")
+    n = g.where("draw = 0 AND ib = 0 AND jb = 0").select(F.col("t")[0].alias("n")).scalar()
+    rows = at(g, "yy").join(at(fitted_y, "fy"), "column").join(at(fitted2, "ff"), "column").join(first.select(F.col("j").alias("column"), "total"), "column")
+    left, spread = F.col("yy") - 2 * F.col("fy") + F.col("ff"), F.col("yy") - F.col("total") * F.col("total") / n
+    source = (F.col("column") - y_at).alias("source")
+    r2 = 1 - left / F.when(spread <= 1e-12, 1.0).otherwise(spread)
+    return rows.where(f"column >= {y_at} AND column < {y_at + n_y}").select(
+        F.lit(0).alias("draw"), F.lit("r2").alias("kind"), source, F.lit(-1).alias("target"), r2.alias("weight")
+    )
+
+
+def fit_draws(inputs: GraphInputs, cfg: GraphSettings) -> DataFrame:
+    """(draw, kind, source, target, weight) for draw 0 and all bootstrap draws.
+
+    Kinds: ``iv`` edges of every draw; of draw 0 also ``naive`` edges (if asked
+    for) and ``r2`` per source. X = [V, Y] with V = [1, proxies]; G is X'X, H and
+    H2 are the treatment-weighted products. Features begin at a tile of their own.
+    """
+    n_v, y_at, n_y = 1 + inputs.n_w, first_feature(inputs.n_w, True), inputs.n_y
+    first_y, blocks = y_at // T.TILE, -(-(y_at + n_y) // T.TILE)
+    moments = saved_blocks(moment_blocks(inputs.rows, inputs.n_w, n_y, cfg.draws, by_key=True, aligned=True))
+    weighted = weighted_key_products(moments, y_at + n_y, cfg.stage1_alpha, inputs.reference)
+
+    def matrix(rows: DataFrame, kind: str) -> DataFrame:
+        return T.from_block_rows(rows.where(F.col("kind") == kind))
+
+    def part(m: DataFrame, rows: str, columns: str) -> DataFrame:
+        test = {"v": f"< {first_y}", "y": f">= {first_y}"}
+        return m.where(f"ib {test[rows]} AND jb {test[columns]}")
+
+    weighted = cut_lineage(weighted, "weighted")
+    g, h, h2 = matrix(moments, "G"), matrix(weighted, "H"), matrix(weighted, "H2")
+    e_v = cut_lineage(T.combined((1, g.where(f"ib < {first_y}")), (-1, h.where(f"ib < {first_y}"))), "within")
+    pen1 = _penalty(n_v, y_at, n_y, cfg.stage1_alpha, n_v)
+    a = T.with_diagonal(part(e_v, "v", "v"), pen1)
+    b = T.swept(a.unionByName(part(e_v, "v", "y")), first_y).where(f"jb >= {first_y}")
+    # Products of the fitted values with everything, and with themselves.
+    fitted_x = cut_lineage(T.combined((1, h.where(f"ib >= {first_y}")), (1, T.product(b, e_v, turned=True))), "fitted")
+    middle = T.combined((1, part(h2, "v", "v")), (1, part(g, "v", "v")), (-2, part(h, "v", "v")))
+    across = cut_lineage(
+        T.product(b, T.combined((1, part(h, "v", "y")), (-1, part(h2, "v", "y"))), turned=True), "across"
+    )
+    fitted2 = cut_lineage(
+        T.combined((1, part(h2, "y", "y")), (1, across), (1, T.transposed(across)), (1, T.product(b, T.product(middle, b), turned=True))),
+        "fitted2",
+    )
+    crossed, fitted_y = part(fitted_x, "y", "v"), part(fitted_x, "y", "y")
+    lhs = part(g, "v", "v").unionByName(crossed).unionByName(T.transposed(crossed)).unionByName(fitted2)
+    pen2 = _penalty(n_v, y_at, n_y, cfg.stage2_alpha, n_v)
+    response = part(g, "v", "y").unionByName(fitted_y)
+    fits = _solved(T.with_diagonal(lhs, pen2), response, first_y, blocks, y_at, n_y, "iv")
+    fits = fits.unionByName(_explained(g, fitted_y, fitted2, first_y, y_at, n_y))
+    if cfg.naive:
+        plain = _only_intercept(g.where("draw = 0"), first_y)
+        pen = _penalty(n_v, y_at, n_y, cfg.stage2_alpha, 1)
+        right = plain.where(f"jb >= {first_y}")
+        fits = fits.unionByName(_solved(T.with_diagonal(plain, pen), right, first_y, blocks, y_at, n_y, "naive"))
+    return fits
+
+
+def _only_intercept(g: DataFrame, first_y: int) -> DataFrame:
+    """Products without the proxies: of the leading tiles only row and column 0 of the matrix stay."""
+    size = T.TILE
+    kept = (
+        f"transform(t, (x, p) -> CASE WHEN (ib >= {first_y} OR (ib = 0 AND p < {size})) "
+        f"AND (jb >= {first_y} OR (jb = 0 AND p % {size} = 0)) THEN x ELSE 0D END)"
+    )
+    return g.select("draw", "ib", "jb", F.expr(kept).alias("t"))
 
 
 def edge_intervals(
@@ -300,7 +324,7 @@ class GraphFit:
     naive: DataFrame
     diagnostics: DataFrame
     features: DataFrame
-    proxy_names: list[str]
+    proxy_names: DataFrame
     reference: str
 
 
@@ -314,7 +338,7 @@ def iv_graph(
     """Feature choice, one pass of products, both stages, intervals, diagnostics."""
     cfg = cfg or GraphSettings()
     features = select_graph_features(genes, expr, cells.count(), cfg.max_features, value)
-    inputs = graph_inputs(cells, expr, features, value)
+    inputs = graph_inputs(cells, expr, features, value, cfg)
     fits = cut_lineage(fit_draws(inputs, cfg), "fits")
     return GraphFit(
         edge_table(fits, features, cfg),

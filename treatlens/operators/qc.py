@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from treatlens.functions import is_control, log1p_scaled, zscore
 from treatlens.operators.layout import to_vectors
+from treatlens.operators.ordering import global_rank
 from treatlens.session import broadcast_if_small, cut_lineage
 
-DOMAIN_LIMIT = 4096
-
 
 @dataclass(frozen=True)
 class QcSettings:
@@ -134,50 +133,76 @@ def refresh_library(expr: DataFrame, selected: DataFrame, cells: DataFrame) -> D
     return library_size(kept, cells)
 
 
-def domain(df: DataFrame, col: str, limit: int = DOMAIN_LIMIT) -> list[str]:
-    """Sorted distinct values of a category column; an error above ``limit``.
-
-    The bound is checked before anything is collected, because these values
-    become columns of a design matrix.
-    """
-    rows = df.select(F.col(col).cast("string").alias(col)).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"'{col}' has more than {limit} categories; too wide for one-hot columns")
-    return sorted("None" if r[0] is None else r[0] for r in rows)
+def domain(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): distinct values of a category column, numbered from 0 in order; null counts as ``None``."""
+    values = df.select(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias("value")).distinct()
+    return global_rank(values, [F.asc("value")], "code")
 
 
 def one_hot(col: str, values: Sequence[str]) -> list[Column]:
-    """One 0/1 column per category."""
+    """One 0/1 column per given category."""
     return [(F.col(col) == v).cast("double") for v in values]
 
 
-def proxy_matrix(
+def sparse_proxies(
     cells: DataFrame,
     tiny: float = 1e-8,
     blank_as: str | None = None,
     categories: Sequence[str] = ("batch", "protocol"),
-) -> tuple[DataFrame, list[str]]:
-    """Confounder proxies as one array per cell, and the names of its entries."""
+) -> tuple[DataFrame, DataFrame]:
+    """Confounder proxies of each cell as ``widx`` and ``wval``, and the table ``(i, name)`` of their columns.
+
+    A category is one number per cell, an index among all columns, so a domain
+    may have any size: its values are a table that is joined and never collected.
+    """
     present = [c for c in categories if c in cells.columns]
     base = cells
     for name in ("library_size", "knockdown_efficiency_proxy"):
         if name not in cells.columns:
             base = base.withColumn(name, F.lit(0.0))
     for name in present:
-        text = F.col(name).cast("string")
+        text = F.coalesce(F.col(name).cast("string"), F.lit("None"))
         if blank_as is not None:
-            trimmed = F.trim(text)
+            trimmed = F.trim(F.col(name).cast("string"))
             text = F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(blank_as)).otherwise(trimmed)
         base = base.withColumn(name, text)
-    names = ["library_size_z", "knockdown_efficiency_proxy_z"]
     scaled = zscore(base, "library_size", "_lib_z", tiny)
     scaled = zscore(scaled, "knockdown_efficiency_proxy", "_kd_z", tiny)
-    parts: list[Column] = [F.col("_lib_z"), F.col("_kd_z")]
-    for name in present:
-        values = domain(base, name)
-        parts.extend(one_hot(name, values))
-        names.extend(f"{name}={v}" for v in values)
-    return scaled.withColumn("proxies", F.array(*parts)).drop("_lib_z", "_kd_z"), names
+    spark = cells.sparkSession
+    names = spark.createDataFrame([(0, "library_size_z"), (1, "knockdown_efficiency_proxy_z")], "i int, name string")
+    index: list[Column] = [F.lit(0), F.lit(1)]
+    first = 2
+    for k, name in enumerate(present):
+        codes = cut_lineage(domain(base, name), "domain").select("value", (F.col("code") + first).cast("int").alias(f"_code{k}"))
+        scaled = scaled.join(broadcast_if_small(codes), scaled[name] == codes["value"]).drop("value")
+        index.append(F.col(f"_code{k}"))
+        names = names.unionByName(codes.select(F.col(f"_code{k}").alias("i"), F.concat(F.lit(f"{name}="), "value").alias("name")))
+        first += codes.count()
+    values = F.array(F.col("_lib_z"), F.col("_kd_z"), *[F.lit(1.0) for _ in present])
+    done = scaled.withColumn("widx", F.array(*index)).withColumn("wval", values)
+    return done.drop("_lib_z", "_kd_z", *[f"_code{k}" for k in range(len(present))]), names
+
+
+def proxy_matrix(
+    cells: DataFrame,
+    tiny: float = 1e-8,
+    blank_as: str | None = None,
+    categories: Sequence[str] = ("batch", "protocol"),
+) -> tuple[DataFrame, DataFrame]:
+    """Confounder proxies as one dense array per cell, and the table ``(i, name)`` of its entries.
+
+    As wide as the categories have values; ``sparse_proxies`` is the form that
+    later steps use.
+    """
+    sparse, names = sparse_proxies(cells, tiny, blank_as, categories)
+    width = names.agg(F.max("i").alias("_last"))
+    # The place of a column among a cell's few non-zeros; 0 if it has none there.
+    dense = F.transform(
+        F.sequence(F.lit(0), F.col("_last")),
+        lambda i: F.coalesce(F.try_element_at("wval", F.nullif(F.array_position("widx", i).cast("int"), F.lit(0))), F.lit(0.0)),
+    )
+    one_row = sparse.withColumn("_last", width.scalar())
+    return one_row.withColumn("proxies", dense).drop("widx", "wval", "_last"), names
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
@@ -285,7 +310,7 @@ class Preprocessed:
     expr: DataFrame
     features: DataFrame
     summary: DataFrame
-    proxy_names: list[str]
+    proxy_names: DataFrame | None
 
     def vectors(self, value: str = "z") -> DataFrame:
         order = [r["gene_id"] for r in self.features.orderBy("rank").collect()]
@@ -344,7 +369,7 @@ def preprocess(cells: DataFrame, expr: DataFrame, cfg: QcSettings | None = None)
     final_cells = cells.drop("library_size").join(totals, "cell_id", "left" if keep_empty else "inner")
     final_cells = final_cells.na.fill(0.0, ["library_size"])
     final_cells = cut_lineage(final_cells, "kept-cells")
-    names: list[str] = []
+    names = None
     if cfg.proxies:
         final_cells, names = proxy_matrix(final_cells)
     summary = qc_summary(cells, expr, n_kept, genes_ok, cfg)

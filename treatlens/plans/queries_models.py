@@ -10,6 +10,7 @@ from treatlens.operators.gram import BLOCK, moment_blocks
 from treatlens.plans import evaluate as EV
 from treatlens.plans import stage_chain
 from treatlens.plans import views as V
+from treatlens.plans.graph_sql import DIAGNOSTICS_SQL, NAIVE_SQL, edges_sql
 from treatlens.plans.queries_baselines import SQL as SQL_BASE
 from treatlens.plans.queries_baselines import Inputs, _model_row
 from treatlens.plans.queries_qc import rounded
@@ -117,26 +118,32 @@ def _graph_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return cells, expr, genes
 
 
-@query("iv_graph")
+def _edges(fit: ivgraph.GraphFit) -> DataFrame:
+    numbers = ("weight", "standard_error", "ci_lower", "ci_upper")
+    return fit.edges.select("source_gene_id", "target_gene_id", *[rounded(c, 4).alias(c) for c in numbers])
+
+
+@query("iv_graph", edges_sql(0))
 def iv_graph(spark: SparkSession, folder: str) -> DataFrame:
-    fit = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0))
-    return fit.edges
+    return _edges(ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0, naive=False)))
 
 
-@query("bootstrap_intervals")
+@query("bootstrap_intervals", edges_sql(24))
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    fit = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=24))
-    return fit.edges
+    return _edges(ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=24, naive=False)))
 
 
-@query("naive_graph")
+@query("naive_graph", NAIVE_SQL)
 def naive_graph(spark: SparkSession, folder: str) -> DataFrame:
-    return ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0)).naive
+    naive = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0)).naive
+    return naive.select("source_gene_id", "target_gene_id", rounded("weight", 4).alias("weight"))
 
 
-@query("fit_diagnostics")
+@query("fit_diagnostics", DIAGNOSTICS_SQL)
 def fit_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
-    return ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0)).diagnostics
+    row = ivgraph.iv_graph(*_graph_inputs(spark, folder), ivgraph.GraphSettings(draws=0)).diagnostics
+    l1 = ("iv_offdiag_l1_mean", "naive_offdiag_l1_mean", "iv_minus_naive_offdiag_l1_mean")
+    return row.select(rounded("stage1_r2_mean").alias("stage1_r2_mean"), *[rounded(c, 5).alias(c) for c in l1])
 
 
 @query(

@@ -181,10 +181,29 @@ proxy AS (
 )
 def proxy_matrix(spark: SparkSession, folder: str) -> DataFrame:
     packed, names = qc.proxy_matrix(cut_lineage(V.cells(spark, folder), "cells"))
-    labels = F.array(*[F.lit(n) for n in names])
-    return packed.select("cell_id", F.posexplode("proxies").alias("i", "v")).select(
-        "cell_id", labels[F.col("i")].alias("name"), rounded("v").alias("value")
+    opened = packed.select("cell_id", F.posexplode("proxies").alias("i", "v"))
+    return opened.join(names, "i").select("cell_id", "name", rounded("v").alias("value"))
+
+
+@query(
+    "wide_proxies",
+    V.with_sql(
+        V.SQL_CELLS,
+        """stats AS (SELECT AVG(library_size) AS lm, STDDEV_POP(library_size) AS ls,
+    AVG(knockdown_efficiency_proxy) AS km, STDDEV_POP(knockdown_efficiency_proxy) AS ks FROM cells)""",
     )
+    + """SELECT cell_id, 'library_size_z' AS name, round((library_size - lm) / ls, 6) + 0.0 AS value FROM cells, stats
+  UNION ALL SELECT cell_id, 'knockdown_efficiency_proxy_z', round((knockdown_efficiency_proxy - km) / ks, 6) + 0.0 FROM cells, stats
+  UNION ALL SELECT cell_id, 'batch=' || CAST(cell_id // 3 AS VARCHAR), 1.0 FROM cells
+  UNION ALL SELECT cell_id, 'protocol=' || protocol, 1.0 FROM cells""",
+)
+def wide_proxies(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse proxies with three cells to a batch: thousands of categories, four numbers a cell."""
+    cells = V.cells(spark, folder).withColumn("batch", F.expr("cell_id div 3"))
+    sparse, names = qc.sparse_proxies(cut_lineage(cells, "cells"))
+    opened = sparse.select("cell_id", F.explode(F.arrays_zip("widx", "wval")).alias("e"))
+    named = opened.select("cell_id", F.col("e.widx").alias("i"), F.col("e.wval").alias("v")).join(names, "i")
+    return named.select("cell_id", "name", rounded("v").alias("value"))
 
 
 @query(
@@ -195,7 +214,7 @@ def proxy_matrix(spark: SparkSession, folder: str) -> DataFrame:
 )
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     base = V.cells(spark, folder).select("cell_id", "batch")
-    values = qc.domain(base, "batch")
+    values = [r["value"] for r in qc.domain(base, "batch").orderBy("code").collect()]
     columns = [c.alias(f"batch={v}") for c, v in zip(qc.one_hot("batch", values), values)]
     return base.select("cell_id", *columns)
 

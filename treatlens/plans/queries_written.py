@@ -114,15 +114,14 @@ b AS (SELECT *, CASE WHEN batch = 'P' THEN 'unknown' ELSE batch END AS bt FROM c
     )
     + """SELECT cell_id, 'library_size_z' AS name, round((library_size - lm) / ls, 6) + 0.0 AS value FROM b, stats
   UNION ALL SELECT cell_id, 'knockdown_efficiency_proxy_z', round((knockdown_efficiency_proxy - km) / ks, 6) + 0.0 FROM b, stats
-  UNION ALL SELECT cell_id, 'batch=' || x, CAST(bt = x AS DOUBLE) FROM b, (SELECT DISTINCT bt AS x FROM b)
-  UNION ALL SELECT cell_id, 'protocol=' || x, CAST(protocol = x AS DOUBLE) FROM b, (SELECT DISTINCT protocol AS x FROM b)""",
+  UNION ALL SELECT cell_id, 'batch=' || bt, 1.0 FROM b
+  UNION ALL SELECT cell_id, 'protocol=' || protocol, 1.0 FROM b""",
 )
 def iv_proxies(spark: SparkSession, folder: str) -> DataFrame:
     """Proxies of the two-stage fit; one batch is blank and becomes a category of its own."""
     cells = cut_lineage(V.cells(spark, folder), "cells")
     blank = F.when(F.col("batch") == "P", "  ").otherwise(F.col("batch"))
     packed, names = ivgraph.proxies(cells.withColumn("batch", blank))
-    labels = F.array(*[F.lit(n) for n in names])
-    return packed.select("cell_id", F.posexplode("proxies").alias("i", "v")).select(
-        "cell_id", labels[F.col("i")].alias("name"), rounded("v").alias("value")
-    )
+    opened = packed.select("cell_id", F.explode(F.arrays_zip("widx", "wval")).alias("e"))
+    named = opened.select("cell_id", F.col("e.widx").alias("i"), F.col("e.wval").alias("v")).join(names, "i")
+    return named.select("cell_id", "name", rounded("v").alias("value"))

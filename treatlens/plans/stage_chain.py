@@ -138,7 +138,9 @@ class Chain:
         edges = self.save("graph_edges", fit.edges)
         meta = fit.diagnostics.select(
             "*",
-            F.array(*[F.lit(n) for n in fit.proxy_names]).alias("proxy_design_columns"),
+            fit.proxy_names.agg(
+                F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"])
+            ).scalar().alias("proxy_design_columns"),
             F.lit(fit.reference).alias("instrument_reference"),
             F.lit(self.cfg.graph.draws).alias("bootstrap_iterations"),
             F.lit(self.cfg.graph.level).alias("confidence_level"),
