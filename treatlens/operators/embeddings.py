@@ -2,11 +2,14 @@
 
 A provider is any picklable object with ``name``, ``version``, ``dim`` and
 ``batch(values) -> array of shape (n, dim)``; it runs on Arrow batches inside
-tasks. The defaults are deterministic.
+tasks. A provider of sequence vectors may instead have ``frame(sequences)``, which
+returns ``(sequence, vector)`` by built-in expressions. The defaults are
+deterministic.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -31,52 +34,50 @@ class Provider(Protocol):
         """Vectors for one batch, one row per input."""
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    """Well-spread 64-bit values of whole numbers."""
-    x = np.asarray(x, np.uint64)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(33))
-
-
 class KmerSpectrum:
     """Signed hashed counts of a sequence's k-mers, scaled to length one.
 
     Case and outer white space do not matter. A sequence shorter than ``k`` is
-    one k-mer of its own.
+    one k-mer of its own. Column and sign of a k-mer come from an MD5 of it and
+    the seed; counts that all cancel leave a one in the first k-mer's column.
+    Built-in expressions only: one row per k-mer, summed before the shuffle.
     """
 
     name = "kmer_spectrum"
-    version = "1"
+    version = "2"
 
     def __init__(self, dim: int = 256, seed: int = 42, k: int = 6) -> None:
         if dim <= 0 or k <= 0:
             raise ValueError("dim and k must be positive")
         self.dim, self.seed, self.k = dim, seed, k
 
-    def batch(self, values: object) -> np.ndarray:
-        out = np.zeros((len(values), self.dim))
-        for row, sequence in zip(out, values):
-            letters = np.frombuffer(sequence.strip().upper().encode("utf-8"), np.uint8)
-            width = min(self.k, len(letters))
-            codes = np.zeros(len(letters) - width + 1, np.uint64)
-            for at in range(width):
-                codes = codes * np.uint64(257) + letters[at : at + len(codes)]
-            spread = _scrambled(codes + np.uint64(self.seed) * np.uint64(0x9E3779B1))
-            sign = np.where(spread >> np.uint64(63), 1.0, -1.0)
-            row += np.bincount((spread % np.uint64(self.dim)).astype(np.int64), sign, self.dim)
-            length = np.sqrt(row @ row)
-            if length == 0.0:  # all counts cancelled
-                row[int(spread[0] % np.uint64(self.dim))] = length = 1.0
-            row /= length
-        return out.astype(np.float32)
+    def frame(self, sequences: DataFrame) -> DataFrame:
+        """(sequence, vector) of distinct sequences."""
+        clean = F.upper(F.regexp_replace("sequence", r"^\s+|\s+$", ""))
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_s") - self.k + 1, F.lit(1)))
+        kmers = sequences.select("sequence", clean.alias("_s")).select("sequence", "_s", F.explode(starts).alias("at"))
+        code = F.md5(F.concat_ws(":", F.substring(F.col("_s"), F.col("at"), F.lit(self.k)), F.lit(str(self.seed))))
+        spread = kmers.select("sequence", "at", code.alias("code")).select(
+            "sequence", "at", (F.conv(F.substring("code", 1, 8), 16, 10).cast("long") % self.dim).cast("int").alias("column"),
+            F.when(F.substring("code", 9, 1) >= "8", 1).otherwise(-1).alias("sign"),
+        )
+        sums = spread.groupBy("sequence", "column").agg(F.sum("sign").cast("double").alias("n"), F.min("at").alias("at"))
+        whole = sums.groupBy("sequence").agg(
+            F.sum(F.col("n") * F.col("n")).alias("square"), F.min_by("column", "at").alias("first"),
+            F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("counts"),
+        )
+        value = lambda c: F.when(
+            F.col("square") > 0, F.coalesce(F.try_element_at("counts", c), F.lit(0.0)) / F.sqrt("square")
+        ).otherwise((c == F.col("first")).cast("double"))
+        vector = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda c: value(c).cast("float"))
+        return whole.select("sequence", vector.alias("vector"))
 
 
 class SignProjection:
     """Row-standardised profiles times a matrix of hashed signs, scaled by the number of features."""
 
     name = "sign_projection"
-    version = "1"
+    version = "2"
 
     def __init__(self, dim: int = 256, seed: int = 42) -> None:
         if dim <= 0:
@@ -85,12 +86,18 @@ class SignProjection:
         self._made: tuple[int, np.ndarray] | None = None
 
     def matrix(self, n_features: int) -> np.ndarray:
-        """Entry ``(feature, column)`` depends on its place and the seed only; made once per task."""
+        """Signs of features and columns; made once per task.
+
+        Columns 128 b to 128 b + 127 of feature j are the bits, from the highest,
+        of the MD5 of ``j:b:seed``.
+        """
         if self._made is None or self._made[0] != n_features:
-            place = np.arange(n_features, dtype=np.uint64)[:, None] * np.uint64(1 << 20)
-            place = place + np.arange(self.dim, dtype=np.uint64) + np.uint64(self.seed) * np.uint64(1 << 44)
-            signs = (_scrambled(place) >> np.uint64(63)).astype(np.float64) * 2 - 1
-            self._made = n_features, signs / np.sqrt(max(1, n_features))
+            words = -(-self.dim // 128)
+            digest = b"".join(
+                hashlib.md5(f"{j}:{b}:{self.seed}".encode()).digest() for j in range(n_features) for b in range(words)
+            )
+            bits = np.unpackbits(np.frombuffer(digest, np.uint8)).reshape(n_features, 128 * words)[:, : self.dim]
+            self._made = n_features, (bits * 2.0 - 1.0) / np.sqrt(max(1, n_features))
         return self._made[1]
 
     def batch(self, values: object) -> np.ndarray:
@@ -140,6 +147,8 @@ def sequence_source(
 def embed_distinct(sequences: DataFrame, provider: Provider) -> DataFrame:
     """(sequence, vector): every distinct non-blank sequence is embedded once."""
     distinct = sequences.select("sequence").where(F.trim("sequence") != "").distinct()
+    if hasattr(provider, "frame"):
+        return provider.frame(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

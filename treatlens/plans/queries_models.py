@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treatlens.operators import embeddings, graph, ivgraph, layout, metrics, qc, transport
@@ -52,12 +52,30 @@ def sequence_metadata(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("embed_sequences")
+def whole_vector(col: str, digits: int) -> Column:
+    """A vector as the MD5 of its rounded values, so that all of them are compared."""
+    scaled = F.transform(col, lambda x: F.round(x.cast("double") * 10**digits).cast("bigint").cast("string"))
+    return F.md5(F.array_join(scaled, ","))
+
+
+SQL_KMERS = f"""seqs AS (SELECT DISTINCT o_orderpriority AS pid, translate(sha256(o_orderpriority), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM orders),
+km AS (SELECT pid, md5(substr(s, k, 6) || ':42') AS code FROM (SELECT pid, s, unnest(range(1, length(s) - 4)) AS k FROM seqs)),
+sp AS (SELECT pid, ('0x' || substr(code, 1, 8))::BIGINT % {DIM} AS c, sum(CASE WHEN substr(code, 9, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS n FROM km GROUP BY 1, 2),
+vec AS (SELECT pid, d.c, (coalesce(n, 0) / sqrt((SELECT sum(n * n) FROM sp q WHERE q.pid = p.pid)))::REAL::DOUBLE AS v
+  FROM (SELECT DISTINCT pid FROM seqs) p CROSS JOIN (SELECT range AS c FROM range({DIM})) d LEFT JOIN sp USING (pid, c))"""
+
+
+@query(
+    "embed_sequences",
+    "WITH " + SQL_KMERS + """, h AS (SELECT pid, md5(string_agg(round(v * 1000000)::BIGINT::VARCHAR, ',' ORDER BY c)) AS h FROM vec GROUP BY 1)
+    SELECT o_orderkey AS cell_id, h AS vector FROM orders JOIN h ON pid = o_orderpriority""",
+)
 def embed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     cells = V.treatments(spark, folder)
     sequences, _ = embeddings.sequence_source(cells, perturbations=V.treatment_loci(spark, folder))
     vectors = embeddings.treatment_vectors(cells, sequences, embeddings.KmerSpectrum(DIM))
-    return embeddings.embed_sequences(cells, vectors)
+    done = embeddings.embed_sequences(cells, vectors)
+    return done.select("cell_id", whole_vector("sequence_embedding", 6).alias("vector"))
 
 
 def _sparse(data: Inputs) -> tuple[DataFrame, DataFrame, int]:
@@ -79,10 +97,21 @@ def to_sparse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("embed_cells")
+@query(
+    "embed_cells",
+    V.with_sql(V.SQL_EXPR, V.SQL_NORMAL)
+    + f""", feat AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS j FROM (SELECT DISTINCT p_brand AS gene_id FROM part)),
+    p AS (SELECT o_orderkey AS cell_id, j, coalesce(z, 0) AS z FROM orders CROSS JOIN feat LEFT JOIN normal n ON n.cell_id = o_orderkey AND n.gene_id = feat.gene_id),
+    st AS (SELECT cell_id, avg(z) AS m, stddev_pop(z) AS s FROM p GROUP BY 1),
+    bits AS (SELECT j, d, CASE WHEN ('0x' || substr(md5(j || ':' || d // 128 || ':42'), d % 128 // 4 + 1, 1))::INT & (8 >> (d % 4)) > 0 THEN 1.0 ELSE -1.0 END AS s
+      FROM feat CROSS JOIN (SELECT range AS d FROM range({DIM}))),
+    v AS (SELECT cell_id, d, (sum(CASE WHEN st.s > 1e-8 THEN (z - m) / st.s ELSE z - m END * bits.s) / sqrt((SELECT count(*) FROM feat)))::REAL::DOUBLE AS v
+      FROM p JOIN st USING (cell_id) JOIN bits USING (j) GROUP BY 1, 2)
+    SELECT cell_id, md5(string_agg(round(v * 1000)::BIGINT::VARCHAR, ',' ORDER BY d)) AS vector FROM v GROUP BY 1""",
+)
 def embed_cells(spark: SparkSession, folder: str) -> DataFrame:
     sparse, _, n = _sparse(Inputs(spark, folder))
-    return embeddings.project(sparse, n, DIM)
+    return embeddings.project(sparse, n, DIM).select("cell_id", whole_vector("cell_state_embedding", 3).alias("vector"))
 
 
 @query(
