@@ -129,7 +129,7 @@ def _slices(batches: Iterator[pa.RecordBatch], n_w: int, y_at: int) -> Iterator[
 
 
 def moment_blocks(
-    rows: DataFrame, n_w: int, n_y: int, draws: int = 0, by_key: bool = False, aligned: bool = False
+    rows: DataFrame, n_w: int, n_y: int, draws: int = 0, by_key: bool = False, aligned: bool = False, between: bool = True
 ) -> DataFrame:
     """Summed blocks of ``X'X`` (kind ``G``) for ``X = [1, w, y]``, and with
     ``by_key`` the column sums of every key (kind ``S``), for each draw.
@@ -138,7 +138,8 @@ def moment_blocks(
     array<double>), ``idx`` array<int>, ``val`` array<double>, plus ``key``
     string with ``by_key`` and ``weights`` array<double>, one per draw, with
     ``draws``; draw 0 weighs every row once. All draws are computed in the same
-    pass over the rows. ``aligned`` lets the features begin at a block of their own.
+    pass over the rows. ``aligned`` lets the features begin at a block of their own;
+    then, without ``between``, products of features with features are left out.
     """
     y_at = first_feature(n_w, aligned)
     tiles = -(-(y_at + n_y) // BLOCK)
@@ -169,6 +170,8 @@ def moment_blocks(
                     if by_key:
                         sums = np.add.reduceat(weighted[order], starts, axis=0)
                         yield from ((d, "S", k, 0, ib, v) for k, v in zip(names, sums) if v.any())
+                if not between and ib * BLOCK >= y_at:
+                    continue
                 for jb in range(ib, tiles):
                     right = left if jb == ib else dense(jb)
                     for d in range(draws + 1):

@@ -253,18 +253,57 @@ def _fitted(spark: SparkSession, folder: str) -> tuple[transport.LinearTransport
     return transport.fit_linear_transport(rows, source, DIM, n), rows, sparse, feats, data
 
 
-@query("fit_linear_transport")
+#: The ridge fit from sums per treatment, whose cells share their covariates: Gauss-Jordan over one row of lists.
+SQL_TRANSPORT = (
+    V.with_sql(V.SQL_EXPR, V.SQL_NORMAL, V.SQL_TREATMENTS, SQL_KMERS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+genes AS (SELECT p_brand AS gene_id, row_number() OVER (ORDER BY p_brand) AS g FROM (SELECT DISTINCT p_brand FROM part)),
+np AS (SELECT perturbation_id AS pid, count(*) AS n, count(*) FILTER (condition = 'control') AS nc FROM cells GROUP BY 1),
+zs AS (SELECT perturbation_id AS pid, gene_id, sum(z) AS s, sum(z * z) AS q FROM normal JOIN cells USING (cell_id) GROUP BY 1, 2),
+src AS (SELECT g, gene_id, coalesce((SELECT sum(s) FROM zs JOIN np USING (pid) WHERE nc > 0 AND zs.gene_id = genes.gene_id), 0)
+  / (SELECT sum(nc) FROM np) AS source FROM genes),
+tg AS (SELECT pid, g, gene_id, source, n, coalesce(s, 0) - n * source AS st, coalesce(q, 0) - 2 * source * coalesce(s, 0) + n * source * source AS sq
+  FROM np CROSS JOIN src LEFT JOIN zs USING (pid, gene_id)),
+xs AS (SELECT pid, 0 AS j, 1.0::DOUBLE AS v FROM np UNION ALL SELECT pid, c + 1, v FROM vec),
+lhs AS (SELECT a.j AS i, list(v ORDER BY b.j) AS r FROM (SELECT a.j, b.j AS k, sum(n * a.v * b.v) + CASE WHEN a.j = b.j AND a.j > 0 THEN 0.001 ELSE 0 END AS v
+    FROM xs AS a JOIN xs AS b USING (pid) JOIN np USING (pid) GROUP BY a.j, b.j) AS a JOIN (SELECT DISTINCT j FROM xs) AS b ON b.j = a.k GROUP BY a.j),
+rhs AS (SELECT j AS i, list(v ORDER BY g) AS r FROM (SELECT j, g, sum(xs.v * st) AS v FROM xs JOIN tg USING (pid) GROUP BY 1, 2) GROUP BY 1),
+gj(k, m) AS (
+  SELECT 0, list(lhs.r || rhs.r ORDER BY i) FROM lhs JOIN rhs USING (i) UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+    WHEN r[k + 1] = 0 THEN r ELSE list_transform(r, lambda x, j: x - r[k + 1] * (m[k + 1][j] / m[k + 1][k + 1])) END) FROM gj WHERE k < len(m)),
+coef AS (SELECT j, g, m[j + 1][{DIM} + 1 + g] AS b FROM gj, (SELECT DISTINCT j FROM xs), genes WHERE k = len(m)),
+fit AS (SELECT pid, g, sum(v * b) AS p FROM xs JOIN coef USING (j) GROUP BY 1, 2),
+model AS (SELECT g, gene_id, source, greatest(sum(sq - 2 * p * st + n * p * p) / sum(n), 0) + 0.0001 AS variance FROM tg JOIN fit USING (pid, g) GROUP BY ALL)
+"""
+)
+
+
+@query(
+    "fit_linear_transport",
+    SQL_TRANSPORT
+    + """SELECT g - 1 AS idx, gene_id, round(source, 6) + 0.0 AS source, round(variance, 6) + 0.0 AS variance,
+    (SELECT md5(string_agg(round(b * 10000)::BIGINT::VARCHAR, ',' ORDER BY j)) FROM coef WHERE coef.g = model.g) AS coef FROM model""",
+)
 def linear_transport(spark: SparkSession, folder: str) -> DataFrame:
     model, rows, _, feats, _ = _fitted(spark, folder)
     ids = [r["gene_id"] for r in feats.orderBy("idx").collect()]
-    return transport.model_rows(model, rows, ids)
+    done = transport.model_rows(model, rows, ids)
+    numbers = [rounded(c).alias(c) for c in ("source", "variance")]
+    return done.select(F.col("idx").cast("bigint").alias("idx"), "gene_id", *numbers, whole_vector("coef", 4).alias("coef"))
 
 
-@query("predict_distribution")
+@query(
+    "predict_distribution",
+    SQL_TRANSPORT
+    + """SELECT c.cell_id, m.gene_id, round(coalesce(z, 0), 6) + 0.0 AS y, round(source + p, 6) + 0.0 AS p, round(variance, 6) + 0.0 AS var
+    FROM cells AS c JOIN fit ON fit.pid = c.perturbation_id JOIN model AS m USING (g) LEFT JOIN normal AS z ON z.cell_id = c.cell_id AND z.gene_id = m.gene_id""",
+)
 def predict(spark: SparkSession, folder: str) -> DataFrame:
     model, rows, _, feats, _ = _fitted(spark, folder)
     ids = [r["gene_id"] for r in feats.orderBy("idx").collect()]
-    return transport.prediction_pairs(rows, model, ids)
+    done = transport.prediction_pairs(rows, model, ids)
+    return done.select("cell_id", "gene_id", *[rounded(c).alias(c) for c in ("y", "p", "var")])
 
 
 @query("sample_distribution")
