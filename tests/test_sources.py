@@ -7,6 +7,7 @@ from treatlens import schema as S
 from treatlens.operators import validation as C
 from treatlens.plans.evaluate import check_shapes, evaluate, from_pairs
 from treatlens.plans.stage_chain import ChainSettings, read_manifest, run_stages
+from treatlens.session import scratch_path
 from treatlens.sources import stages as IO
 from treatlens.sources.numbering import row_numbers
 from treatlens.sources.wide_table import fill_ids, load_entity_table
@@ -61,6 +62,13 @@ def test_row_numbers_follow_the_scan(spark):
     df = spark.range(0, 1000, 1, 7)
     got = row_numbers(df, "n").toPandas()
     assert (got["id"] == got["n"]).all()
+    path = scratch_path(spark, "numbers")
+    for k, n in enumerate((5, 4000, 1, 900)):  # the scan would read the largest file first
+        spark.range(k * 10_000, k * 10_000 + n).repartition(1).sortWithinPartitions("id").write.mode("append").parquet(f"{path}/k={k}")
+    rows = row_numbers(spark.read.parquet(path).select("id"), "n").orderBy("id").toPandas()
+    assert rows["n"].tolist() == list(range(4906))
+    named = row_numbers(spark.read.parquet(path).select(F.col("id").alias("_metadata")), "n").orderBy("_metadata").toPandas()
+    assert named["n"].tolist() == list(range(4906))
     ids = [r["cell_id"] for r in fill_ids(spark.range(3).select(F.lit(1).alias("x")), "d").collect()]
     assert sorted(ids) == ["d_cell_000000", "d_cell_000001", "d_cell_000002"]
 

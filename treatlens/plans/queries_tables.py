@@ -224,9 +224,12 @@ def load_table(spark: SparkSession, folder: str) -> DataFrame:
       AS cell_id, 'unassigned' AS perturbation_id, o_totalprice FROM orders""",
 )
 def fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Number the orders in the order of a file sorted by key."""
+    """Number the orders over several files: one of the first keys, then each about ten times larger than the last."""
     path = scratch_path(spark, "raw")
-    V.table(spark, folder, "orders").orderBy("o_orderkey").coalesce(1).select("o_totalprice").write.parquet(path)
+    orders = V.table(spark, folder, "orders")
+    file = F.least(F.lit(5), F.floor(F.log10(F.col("o_orderkey") + 1))).cast("int")
+    dealt = orders.repartitionById(6, file).sortWithinPartitions("o_orderkey")
+    dealt.select("o_totalprice").write.parquet(path)
     return fill_ids(spark.read.parquet(path), "raw")
 
 
