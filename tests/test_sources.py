@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from treatlens import schema as S
 from treatlens.operators import validation as C
-from treatlens.plans.evaluate import check_shapes, evaluate, from_pairs
+from treatlens.plans.evaluate import EvaluationSettings, check_shapes, evaluate, evaluate_masks, from_pairs
 from treatlens.plans.stage_chain import ChainSettings, read_manifest, run_stages
 from treatlens.session import scratch_path
 from treatlens.sources import stages as IO
@@ -175,3 +175,25 @@ def test_large_files_are_identified_by_content(spark, tmp_path, monkeypatch):
     path.write_bytes(b"two content")
     os.utime(path, (1_000_000, 1_000_000))
     assert IO.source_fingerprint(spark, str(path)) == hashlib.sha256(b"two content").hexdigest()
+
+
+def test_masks_are_scored_in_one_pass_and_checked(spark):
+    rng = np.random.default_rng(5)
+    y, p = rng.normal(size=(30, 4)), rng.normal(size=(30, 4))
+    rows = [(f"c{i:02d}", f"g{j}", float(y[i, j]), float(p[i, j])) for i in range(30) for j in range(4)]
+    pairs = spark.createDataFrame(rows, "cell_id string, gene_id string, y double, p double")
+    part = lambda kind, i: ("train", "val", "test")[i % 3] if kind == "a" else ("train" if i < 25 else "test")
+    masks = spark.createDataFrame([(f"c{i:02d}", k, part(k, i)) for k in "ab" for i in range(30)], "cell_id string, shift_type string, part string")
+    control = spark.createDataFrame([(f"g{j}", 0.0) for j in range(4)], "gene_id string, control_mean double")
+    got = {(r.shift_type, r.part): r for r in evaluate_masks(pairs, masks, control, EvaluationSettings(top_k=2)).collect()}
+    assert len(got) == 5
+    for (kind, name), r in got.items():
+        own = [i for i in range(30) if part(kind, i) == name]
+        a, b = y[own], p[own]
+        corr = np.array([np.corrcoef(a[:, j], b[:, j])[0, 1] for j in range(4)])
+        top = np.argsort(-np.abs(a.mean(0)), kind="stable")[:2]
+        assert np.allclose([r.mae, r.rmse, r.pearson_mean_gene, r.pearson_top_1000_degs], [
+            np.abs(a - b).mean(), np.sqrt(((a - b) ** 2).mean()), corr.mean(), corr[top].mean()])
+        assert (r.n_genes, r.n_eval_cells) == (4, len(own))
+    with pytest.raises(Exception, match="expected one prediction"):
+        evaluate_masks(pairs.where("NOT (cell_id = 'c07' AND gene_id = 'g1')"), masks, control).collect()

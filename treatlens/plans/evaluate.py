@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treatlens import schema as S
@@ -77,6 +77,63 @@ def from_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return M.dense_moments(pairs), M.calibration_rows(pairs)
 
 
+def evaluate_masks(
+    pairs: DataFrame, assignment: DataFrame, control: DataFrame, cfg: EvaluationSettings | None = None
+) -> DataFrame:
+    """Scores per shift type and part: mae, rmse, pearson_mean_gene, pearson_top_1000_degs, n_genes, n_eval_cells.
+
+    ``pairs`` is (cell_id, gene_id, y, p), one row per cell and gene;
+    ``assignment`` is (cell_id, shift_type, part), one part per cell and shift
+    type. A cell's masks are a short list that rides on its rows, so all splits
+    come from one pass whose sums are combined before the shuffle. Reading the
+    result is an error if a mask lacks a prediction of a cell and gene, or if one
+    is missing.
+    """
+    cfg = cfg or EvaluationSettings()
+    mask = F.struct("shift_type", "part")
+    masks = assignment.groupBy("cell_id").agg(F.collect_set(mask).alias("masks"))
+    e = F.col("y") - F.col("p")
+    sums = cut_lineage(
+        pairs.select("cell_id", "gene_id", "y", "p").join(masks, "cell_id")
+        .select("gene_id", "y", "p", F.explode("masks").alias("name"))
+        .groupBy("name", "gene_id")
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("mean_y"), F.var_pop("y").alias("vy"),
+            F.var_pop("p").alias("vp"), F.covar_pop("y", "p").alias("cyp"), F.sum(F.abs(e)).alias("abs_sum"),
+            F.sum(e * e).alias("sq_sum"), F.count_if(F.col("p").isNull() | F.isnan("p")).alias("bad"),
+        ),
+        "mask-sums",
+    )
+    n = F.col("n")
+    moments = sums.select(
+        "name", "gene_id", "n", "mean_y", (F.col("vy") * n).alias("m2_y"), (F.col("vp") * n).alias("m2_p"),
+        (F.col("cyp") * n).alias("c_yp"), "abs_sum", "sq_sum",
+    )
+    # A window group holds the genes of one mask.
+    far = F.abs(F.col("mean_y") - F.coalesce("control_mean", F.lit(0.0)))
+    ranked = moments.join(control, "gene_id", "left").withColumn(
+        "_r", F.row_number().over(Window.partitionBy("name").orderBy(far.desc(), F.asc("gene_id")))
+    )
+    top = M.gene_pearson(ranked.where(F.col("_r") <= cfg.top_k)).groupBy("name").agg(F.avg("pearson").alias("top"))
+    sizes = assignment.groupBy(mask.alias("name")).agg(F.count(F.lit(1)).alias("cells"))
+    shape = sums.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_genes"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("bad").alias("bad")
+    ).join(sizes, "name", "right")
+    wrong = F.col("low").isNull() | (F.col("low") != F.col("cells")) | (F.col("high") != F.col("cells")) | (F.col("bad") > 0)
+    text = F.format_string(
+        "mask %s, %s: expected one prediction of %d cells for every gene, got %s to %s, %s missing",
+        "name.shift_type", "name.part", "cells", F.col("low").cast("string"), F.col("high").cast("string"), F.col("bad").cast("string"),
+    )
+    checked = shape.withColumn("cells", F.when(wrong, F.raise_error(text).cast("bigint")).otherwise(F.col("cells")))
+    return (
+        checked.join(M.scores(moments), "name", "left").join(top, "name", "left")
+        .select(
+            "name.shift_type", "name.part", "mae", "rmse", "pearson_mean_gene",
+            F.coalesce("top", F.lit(0.0)).alias("pearson_top_1000_degs"), "n_genes", F.col("cells").alias("n_eval_cells"),
+        )
+    )
+
+
 def evaluate(
     moments: DataFrame,
     calibration: DataFrame,

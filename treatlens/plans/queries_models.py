@@ -341,6 +341,42 @@ def evaluate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "evaluate_masks",
+    SQL_BASE
+    + """, mk AS (SELECT o_orderkey AS cell_id, 'batch' AS shift_type, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'val' ELSE 'test' END AS part FROM orders
+      UNION ALL SELECT o_orderkey, 'week', CASE WHEN weekofyear(o_orderdate) % 5 < 3 THEN 'train' WHEN weekofyear(o_orderdate) % 5 = 3 THEN 'val' ELSE 'test' END FROM orders),
+    gmask AS (SELECT perturbation_id, gene_id, gene_level_mean AS p FROM pred),
+    pr AS (SELECT shift_type, part, cell_id, gene_id, coalesce(z, 0) AS y, p FROM mk JOIN cells USING (cell_id) JOIN gmask USING (perturbation_id)
+      LEFT JOIN normal USING (cell_id, gene_id)),
+    pg AS (SELECT shift_type, part, gene_id, count(*) AS n, sum(abs(y - p)) AS a, sum((y - p) * (y - p)) AS q,
+        CASE WHEN stddev_pop(y) > 1e-8 AND stddev_pop(p) > 1e-8 THEN corr(y, p) END AS r,
+        row_number() OVER (PARTITION BY shift_type, part ORDER BY abs(avg(y) - coalesce(any_value(cm), 0)) DESC, gene_id) AS rk
+      FROM pr LEFT JOIN ctl USING (gene_id) GROUP BY 1, 2, 3)
+    SELECT shift_type, part, round(sum(a) / sum(n), 6) + 0.0 AS mae, round(sqrt(sum(q) / sum(n)), 6) + 0.0 AS rmse,
+      round(coalesce(avg(r), 0), 6) + 0.0 AS pearson_mean_gene, round(coalesce(avg(r) FILTER (rk <= 10), 0), 6) + 0.0 AS pearson_top_1000_degs,
+      count(*) AS n_genes, max(n) AS n_eval_cells FROM pg GROUP BY 1, 2""",
+)
+def evaluate_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Group means as predictions, scored on every part of two splits at once."""
+    data = Inputs(spark, folder)
+    orders = V.table(spark, folder, "orders")
+    week = F.weekofyear("o_orderdate") % 5
+    status = F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "val").otherwise("test")
+    splits = F.array(
+        F.struct(F.lit("batch").alias("shift_type"), status.alias("part")),
+        F.struct(F.lit("week").alias("shift_type"), F.when(week < 3, "train").when(week == 3, "val").otherwise("test").alias("part")),
+    )
+    assignment = orders.select(F.col("o_orderkey").alias("cell_id"), F.explode(splits).alias("s")).select("cell_id", "s.*")
+    preds = cut_lineage(data.predictions(), "predictions").select("perturbation_id", "gene_id", F.col("gene_level_mean").alias("p"))
+    grid = data.cells.select("cell_id", "perturbation_id").join(preds, "perturbation_id")
+    pairs = grid.join(data.expr, ["cell_id", "gene_id"], "left").select("cell_id", "gene_id", F.coalesce("z", F.lit(0.0)).alias("y"), "p")
+    control = qc.group_profiles(data.expr, data.cells, data.genes).groupBy("gene_id").agg(F.first("control_mean").alias("control_mean"))
+    done = EV.evaluate_masks(pairs, assignment, control, EV.EvaluationSettings(top_k=10))
+    numbers = ("mae", "rmse", "pearson_mean_gene", "pearson_top_1000_degs")
+    return done.select("shift_type", "part", *[rounded(c).alias(c) for c in numbers], "n_genes", "n_eval_cells")
+
+
 @query(
     "quality_gates",
     SQL_BASE
