@@ -1,6 +1,6 @@
 import json
 
-from treatlens.llm.tool_calls import calls_of_turns, link_tool_calls
+from treatlens.llm.tool_calls import REPLY_SCHEMA, calls_of_turns, link_tool_calls
 
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False), "note": ("string", False)}}
 CALL = "conv_id long, call_id string, parent_id string, position long, name string, arguments string, depth string"
@@ -27,6 +27,10 @@ def test_links_orders_validates_and_serialises(spark):
     results = [(1, "c1", 2, "one"), (1, "c2", 4, None), (1, "zz", 6, "lost"), (3, "d", 9, "late"), (3, "d", 6, "early"), (None, "n", 2, "r")]
     got = run(spark, calls, results)
     by = {(r.conv_id, r.call_id, r.status == "orphan"): r for r in got}
+    repeated = sorted((r.conv_id, r.call_id, r.position, r.depth) for r in got if r.status == "duplicate")
+    assert repeated == [(3, "d", 5, None), (3, "d", 9, None)] and len(got) == 18
+    got = [r for r in got if r.status != "duplicate"]
+    by = {(r.conv_id, r.call_id, r.status == "orphan"): r for r in got}
     assert len(got) == len(by) == 16
     status = {k[:2]: r.status for k, r in by.items() if not k[2]}
     assert status[1, "c1"] == status[1, "c2"] == status[3, "d"] == "ok"
@@ -57,6 +61,24 @@ def test_turns(spark):
         [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", None), (None, 1, "user", "x")],
         "conv_id long, turn int, role string, text string",
     )
-    calls, results = calls_of_turns(turns)
+    calls, results, messages = calls_of_turns(turns)
     assert {(r.call_id, r.parent_id) for r in calls.filter("conv_id = 1").collect()} == {("1:1", "1:-1"), ("1:3", "1:1")}
     assert [r.call_id for r in results.collect()] == ["1:1"]
+    assert [tuple(r) for r in messages.collect()] == [(1, 0, "system", "s")]
+
+
+def test_every_turn_has_a_line(spark):
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 1, "user", "q"), (1, 1, "user", "other"), (1, 2, "assistant", "a"),
+        (1, 2, "assistant", "a"), (1, 3, None, None), (2, None, "tool", "t"), (None, None, None, "x"), (2, 5, "assistant", "lost"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results, messages = calls_of_turns(turns)
+    got = link_tool_calls(calls, results, REPLY_SCHEMA, messages).collect()
+    status = sorted(r.status for r in got)
+    assert status == sorted(["ok", "orphan", "duplicate", "duplicate", "duplicate"] + ["message"] * 4)
+    assert len(got) == len(rows) - 1  # a call and its result share a line
+    texts = [json.loads(r.line) for r in got]
+    held = [x for t in texts for x in ((t["arguments"] or {}).get("prompt"), t["result"]) if x is not None]
+    assert sorted(held) == sorted(t for *_, t in rows if t is not None)
+    assert {t["name"] for t in texts if t["status"] == "message"} == {"system", None, "tool"}

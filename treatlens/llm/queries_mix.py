@@ -112,9 +112,10 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 CHAT_SQL = """
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS nr FROM t WHERE role IN ('user', 'assistant')),
 c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS parent_id, text
-      FROM t WHERE role = 'user'),
-a AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
+      FROM n WHERE role = 'user' AND nr = 1),
+a AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM n WHERE role = 'assistant' AND nr = 1),
 lv AS (
   SELECT c.conv_id, c.call_id, 0 AS depth FROM c
   WHERE NOT EXISTS (SELECT 1 FROM c AS q WHERE q.conv_id = c.conv_id AND q.call_id = c.parent_id)
@@ -128,13 +129,19 @@ j AS (
 s AS (
   SELECT j.*, lv.depth::BIGINT AS depth,
          CASE WHEN NOT is_call THEN 'orphan' WHEN prompt IS NULL THEN 'invalid'
-              WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status
-  FROM j LEFT JOIN lv ON lv.conv_id = j.conv_id AND lv.call_id = j.call_id)
+              WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status, CASE WHEN is_call THEN 'reply' END AS name
+  FROM j LEFT JOIN lv ON lv.conv_id = j.conv_id AND lv.call_id = j.call_id
+  UNION ALL
+  SELECT conv_id, conv_id || ':' || turn, turn, conv_id || ':' || (turn - 2), text, NULL, TRUE, FALSE, NULL, 'duplicate', 'reply' FROM n WHERE role = 'user' AND nr > 1
+  UNION ALL
+  SELECT conv_id, conv_id || ':' || (turn - 1), turn, NULL, NULL, text, FALSE, FALSE, NULL, 'duplicate', NULL FROM n WHERE role = 'assistant' AND nr > 1
+  UNION ALL
+  SELECT conv_id, NULL, turn, NULL, NULL, text, FALSE, FALSE, NULL, 'message', role FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
 SELECT conv_id, call_id, position, depth, status,
        '{"arguments":' ||
        CASE WHEN is_call THEN '{"chars":' || length(prompt) || ',"prompt":' || to_json(prompt) || '}' ELSE 'null' END ||
-       ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"depth":' || coalesce(depth::VARCHAR, 'null') ||
-       ',"errors":[],"name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END ||
+       ',"call_id":' || coalesce(to_json(call_id)::VARCHAR, 'null') || ',"conv_id":' || conv_id || ',"depth":' || coalesce(depth::VARCHAR, 'null') ||
+       ',"errors":[],"name":' || coalesce(to_json(name)::VARCHAR, 'null') ||
        ',"parent_id":' || coalesce(to_json(parent_id)::VARCHAR, 'null') ||
        ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') ||
        ',"status":"' || status || '"}' AS line
@@ -144,7 +151,7 @@ FROM s
 
 @query("op9_chat_format", CHAT_SQL)
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Every user turn as a call linked to its answer; every answer without one as an orphan."""
+    """Every turn: user turns as calls linked to their answers, answers without one as orphans, other roles as messages."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    calls, results = calls_of_turns(turns)
-    return link_tool_calls(calls, results, REPLY_SCHEMA)
+    calls, results, messages = calls_of_turns(turns)
+    return link_tool_calls(calls, results, REPLY_SCHEMA, messages)

@@ -37,6 +37,16 @@ def _first(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*_KEY).agg(pick, F.count(F.lit(1)).alias("_n")).select(*_KEY, "_r.*", "_n")
 
 
+def _repeated(df: DataFrame, first: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of identifiers that ``_first`` did not choose, each as often as it occurs."""
+    own = ["position", *columns]
+    chosen = first.select(*_KEY, F.struct(*own).alias("_chosen"))
+    counted = df.groupBy(*_KEY, *own).agg(F.count(F.lit(1)).alias("_times")).join(chosen, _KEY)
+    left = F.col("_times") - F.struct(*own).eqNullSafe(F.col("_chosen")).cast("long")
+    rows = counted.select(*_KEY, *own, left.alias("_left")).filter("_left > 0")
+    return rows.select(*_KEY, *own, F.explode(F.sequence(F.lit(1).cast("long"), "_left")).alias("_n")).drop("_n")
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """``depth`` of every call: 0 without a known parent, null on or behind a cycle.
 
@@ -87,19 +97,21 @@ def argument_errors(arguments: Column, name: Column, schemas: Schemas) -> Column
     )
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call, and one per result without a call.
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, messages: DataFrame | None = None) -> DataFrame:
+    """One row per call, and one per result without a call or beside an earlier one; one per message.
 
     ``calls``: conv_id, call_id, parent_id, position, name, arguments (JSON
-    text); ``results``: conv_id, call_id, position, content. Returns those keys
+    text); ``results``: conv_id, call_id, position, content; ``messages``, which
+    call nothing: conv_id, position, name (who speaks), content. Returns the keys
     with ``position``, ``depth``, ``status`` and ``line``, canonical JSON (sorted
     keys, no white space). Sort by ``conv_id, depth, position`` for an order in
     which every call follows its parent.
 
     ``status``: ``ok``, ``invalid`` (see ``errors`` in the line), ``unanswered``,
-    ``cycle``, ``no_id`` (call without conversation or identifier) or ``orphan``
-    (result without a call). Of several calls or results with one identifier the
-    earliest counts. Malformed JSON and repeated keys are errors, not failures.
+    ``cycle``, ``no_id`` (call without conversation or identifier), ``orphan``
+    (result without a call), ``duplicate`` or ``message``. Of several calls or
+    results with one identifier the earliest counts, the others are duplicates
+    without depth or partner. Malformed JSON and repeated keys are errors, not failures.
     Other columns are not read.
     """
     call_cols = ["parent_id", "name", "arguments"]
@@ -107,9 +119,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     results = results.select(*_KEY, "position", "content")
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     single = _first(calls.filter(named), call_cols).drop("_n")
-    answers = _first(results.filter(named), ["content"]).select(
-        *_KEY, F.col("position").alias("_at"), "content", F.lit(True).alias("_answered")
-    )
+    answered = _first(results.filter(named), ["content"]).drop("_n")
+    answers = answered.select(*_KEY, F.col("position").alias("_at"), "content", F.lit(True).alias("_answered"))
     linked = single.join(depths(single), _KEY, "left").join(answers.hint("shuffle_hash"), _KEY, "full")
     loose = calls.filter(~named).select(
         *calls.columns,
@@ -127,15 +138,28 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
         "content",
         F.lit(True).alias("_answered"),
     )
-    rows = linked.unionByName(loose).unionByName(strays)
-    is_call = F.col("name").isNotNull() | F.col("arguments").isNotNull() | F.col("position").isNotNull()
+    text, no_depth = F.lit(None).cast("string"), F.lit(None).cast("long").alias("depth")
+    again = _repeated(calls.filter(named), single, call_cols).select("*", no_depth, text.alias("content"), F.lit("duplicate").alias("_plain"))
+    more = _repeated(results.filter(named), answered, ["content"]).select(
+        *_KEY, "position", *[text.alias(c) for c in call_cols], no_depth, "content", F.lit("duplicate").alias("_plain")
+    )
+    plain = again.unionByName(more)
+    if messages is not None:
+        plain = plain.unionByName(messages.select(
+            "conv_id", text.alias("call_id"), F.col("position").cast(calls.schema["position"].dataType).alias("position"),
+            text.alias("parent_id"), "name", text.alias("arguments"), no_depth, "content", F.lit("message").alias("_plain"),
+        ))
+    plain = plain.withColumn("_at", F.lit(None).cast(calls.schema["position"].dataType)).withColumn("_answered", F.lit(None).cast("boolean"))
+    rows = linked.unionByName(loose).unionByName(strays).withColumn("_plain", text).unionByName(plain)
+    is_call = F.col("_plain").isNull() & (F.col("name").isNotNull() | F.col("arguments").isNotNull() | F.col("position").isNotNull())
     parsed = rows.select(
         "*", is_call.alias("_call"), F.try_parse_json("arguments").alias("_args"), named.alias("_named")
     )
     errors = argument_errors(F.col("_args"), F.col("name"), schemas)
     checked = parsed.withColumn("errors", F.when(F.col("_call"), errors).otherwise(F.array().cast("array<string>")))
     status = (
-        F.when(~F.col("_call"), "orphan")
+        F.when(F.col("_plain").isNotNull(), F.col("_plain"))
+        .when(~F.col("_call"), "orphan")
         .when(~F.col("_named"), "no_id")
         .when(F.col("depth").isNull(), "cycle")
         .when(F.size("errors") > 0, "invalid")
@@ -154,11 +178,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     return done.select(*_KEY, "position", "depth", "status", line.alias("line"))
 
 
-def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain dialogue turns (conv_id, turn, role, text).
+def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and messages of plain dialogue turns (conv_id, turn, role, text); every turn is one of these.
 
     A user turn is a call of the tool ``reply`` that builds on the user turn two
-    places before it; the assistant turn that follows is its result.
+    places before it; the assistant turn that follows is its result. Turns of
+    any other role, or none, are messages.
     """
     ident = F.concat_ws(":", "conv_id", "turn")
     calls = turns.filter("role = 'user'").select(
@@ -175,7 +200,9 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("turn").alias("position"),
         F.col("text").alias("content"),
     )
-    return calls, results
+    other = turns.filter("role IS NULL OR role NOT IN ('user', 'assistant')")
+    messages = other.select("conv_id", F.col("turn").alias("position"), F.col("role").alias("name"), F.col("text").alias("content"))
+    return calls, results, messages
 
 
 REPLY_SCHEMA: Schemas = {"reply": {"prompt": ("string", True), "chars": ("integer", True)}}
