@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from treatlens.llm import minhash
-from treatlens.llm.minhash import similar_sets, sketch
+from treatlens.llm.minhash import similar_sets
+from treatlens.llm.sketches import sketch
 
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -84,7 +85,7 @@ def test_sketch_fills_and_estimates():
     items = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64)
     for size in (1, 2, 40, 1000):
         a, b = items[:size], items[size // 4 : size + size // 4]
-        rows = sketch([a, b, a[::-1]])
+        rows = sketch([a, b, a[::-1]], 160)
         assert (rows != 2**64 - 1).all() and (rows[0] == rows[2]).all()
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((rows[0] == rows[1]).mean() - true) < 0.17

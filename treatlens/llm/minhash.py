@@ -1,12 +1,6 @@
 """MinHash near-duplicates by fast similarity sketching, banding and exact verification.
 
-A set fills the coordinates of its sketch in rounds: in round i every element is
-hashed to one coordinate and the value (i, hash); after as many rounds as there
-are coordinates, round ``COORDINATES + b`` gives all elements to coordinate b. A
-sketch is done once every coordinate holds a value, after one or two rounds for
-large sets, so its cost does not grow with elements times coordinates.
-
-Sets are filed under each band of their sketch, and links are always confirmed on
+Sets are sketched (``sketches``) and filed under each band of their sketch, and links are always confirmed on
 the full sets of shingle hashes:
 
 1. Documents of equal sets are one class.
@@ -30,56 +24,14 @@ from pyspark.sql import functions as F
 
 from treatlens.llm.components import components
 from treatlens.llm.simhash import shingles, words_of
+from treatlens.llm.sketches import band_keys
 from treatlens.llm.tables import chunks, tidy
 from treatlens.session import cut_lineage
 
 #: At similarity 0.85 a pair misses all bands with probability 7e-9, at 0.6 it meets in one with 0.93.
 BANDS, ROWS = 32, 5
-COORDINATES = BANDS * ROWS
 #: Classes of a bucket that one task compares with as many others, and text hashed at once.
 BLOCK, PART_BYTES = 256, 1 << 20
-_EMPTY = np.uint64(2**64 - 1)
-_FRACTION = 54
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _seed(i: int) -> np.uint64:
-    return _mix(np.array([(i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)], np.uint64))[0]
-
-
-def sketch(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
-    """One row of ``coordinates`` values per non-empty set; equal with a chance of the sets' similarity."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    out = np.full((len(sets), coordinates), _EMPTY)
-    flat, t = out.reshape(-1), np.uint64(coordinates)
-    for i in range(2 * coordinates):
-        if not len(items):
-            break
-        mixed = _mix(items ^ _seed(i))
-        value = (_mix(mixed) >> np.uint64(64 - _FRACTION)) | np.uint64(i << _FRACTION)
-        bins = ((mixed >> np.uint64(32)) * t >> np.uint64(32)).astype(np.int64) if i < coordinates else i - coordinates
-        np.minimum.at(flat, owner * coordinates + bins, value)
-        open_ = (out == _EMPTY).any(axis=1)[owner]
-        items, owner = items[open_], owner[open_]
-    return out
-
-
-def band_keys(rows: np.ndarray) -> np.ndarray:
-    """A hash per band of each sketch; bands of different place have different hashes."""
-    parts = rows.reshape(len(rows), BANDS, ROWS)
-    key = np.broadcast_to(_mix(np.arange(1, BANDS + 1, dtype=np.uint64)), parts.shape[:2]).copy()
-    for r in range(ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
-    return key
-
-
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -96,7 +48,7 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets_of(batches, width):
-            bands = iter(band_keys(sketch([s for s in sets if len(s)])))
+            bands = iter(band_keys([s for s in sets if len(s)], BANDS, ROWS))
             keys, filed = zip(*[(_key(s), next(bands).tobytes()) if len(s) else (None, None) for s in sets])
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(filed, pa.binary())],
@@ -116,7 +68,7 @@ def _filed(classes: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(bands), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "key", "size"])
 
-    return classes.select("key", "size", "bands").mapInArrow(run, "bucket long, key binary, size long")
+    return classes.select("key", "size", "bands").mapInArrow(tidy(run), "bucket long, key binary, size long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -128,7 +80,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_key(s) for s in own], pa.binary()),
-                    pa.array([b.tobytes() for b in band_keys(sketch(own))], pa.binary()),
+                    pa.array([b.tobytes() for b in band_keys(own, BANDS, ROWS)], pa.binary()),
                     pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
                 ],
                 names=["key", "bands", "held"],
