@@ -39,6 +39,13 @@ def test_odd_vectors_take_no_part(spark):
     assert top_k(empty, frame).count() == 0 and top_k(frame.filter("vec_id = 0"), empty).count() == 0
 
 
+def test_repeated_queries_have_a_list_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in top_k(frame.filter("vec_id = 0"), frame, k=2).collect())
+    assert got == [(1, 1), (1, 2), (1, 2), (2, 3), (2, 3), (2, 3)]
+
+
 def test_ties_in_a_block_go_to_the_smaller_id():
     q, c, s = block_top(np.array([9]), np.ones((1, 2)), np.array([5, 3, 9, 1]), np.ones((4, 2)), 2)
     assert c.tolist() == [1, 3] and s.tolist() == [2, 2]

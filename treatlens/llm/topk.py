@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows per block: a task holds two blocks and one score array.
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+#: Rows per block: a task holds two blocks and one score array. Every candidate is copied once per block of queries.
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 8192
 
 
 def usable(vector: str, ident: str) -> Column:
@@ -44,7 +44,7 @@ def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
 def block_top(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, candidate id and score of the best ``k`` of one block; ties to the smaller id."""
+    """Query's place, candidate id and score of the best ``k`` of one block; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, candidates = ids[order], candidates[order]
     width = min(queries.shape[1], candidates.shape[1])
@@ -57,7 +57,7 @@ def block_top(
     scores, add = np.empty(n, kind), np.empty(n, kind)
     place = np.arange(n - 1, -1, -1, dtype=object if kind is object else np.int64)
     out_q, out_c, out_s = [], [], []
-    for q, terms in zip(query_ids, weights):
+    for row, (q, terms) in enumerate(zip(query_ids, weights)):
         scores[:] = 0
         for d in np.flatnonzero(terms):
             np.multiply(postings[d], terms[d], out=add)
@@ -70,7 +70,7 @@ def block_top(
         best = np.argpartition(keys, n - take)[n - take :] if take < n else np.arange(n)
         best = best[np.argsort(-keys[best], kind="stable")]
         best = best[~mine[best]][:k]
-        out_q += [q] * len(best)
+        out_q += [row] * len(best)
         out_c += ids[best].tolist()
         out_s += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores[best]]
     return np.array(out_q, np.int64), np.array(out_c, np.int64), np.array(out_s, np.int64)
@@ -85,11 +85,13 @@ def top_k(
     Components become floor(scale * x). Candidates with the query's own id are
     skipped; ties go to the smaller id. Rows with a null id, a null vector or a
     component that is null or not finite take no part. Missing trailing
-    components count as zero. Repeated rows are candidates of their own. Scores
+    components count as zero. Repeated rows are candidates of their own, and
+    queries of their own: each gives a list of ``k`` under its id. Scores
     beyond 64 bits are clamped. Other columns are not read; empty sides give an
     empty result.
     """
     queries = queries.select(F.col(ident).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(usable("_v", "_id"))
+    numbered = queries.withColumn("_n", F.monotonically_increasing_id())
     candidates = candidates.select(F.col(ident).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(
         usable("_v", "_id")
     )
@@ -98,22 +100,23 @@ def top_k(
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, times: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("_id", F.lit(own)), F.lit(blocks)).cast("int").alias(own)
-        return df.select("_id", "_v", mine, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+        return df.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
 
-    left = dealt(queries, "_qb", q_blocks, "_cb", c_blocks)
+    left = dealt(numbered, "_qb", q_blocks, "_cb", c_blocks)
     right = dealt(candidates, "_cb", c_blocks, "_qb", q_blocks)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         q = c = s = np.empty(0, np.int64)
+        ids, numbers = a["_id"].to_numpy(), a["_n"].to_numpy()
         if a.num_rows and b.num_rows:
             q, c, s = block_top(
-                a["_id"].to_numpy(), _matrix(a["_v"], scale), b["_id"].to_numpy(), _matrix(b["_v"], scale), k
+                ids, _matrix(a["_v"], scale), b["_id"].to_numpy(), _matrix(b["_v"], scale), k
             )
-        return pa.table({"query_id": q, ident: c, "score": s})
+        return pa.table({"query_id": ids[q], "_n": numbers[q], ident: c, "score": s})
 
     found = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(
-        score, f"query_id long, {ident} long, score long"
+        score, f"query_id long, _n long, {ident} long, score long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
+    order = Window.partitionBy("query_id", "_n").orderBy(F.desc("score"), ident)
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", ident, "score")
