@@ -57,6 +57,16 @@ def test_wrapper_has_repeats_optionals_and_slots(spark):
     assert [r.wrapper for r in infer_wrappers(pages).collect()] == ["( (body (h1 #)? (p #)))"]
 
 
+def test_compound_classes_of_text_elements_say_nothing(spark):
+    pages = [
+        '<article class="post comments-open ad-free"><p class="social-policy">kept</p></article>',
+        '<main class="sidebar-right article-share-enabled"><h2 class="menu-title">head</h2><p>kept</p></main>',
+        '<article class="comment"><p>reader</p></article>', '<article><p>kept</p><p class="ad">no</p></article>',
+    ]
+    rows = [(i, f"http://m{i}.org/", f"<body>{p}</body>", "", "") for i, p in enumerate(pages)]
+    assert [r[2] for r in read(spark, rows)] == ["kept", "head\n\nkept", "", "kept"]
+
+
 def test_copies_of_one_page_keep_its_text(spark):
     page = "<body><div class=story><h2>Head</h2><p>tale</p></div></body>"
     rows = [(i, f"http://h.org/{i}", page, "", "") for i in range(2)] + [(5, "http://i.org/", page, "", "")]

@@ -63,6 +63,8 @@ _CLOSES = {  # an opening element ends these if one is open
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"},
 }
 REGIONS = frozenset({"article", "main"})
+#: Elements that are text themselves: a word of a compound class, as in "comments-open", says nothing about them.
+_TEXT = REGIONS | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _SCOPE = frozenset("table ul ol dl article section div main body html".split())
 
 #: A wrapper: [key, optional, repeated, children]; a text slot has the key "#".
@@ -73,9 +75,11 @@ Node = list
 _PLAIN, _WEAK, _STRONG = 0, 1, 2
 
 
-def _mark(token: str, inside: bool) -> int:
+def _mark(token: str, inside: bool, name: str = "") -> int:
     """How one class, id or role marks its element; ``inside`` an article headers belong to it."""
     words = [x for x in _LABELS.split(token) if x]
+    if name in _TEXT and len(words) > 1:
+        return _PLAIN
     if not _ABOUT.isdisjoint(words[:-1]):
         return _PLAIN
     marks = MARKED.intersection(words)
@@ -94,7 +98,7 @@ def _key(name: str, attributes: str, inside: bool = False) -> tuple[str, int]:
     for kind, *values in _ATTRIBUTE.findall(attributes):
         tokens = [t for v in values for t in v.lower().split()]
         labels = sorted({x for t in tokens for x in _LABELS.split(t) if x and not x.isdigit()})
-        marked = max([marked, *(_mark(t, inside) for t in tokens)])
+        marked = max([marked, *(_mark(t, inside, name) for t in tokens)])
         if labels:
             found.append(f"{kind.lower()}={'.'.join(labels)}")
     return " ".join([name, *sorted(found)]), marked
