@@ -96,8 +96,8 @@ def shortened(docs):
     return [(i, t if t is None else kept_text(t, first, i)) for i, t in docs]
 
 
-def sampled(docs):
-    """The (doc_id, source, lang, text) rows that raking in floats and the id's hash keep."""
+def sampled(docs, rate):
+    """The (doc_id, source, lang, text) rows that raking in floats, the asked share and the id's hash keep."""
     cells = defaultdict(float)
     keys = []
     for _, source, lang, text in docs:
@@ -114,8 +114,8 @@ def sampled(docs):
             for k, v in w.items():
                 sums[k[a]] += v
             w = {k: v * shares[k[a]] / sums[k[a]] if sums[k[a]] else 0.0 for k, v in w.items()}
-    factor = {k: w[k] / start[k] for k in w}
-    chance = {k: f / max(factor.values()) for k, f in factor.items()}
+    wanted = {k: w[k] / sum(w.values()) * sum(start.values()) * rate for k in w}
+    chance = {k: min(1.0, wanted[k] / start[k]) for k in w}
     u = [int(hashlib.md5(str(d[0]).encode()).hexdigest()[:13], 16) / 2**52 for d in docs]
     return [d for d, k, x in zip(docs, keys, u) if x < chance.get(k, 0.0)]
 
@@ -241,10 +241,10 @@ def test_pipeline_equals_brute_force(spark, db):
     docs = db.sql("SELECT doc_id, source, lang, text FROM documents").fetchall()
     good = verdicts(rules_of(spark, spark.read.parquet(f"{FOLDER}/documents.parquet")), [(d[0], d[3]) for d in docs])
     docs = [d for d in docs if good[d[0]][1]]
-    label = groups([(d[0], d[3]) for d in docs])
-    docs = [d for d in docs if label[d[0]][1] == d[0]]
+    stays = {i for i, _, _, kept in test_minhash.brute([(d[0], d[3]) for d in docs], 80) if kept}
+    docs = [d for d in docs if d[0] in stays]
     text = dict(shortened([(d[0], d[3]) for d in docs]))
-    docs = sampled([(i, source, lang, text[i]) for i, source, lang, _ in docs])
+    docs = sampled([(i, source, lang, text[i]) for i, source, lang, _ in docs], corpus_pipeline.RATE)
     got = corpus_pipeline.run(spark, FOLDER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert docs and sorted(map(tuple, got.collect())) == encoded([(d[0], d[3]) for d in docs])
 

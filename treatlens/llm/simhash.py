@@ -10,7 +10,6 @@ the 64-entry words in which every counter has passed the radius.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -23,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treatlens.llm.components import components
-from treatlens.llm.tables import WORD, rows_of, tidy
+from treatlens.llm.sketches import band_keys
+from treatlens.llm.tables import WORD, chunks, rows_of, tidy
 from treatlens.session import cut_lineage
 
 BITS = 64
@@ -162,7 +162,7 @@ def _files(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, masks: list[int], depth: int = 0) -> Iterator[tuple]:
+def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, masks: list[int] | None = None, depth: int = 0) -> Iterator[tuple]:
     """Index pairs within ``radius`` among entries of equal key; none is lost.
 
     Files above ``FILE_ROWS`` are filed again under each of the given masks
@@ -173,7 +173,7 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, masks: list[int]
     keys, fps = keys[order], fps[order]
     sizes = np.array([b - a for a, b in _files(keys)], np.int64)
     size_of = np.repeat(sizes, sizes)
-    large = (size_of > FILE_ROWS) & (depth < 2)
+    large = (size_of > FILE_ROWS) & (depth < 2) & (masks is not None)
     if large.any():
         big = np.flatnonzero(large)
         code = np.unique(keys[big], return_inverse=True)[1].astype(np.uint64)
@@ -266,184 +266,235 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     return marked.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Parts by hash into which every band of sizes is dealt; each pair of parts is compared by itself.
-PARTS = 8
-_UNIT = ["band", "i", "j"]
+#: Bands and coordinates of one: at similarity 0.8 a pair misses all bands with probability 3e-6, above 0.85 below 3e-8.
+BANDS, BAND_ROWS = 24, 4
+#: Entries of one file that a task compares with as many others.
+UNIT_ROWS = 1024
+_UNIT = ["bucket", "i", "j"]
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for run in chunks([t or "" for t in texts], 1 << 20):
+            yield batch.column(0).slice(run[0], len(run)), [shingles(words_of(texts[i]), width, seed) for i in run]
 
 
 def _sketches(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """``doc_id``, ``fp``, ``size`` (distinct shingles) and ``words`` (digest of the word sequence)."""
+    """``doc_id``, ``fp``, ``size`` (distinct shingles), ``key`` (128 bits of their set) and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, digests = [], [], []
-            for text in rows_of(batch, "text"):
-                words = words_of(text)
-                hashes = shingles(words, width, seed)
-                fps.append(_majority(hashes))
-                sizes.append(len(np.unique(hashes)))
-                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+        for ids, listed in _shingle_sets(batches, width, seed):
+            sets = [np.unique(h) for h in listed]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
-                names=["doc_id", "fp", "size", "words"],
+                [
+                    ids, pa.array(np.array([_majority(h) for h in listed], np.uint64).view(np.int64)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([b.tobytes() for b in band_keys(sets, BANDS, BAND_ROWS)], pa.binary()),
+                ],
+                names=["doc_id", "fp", "size", "key", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long, size long, words string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long, size long, key binary, bands binary")
 
 
-def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """``node``, ``words`` and ``held``, the sorted distinct shingle hashes as bytes."""
+def _filed(classes: DataFrame) -> DataFrame:
+    """``bucket``, ``node``, ``fp``, ``size``: every class under each of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [words_of(t) for t in rows_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in texts], pa.string()),
-                    pa.array([np.unique(shingles(w, width, seed)).tobytes() for w in texts], pa.binary()),
-                ],
-                names=["node", "words", "held"],
-            )
+            bands = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(bands), *[batch.column(c).take(at) for c in range(3)]], names=["bucket", "node", "fp", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "node long, words string, held binary")
+    return classes.select("node", "fp", "size", "bands").mapInArrow(tidy(run), "bucket long, node long, fp long, size long")
 
 
-def candidates(unit: dict[str, np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Per entry of one unit the later entries within ``radius`` bits whose sizes allow the similarity.
+def _in_units(filed: DataFrame, parts: Column) -> DataFrame:
+    """Rows with ``i <= j``, the numbers of two parts of their bucket; each pair of parts is one unit."""
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = filed.select("*", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other"))
+    return dealt.withColumn("i", F.least("part", "_other")).withColumn("j", F.greatest("part", "_other")).drop("_other")
 
-    Each pair of entries is met in one unit only: a pair of one band in that
-    band's, others in the lower band's, where the higher band's entries are guests.
-    """
-    order = np.argsort(unit["guest"], kind="stable")
-    fps, sizes, guest, part = (unit[k][order] for k in ("fp", "size", "guest", "part"))
-    fps, n, home = fps.view(np.uint64), len(order), int((~guest).sum())
-    cross = unit["i"][0] != unit["j"][0]
-    step = max(1, (1 << 20) // max(1, n))
-    for at in range(0, home, step):
-        rows = slice(at, min(at + step, home))
-        near = np.bitwise_count(fps[rows, None] ^ fps[None, :]) <= radius
-        for a, b in _runs(*np.nonzero(near)):
-            x = at + a
-            b = b[b > x]
-            b = b[np.minimum(sizes[b], sizes[x]) >= similarity * np.maximum(sizes[b], sizes[x]) - 1e-9]
-            if cross:
-                b = b[part[b] != part[x]]
-            if len(b):
-                yield int(order[x]), order[b]
-
-
-def _runs(rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if len(rows):
-        for a, b in _files(rows):
-            yield int(rows[a]), columns[a:b]
-
-
-def confirmed(held: list[np.ndarray], found: Iterator[tuple[int, np.ndarray]], similarity: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the candidates whose sets reach the similarity."""
-    codes = np.unique(np.concatenate(held), return_inverse=True)[1].ravel()
-    ends = np.cumsum([len(h) for h in held])
-    sets = np.split(codes, ends[:-1])
-    mark = np.zeros(len(codes) + 1, bool)
-    label = np.arange(len(held))
-    for x, others in found:
-        mark[sets[x]] = True
-        for y in others[label[others] != label[x]].tolist():
-            if label[y] == label[x]:
-                continue
-            common = int(np.count_nonzero(mark[sets[y]]))
-            if common >= similarity * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
-                label[label == label[y]] = label[x]
-                yield x, y
-        mark[sets[x]] = False
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+
+def _units(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
+    """All rows of a task, those of a unit together and by node, with the number of their unit."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
-        return
+        return None
     whole = pa.Table.from_batches(parts)
-    whole = whole.take(pa.compute.sort_indices(whole, [(k, "ascending") for k in _UNIT]))
-    keys = np.stack([whole[k].to_numpy() for k in _UNIT])
-    cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), keys.shape[1]]):
-        yield whole.slice(a, b - a)
+    whole = whole.take(pa.compute.sort_indices(whole, [(k, "ascending") for k in [*_UNIT, "node"]]))
+    keys = np.stack([whole[k].to_numpy().astype(np.int64) for k in _UNIT])
+    return whole, np.concatenate([[0], np.cumsum((np.diff(keys, axis=1) != 0).any(axis=0))])
+
 
+def _candidates(rows: pa.Table, unit: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one unit within ``radius`` bits (by bit planes) whose sizes allow the similarity.
 
-_FIELDS = ["node", "words", "fp", "size", "band", "i", "j", "guest", "part"]
-_FIELD_TYPES = "node long, words string, fp long, size long, band long, i long, j long, guest boolean, part long"
+    Entries of one part meet in the unit of that part alone.
+    """
+    fps, sizes, part, i, j, node = (rows[c].to_numpy() for c in ("fp", "size", "part", "i", "j", "node"))
+    for a, b in close_pairs(unit, fps.view(np.uint64), radius):
+        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        fine = (low >= similarity * high - 1e-9) & ((part[a] != part[b]) | (i[a] == j[a])) & (node[a] != node[b])
+        if fine.any():
+            yield a[fine], b[fine]
 
 
-def _entries(unit: pa.Table) -> dict[str, np.ndarray]:
-    return {k: unit[k].to_numpy(zero_copy_only=False) for k in ("fp", "size", "i", "j", "guest", "part")}
+def confirmed(
+    values: np.ndarray, offsets: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
+) -> Iterator[tuple[int, int]]:
+    """Those candidates ``a, b`` (sorted by ``a``) whose sets reach the similarity; each makes two labels one.
+
+    Entry k's set is ``values[offsets[k] : offsets[k + 1]]``, never empty. An
+    entry with many candidates is held against the whole unit in one pass.
+    """
+    if not len(a):
+        return
+    codes = np.unique(values, return_inverse=True)[1].ravel()
+    sizes, label = np.diff(offsets), label.copy()
+    mark = np.zeros(len(codes), bool)
+    for low, high in _files(a):
+        x = int(a[low])
+        y = b[low:high][label[b[low:high]] != label[x]]
+        if not len(y):
+            continue
+        own = codes[offsets[x] : offsets[x + 1]]
+        mark[own] = True
+        if 16 * len(y) < len(sizes):
+            common = np.array([np.count_nonzero(mark[codes[offsets[k] : offsets[k + 1]]]) for k in y.tolist()])
+        else:
+            common = np.add.reduceat(mark[codes], offsets[:-1], dtype=np.int64)[y]
+        mark[own] = False
+        for k in y[common >= similarity * (sizes[x] + sizes[y] - common) - 1e-9].tolist():
+            if label[k] != label[x]:
+                label[label == label[k]] = label[x]
+                yield x, k
+
+
+def _set_of(docs: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
+    """``node`` and ``held``, the distinct shingle hashes, of the texts that stand for the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, listed in _shingle_sets(batches, width, seed):
+            held = pa.array([np.unique(h).view(np.int64) for h in listed], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), held], names=["node", "held"])
+
+    asked = nodes.select(F.col("node").alias("doc_id")).distinct()
+    return docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(tidy(run), "node long, held array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets reach the similarity."""
+    pairs = cut_lineage(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = cut_lineage(_set_of(docs, nodes, width, seed), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+    common = F.size(F.array_intersect("held_a", "held_b")).cast("double").alias("n")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", common, (F.size("held_a") + F.size("held_b")).alias("total"))
+    return met.filter(F.col("n") >= similarity * (F.col("total") - F.col("n")) - 1e-9).select("a", "b")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, similarity: float, radius: int, width: int = 5, seed: int = 42) -> DataFrame:
     """Links ``(a, b)`` between nodes that connect all pairs within ``radius`` bits and of at least this Jaccard similarity.
 
-    ``classes`` has one row ``(node, fp, size, words)`` per distinct word
-    sequence. Sizes of similar sets differ by less than the similarity, so
-    entries are filed by bands of sizes. Fingerprints alone are compared first;
-    shingle sets go only to the units in which their entry has a candidate, and
-    a link leaves a task only if the sets confirm it.
+    ``classes`` has one row ``(node, fp, size, bands)`` per distinct set. Classes
+    that share a band are compared by the bit planes of their fingerprints, in
+    units of bounded size; a pair of similarity 0.8 shares one but for 3e-6.
+    A unit first asks for the links of a spanning forest only; where candidates
+    of different components remain afterwards, they are all held against the
+    sets. Shingle sets are made only for nodes that have a candidate.
     """
-    wide = -math.log(similarity) * (1 + 1e-7)
-    part = F.pmod(F.xxhash64("node", "words"), F.lit(PARTS))
-    based = classes.filter("size > 0").select(
-        "node", "words", "fp", "size", F.floor(F.log(F.col("size").cast("double")) / F.lit(wide)).alias("_band"), part.alias("part")
-    )
-    filed = based.select(
-        "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_other")).select(
-        "node", "words", "fp", "size",
-        (F.col("_band") - F.col("guest").cast("long")).alias("band"),
-        F.least("part", F.col("_other").cast("long")).alias("i"),
-        F.greatest("part", F.col("_other").cast("long")).alias("j"),
-        "guest", "part",
+    filed = _filed(classes.filter("size > 0"))
+    several = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / UNIT_ROWS).cast("int")
+    filed = cut_lineage(filed.join(several, "bucket"), "filed")
+    columns = [*_UNIT, "node", "fp", "size", "part"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _units(batches)
+        if got is not None:
+            rows, unit = got
+            a, b = forest(rows.num_rows, _candidates(rows, unit, radius, similarity))
+            node = rows["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], names=["a", "b"])
+
+    asked = _in_units(filed, parts).select(*columns).repartition(*_UNIT).mapInArrow(tidy(ask), "a long, b long")
+    first = cut_lineage(_confirmed(asked, docs, similarity, width, seed), "links")
+    label = cut_lineage(components(first), "labels")
+    named = filed.filter("n > 2").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    mixed = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
+    columns = [*columns, "label"]
+
+    def remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _units(batches)
+        if got is None:
+            return
+        rows, unit = got
+        labels, hit = rows["label"].to_numpy(), np.zeros(rows.num_rows, bool)
+        for a, b in _candidates(rows, unit, radius, similarity):
+            open_ = labels[a] != labels[b]
+            hit[a[open_]] = hit[b[open_]] = True
+        hit &= np.bincount(unit)[unit] > 2  # the one pair of a unit has been asked for
+        yield from rows.filter(pa.array(hit)).select(columns).combine_chunks().to_batches()
+
+    left = _in_units(named.join(mixed, "bucket"), parts).select(*columns).repartition(*_UNIT).mapInArrow(
+        tidy(remain), "bucket long, i int, j int, node long, fp long, size long, part int, label long"
     )
+    left = cut_lineage(left, "remaining")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
-            hit = np.zeros(unit.num_rows, bool)
-            for x, others in candidates(_entries(unit), radius, similarity):
-                hit[x] = True
-                hit[others] = True
-            if hit.any():
-                yield from unit.filter(pa.array(hit)).select(_FIELDS).combine_chunks().to_batches()
-
-    met = cut_lineage(filed.repartition(*_UNIT).mapInArrow(tidy(compare), _FIELD_TYPES), "candidates")
-    asked = met.select(F.col("node").alias("doc_id")).distinct()
-    sets = _sets(docs.join(asked, "doc_id", "left_semi"), width, seed).dropDuplicates(["node", "words"])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
-            ids = unit["node"].to_numpy()
-            held = [np.frombuffer(h.as_py(), np.uint64) for h in unit["held"]]
-            pairs = list(confirmed(held, candidates(_entries(unit), radius, similarity), similarity))
-            if pairs:
-                at = np.array(pairs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
-
-    return met.join(sets, ["node", "words"]).repartition(*_UNIT).select(*_FIELDS, "held").mapInArrow(
-        tidy(confirm), "a long, b long"
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _units(batches)
+        if got is None:
+            return
+        rows, unit = got
+        label, node = rows["label"].to_numpy(), rows["node"].to_numpy()
+        first, last = [], []
+        for a, b in _candidates(rows, unit, radius, similarity):
+            open_ = label[a] != label[b]
+            first.append(a[open_])
+            last.append(b[open_])
+        if not first:
+            return
+        a, b = np.concatenate(first), np.concatenate(last)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        lists = rows["held"].combine_chunks()
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        out = []
+        for low, high in _files(unit):  # one unit after the other
+            pairs = slice(*np.searchsorted(a, [low, high]))
+            sets = values[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            for x, y in confirmed(*sets, label[low:high], a[pairs] - low, b[pairs] - low, similarity):
+                out.append((int(node[low + x]), int(node[low + y])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    settled = left.join(_set_of(docs, left, width, seed), "node").repartition(*_UNIT).select(*columns, "held").mapInArrow(
+        tidy(settle), "a long, b long"
     )
+    return first.unionByName(settled)
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, radius: int = 16, width: int = 5, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, radius: int = 28, width: int = 5, seed: int = 42) -> DataFrame:
     """``doc_id`` and ``component_id`` by links of at least this Jaccard similarity of ``width``-word shingles.
 
-    Texts of equal words are one node; texts without words are equal. Pairs over
-    ``radius`` bits apart are not met. Null ids get the component of equal texts.
+    Texts of equal shingle sets are one node; texts without words are equal. Pairs
+    over ``radius`` bits apart are not met. Null ids get the component of equal
+    sets. Of several texts with one id the links of each count for all.
     """
     marked = cut_lineage(_sketches(docs, width, seed), "sketches")
     classes = cut_lineage(
-        marked.filter("doc_id IS NOT NULL").groupBy("words", "fp", "size").agg(F.min("doc_id").cast("long").alias("node")),
+        marked.filter("doc_id IS NOT NULL").groupBy("key").agg(
+            F.min("doc_id").cast("long").alias("node"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands")
+        ),
         "classes",
-    )
+    )
     found = components(similar_links(docs, classes, similarity, radius, width, seed))
-    labels = classes.join(found, "node", "left").select("words", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(labels, "words", "left").select("doc_id", "component_id")
+    labels = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(labels, "key", "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, similarity: float | None = None) -> DataFrame:
