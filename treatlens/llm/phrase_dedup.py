@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treatlens.llm.tables import chunks, packed, tidy, unpacked
+from treatlens.llm.tables import chunks, tidy
 from treatlens.session import cut_lineage
 
 WINDOW, GRAM = 50, 20
@@ -40,7 +41,7 @@ HOT_PHRASES = 256
 BATCH_BYTES, HASH_BYTES = 6 << 20, 1 << 18
 #: Most text that one task takes on average, whatever the session's number of partitions.
 TASK_BYTES = 32 << 20
-SPANS, TRIGGERS, OPEN, TEXTS, PHRASES = range(5)
+SPANS, TRIGGERS, OPEN, TEXTS, PHRASES, ROWS = range(6)
 _ROW = "target int, kind int, payload binary"
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -304,18 +305,48 @@ def match_phrases(buckets: int) -> Callable:
     return run
 
 
+def _text_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], part: np.ndarray) -> bytes:
+    return seal(
+        id=ids[part], tag=tags[part], size=np.array([len(texts[i]) for i in part], np.int64),
+        text=np.frombuffer(b"".join(texts[i] for i in part), np.uint8),
+    )
+
+
+def _docs_in(payload: bytes) -> list[tuple[int, int, bytes]]:
+    got = unseal(payload)
+    ends = np.cumsum(got["size"]).tolist()
+    whole = got["text"].tobytes()
+    return [(i, t, whole[e - s : e]) for i, t, s, e in zip(got["id"].tolist(), got["tag"].tolist(), got["size"].tolist(), ends)]
+
+
 def pack_texts(buckets: int) -> Callable:
     """Documents as compressed blocks by document target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, texts in _texts_of(batches):
-            yield _rows([
-                (t, TEXTS, seal(
-                    id=ids[p], tag=tags[p], size=np.array([len(texts[i]) for i in p], np.int64),
-                    text=np.frombuffer(b"".join(texts[i] for i in p), np.uint8),
-                ))
-                for t, p in _dealt(doc_target(ids, buckets))
-            ])
+            yield _rows([(t, TEXTS, _text_block(ids, tags, texts, p)) for t, p in _dealt(doc_target(ids, buckets))])
+
+    return run
+
+
+def pack_rows(buckets: int) -> Callable:
+    """Documents with their other columns (a struct) as compressed blocks by document target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, tags, texts in _texts_of(iter([batch])):
+                rest = batch.column(2).slice(at, len(ids))
+                at += len(ids)
+                rows = []
+                for t, p in _dealt(doc_target(ids, buckets)):
+                    block = _text_block(ids, tags, texts, p)
+                    own = pa.RecordBatch.from_arrays([rest.take(pa.array(p))], names=["rest"])
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(own)
+                    rows.append((t, ROWS, len(block).to_bytes(8, "little") + block + sink.getvalue().to_pybytes()))
+                yield _rows(rows)
 
     return run
 
@@ -325,16 +356,10 @@ def _task(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple], dict[int, lis
     docs, other = [], {SPANS: [], OPEN: []}
     for batch in batches:
         for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            got = unseal(payload)
             if kind == TEXTS:
-                ends = np.cumsum(got["size"])
-                whole = got["text"].tobytes()
-                docs += [
-                    (i, t, whole[e - s : e])
-                    for i, t, s, e in zip(got["id"].tolist(), got["tag"].tolist(), got["size"].tolist(), ends.tolist())
-                ]
+                docs += _docs_in(payload)
             else:
-                other[kind].append(got)
+                other[kind].append(unseal(payload))
     return docs, other
 
 
@@ -428,31 +453,42 @@ def sort_phrases(buckets: int) -> Callable:
     return run
 
 
-def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents and all their spans -> what is left, with counts and hash."""
-    docs, other = _task(batches)
+def _by_doc(blocks: list[dict]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """Start and end of every covered span by document."""
     spans: dict[tuple[int, int], list[np.ndarray]] = {}
-    for got in other[SPANS]:
+    for got in blocks:
         edge = np.cumsum(got["run"])
         for i, t, n, e in zip(got["id"].tolist(), got["tag"].tolist(), got["run"].tolist(), edge.tolist()):
             spans.setdefault((i, t), []).append(np.stack([got["start"][e - n : e], got["end"][e - n : e]]))
+    return spans
+
+
+def _cut(text: bytes, held: list[np.ndarray] | None) -> tuple[bytes, int, int]:
+    """What is left of a text, bytes removed and maximal removed runs."""
+    if not held:
+        return text, 0, 0
+    kept, removed, runs, at = [], 0, 0, 0
+    both = np.concatenate(held, axis=1)
+    for a, b in both[:, np.argsort(both[0], kind="stable")].T.tolist():
+        if a > at or not runs:
+            kept.append(text[at:a])
+            runs += 1
+            removed -= a - b
+            at = b
+        elif b > at:
+            removed += b - at
+            at = b
+    kept.append(text[at:])
+    return b"".join(kept), removed, runs
+
+
+def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and all their spans -> what is left, with counts and hash."""
+    docs, other = _task(batches)
+    spans = _by_doc(other[SPANS])
     out = []
     for i, t, text in docs:
-        kept, removed, runs, at = [], 0, 0, 0
-        held = spans.get((i, t))
-        if held:
-            both = np.concatenate(held, axis=1)
-            for a, b in both[:, np.argsort(both[0], kind="stable")].T.tolist():
-                if a > at or not runs:
-                    kept.append(text[at:a])
-                    runs += 1
-                    removed -= a - b
-                    at = b
-                elif b > at:
-                    removed += b - at
-                    at = b
-        kept.append(text[at:])
-        left = b"".join(kept)
+        left, removed, runs = _cut(text, spans.get((i, t)))
         out.append((i, t, len(text), removed, runs, hashlib.sha256(left).hexdigest(), left))
         if len(out) == 2000:
             yield _result(out)
@@ -461,6 +497,22 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _result(out)
 
 
+def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and all their spans -> other columns, text that is left, whether it was cut."""
+    blocks, spans = [], []
+    for batch in batches:
+        for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            spans.append(unseal(payload)) if kind == SPANS else blocks.append(payload)
+    held = _by_doc(spans)
+    for payload in blocks:
+        size = int.from_bytes(payload[:8], "little")
+        docs = _docs_in(payload[8 : 8 + size])
+        rest = pa.ipc.open_stream(payload[8 + size :]).read_next_batch().column(0)
+        left = [_cut(text, held.get((i, t))) for i, t, text in docs]
+        texts = pa.array([b.decode("utf-8", "ignore") for b, _, _ in left], pa.string())
+        yield pa.RecordBatch.from_arrays([rest, texts, pa.array([n > 0 for _, n, _ in left], pa.bool_())], names=["rest", "left", "cut"])
+
+
 _RESULT = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -480,6 +532,19 @@ def _buckets(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
 
 
+def _step(rows: DataFrame, n: int, fn: Callable) -> DataFrame:
+    return rows.repartitionById(n, F.col("target")).mapInArrow(tidy(fn), _ROW)
+
+
+def _spans(named: DataFrame, n: int) -> DataFrame:
+    """Covered spans of ``named`` (doc_id, text), dealt out by document."""
+    matched = cut_lineage(_step(named.mapInArrow(tidy(parse_texts(n)), _ROW), n, match_phrases(n)), "phrases")
+    packed = named.mapInArrow(tidy(pack_texts(n)), _ROW)
+    opened = _step(packed.unionByName(matched.filter(f"kind = {OPEN}")), n, open_phrases(n))
+    settled = cut_lineage(_step(opened, n, sort_phrases(n)), "spans")
+    return matched.filter(f"kind = {SPANS}").unionByName(settled)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """What is left of every document.
 
@@ -493,16 +558,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = own.filter("doc_id IS NOT NULL")
     n = _buckets(named)
-
-    def step(rows: DataFrame, fn: Callable) -> DataFrame:
-        return rows.repartitionById(n, F.col("target")).mapInArrow(tidy(fn), _ROW)
-
-    matched = cut_lineage(step(named.mapInArrow(tidy(parse_texts(n)), _ROW), match_phrases(n)), "phrases")
     packed = named.mapInArrow(tidy(pack_texts(n)), _ROW)
-    opened = step(packed.unionByName(matched.filter(f"kind = {OPEN}")), open_phrases(n))
-    settled = cut_lineage(step(opened, sort_phrases(n)), "spans")
-    spans = matched.filter(f"kind = {SPANS}").unionByName(settled)
-    done = packed.unionByName(spans).repartitionById(n, F.col("target")).mapInArrow(tidy(cut_texts), _RESULT)
+    done = packed.unionByName(_spans(named, n)).repartitionById(n, F.col("target")).mapInArrow(tidy(cut_texts), _RESULT)
     loose = own.filter("doc_id IS NULL").select(
         "doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
@@ -515,21 +572,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with each text reduced to what is left, and ``n_chars``, where there is one, to its length.
 
     Every row stays, also with an empty text. Bytes of a character of which a
-    part was removed go with it. Null texts stay null. Columns may have any names.
+    part was removed go with it. Null texts stay null. Columns may have any
+    names; they travel with their text, so no join brings them together.
     """
-    left = remove_repeats(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL AND n_removed > 0")
-    done = left.mapInArrow(_as_text, "_id long, _tag long, _kept string").dropDuplicates(["_id", "_tag"])
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag")
-    both = packed(docs, F.col("doc_id").cast("long").alias("_id"), tag).join(done, ["_id", "_tag"], "left")
-    new = {"text": F.coalesce("_kept", "_row.text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), "_row.n_chars")
-    return unpacked(both, docs.columns, **new)
-
-
-def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [b.decode("utf-8", "ignore") for b in batch.column(6).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["_id", "_tag", "_kept"]
-        )
+    names = [c for c in docs.columns if c != "text"]
+    text = F.col("text")
+    rest = F.struct(text.isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), rest.alias("rest"))
+    named = own.filter("doc_id IS NOT NULL")
+    n = _buckets(named)
+    kind = T.StructType([own.schema["rest"], T.StructField("left", T.StringType()), T.StructField("cut", T.BooleanType())])
+    rows = named.mapInArrow(tidy(pack_rows(n)), _ROW).unionByName(_spans(named.select("doc_id", "text"), n))
+    done = rows.repartitionById(n, F.col("target")).mapInArrow(tidy(cut_rows), kind)
+    loose = own.filter("doc_id IS NULL").select("rest", F.col("text").alias("left"), F.lit(False).alias("cut"))
+    new = {"text": F.when(~F.col("rest.none"), F.col("left"))}
+    if "n_chars" in names:
+        held = F.col(f"rest.c{names.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("cut"), F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(held)
+    columns = [new[c] if c in new else F.col(f"rest.c{names.index(c)}") for c in docs.columns]
+    return done.unionByName(loose).select(*[v.alias(c) for v, c in zip(columns, docs.columns)])
