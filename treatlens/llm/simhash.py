@@ -143,6 +143,28 @@ class Planes:
         return at[row] * 64 + col
 
 
+    def within(self, fps: np.ndarray, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs ``i < j`` within ``radius`` bits, ``i`` from ``first`` to ``last``: these entries against all at once.
+
+        Counters of the whole block are carried on together; it is abandoned once all exceed the radius.
+        """
+        own = fps[first:last, None]
+        levels, shape = radius.bit_length(), (last - first, self.words.shape[1])
+        counter, passed = np.zeros((levels, *shape), np.uint64), np.zeros(shape, np.uint64)
+        for bit in range(BITS):
+            carry = self.words[bit] ^ (np.uint64(0) - (own >> np.uint64(bit) & np.uint64(1)))
+            for level in range(levels):
+                counter[level], carry = counter[level] ^ carry, counter[level] & carry
+            passed |= carry
+            if bit % 16 == 15 and not (~(passed | _above(counter.reshape(levels, -1), radius).reshape(shape))).any():
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+        hits = np.ascontiguousarray(~(passed | _above(counter.reshape(levels, -1), radius).reshape(shape)))
+        bits = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : self.n]
+        i, j = np.nonzero(bits)
+        later = j > i + first
+        return i[later] + first, j[later]
+
+
 def _above(counter: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter exceeds ``radius``, by a bitwise comparison from the highest bit."""
     above = np.zeros(counter.shape[1], np.uint64)
@@ -270,6 +292,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
 BANDS, BAND_ROWS = 24, 4
 #: Entries of one file that a task compares with as many others.
 UNIT_ROWS = 1024
+#: Entries up to which units are compared all together, step by step.
+SMALL_UNIT = 48
 _UNIT = ["bucket", "i", "j"]
 
 
@@ -330,13 +354,28 @@ def _units(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | N
     return whole, np.concatenate([[0], np.cumsum((np.diff(keys, axis=1) != 0).any(axis=0))])
 
 
+def _near(unit: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one unit within ``radius`` bits: small units all together, larger ones by blocks of entries."""
+    sizes = np.bincount(unit)
+    small = np.flatnonzero(sizes[unit] <= SMALL_UNIT)
+    for a, b in close_pairs(unit[small], fps[small], radius):
+        yield small[a], small[b]
+    for low, high in _files(unit):
+        if high - low > SMALL_UNIT:
+            own = fps[low:high]
+            planes = Planes(own)
+            for at in range(0, high - low, 128):
+                a, b = planes.within(own, at, min(at + 128, high - low), radius)
+                yield low + a, low + b
+
+
 def _candidates(rows: pa.Table, unit: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one unit within ``radius`` bits (by bit planes) whose sizes allow the similarity.
 
     Entries of one part meet in the unit of that part alone.
     """
     fps, sizes, part, i, j, node = (rows[c].to_numpy() for c in ("fp", "size", "part", "i", "j", "node"))
-    for a, b in close_pairs(unit, fps.view(np.uint64), radius):
+    for a, b in _near(unit, fps.view(np.uint64), radius):
         low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         fine = (low >= similarity * high - 1e-9) & ((part[a] != part[b]) | (i[a] == j[a])) & (node[a] != node[b])
         if fine.any():
