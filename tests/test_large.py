@@ -1,8 +1,12 @@
 """What keeps large tables within the driver's and a task's memory."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from treatlens.operators import ivgraph as I
 from treatlens.operators import transport as T
+from treatlens.operators.gram import BLOCK, matrix_from, moment_blocks
 from treatlens.operators.layout import to_sparse
 
 
@@ -36,3 +40,39 @@ def test_vectors_of_treatments_give_the_same_pairs(spark, toy):
         got = {r["cell_id"]: (r["w"], sorted(zip(r["idx"], r["val"]))) for r in rows.collect()}
         found.append((got, source))
     assert found[0] == found[1] and len(found[0][0]) == 90
+
+
+def test_draw_weights_make_one_digest_each():
+    text = str(I.draw_weights(F.col("cell_id"), 3, 7))
+    assert text.count("md5") == 1
+    assert "md5" not in text[: text.index("filter")] or text.index("md5") < text.index("filter")
+
+
+def test_products_of_used_columns(spark):
+    """Dense covariates over two tiles, keys out of order, an empty column and weights."""
+    rng = np.random.default_rng(5)
+    n, n_w, n_y, draws = 50, 70, 9, 2
+    w = rng.normal(size=(n, n_w))
+    w[:, 3] = 0.0
+    y = rng.poisson(0.7, (n, n_y)).astype(float)
+    y[:, 4] = 0.0
+    weights, key = rng.integers(0, 3, (n, draws)).astype(float), rng.integers(0, 4, n).astype(str)
+    frame = pd.DataFrame({
+        "w": list(w), "idx": [np.flatnonzero(r).tolist() for r in y], "val": [r[r != 0].tolist() for r in y],
+        "key": key, "weights": list(weights),
+    })
+    rows = spark.createDataFrame(frame, "w array<double>, idx array<int>, val array<double>, key string, weights array<double>")
+    blocks = moment_blocks(rows, n_w, n_y, draws, by_key=True, aligned=True).toPandas()
+    y_at = 2 * BLOCK
+    x = np.zeros((n, y_at + n_y))
+    x[:, 0], x[:, 1 : 1 + n_w], x[:, y_at:] = 1.0, w, y
+    for d in range(draws + 1):
+        own = weights[:, d - 1] if d else np.ones(n)
+        got = matrix_from(blocks[blocks["draw"] == d], "G", y_at + n_y)
+        np.testing.assert_allclose(got, x.T @ (x * own[:, None]), atol=1e-9)
+        sums = blocks[(blocks["draw"] == d) & (blocks["kind"] == "S")]
+        for k in np.unique(key):
+            found = np.zeros(3 * BLOCK)
+            for jb, vals in zip(sums[sums["key"] == k]["jb"], sums[sums["key"] == k]["vals"]):
+                found[jb * BLOCK : (jb + 1) * BLOCK] = vals
+            np.testing.assert_allclose(found[: y_at + n_y], (x * own[:, None])[key == k].sum(0), atol=1e-9)
