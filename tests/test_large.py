@@ -4,10 +4,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from treatlens import session
 from treatlens.operators import ivgraph as I
 from treatlens.operators import transport as T
 from treatlens.operators.gram import BLOCK, matrix_from, moment_blocks
 from treatlens.operators.layout import to_sparse
+from treatlens.plans import queries_tables, views
 
 
 def plan_of(df):
@@ -76,3 +78,27 @@ def test_products_of_used_columns(spark):
             for jb, vals in zip(sums[sums["key"] == k]["jb"], sums[sums["key"] == k]["vals"]):
                 found[jb * BLOCK : (jb + 1) * BLOCK] = vals
             np.testing.assert_allclose(found[: y_at + n_y], (x * own[:, None])[key == k].sum(0), atol=1e-9)
+
+
+def test_counts_are_dealt_by_rows_not_by_bytes(spark, monkeypatch):
+    """Parts follow the number of lines, and grouping by cell needs no further shuffle."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    folder = "/root/testdata/sf0.001"
+    lines = views.table(spark, folder, "lineitem").count()
+    expr = views.expr(spark, folder)
+    assert expr.rdd.getNumPartitions() >= lines // 500 > 4
+    grouped = expr.groupBy("cell_id").agg(F.sum("count").alias("n"))
+    assert plan_of(grouped).count("Exchange hashpartitioning") == 1
+    assert grouped.count() == views.table(spark, folder, "lineitem").select("l_orderkey").distinct().count()
+
+
+def test_fill_ids_deals_large_keys_to_more_files(spark, monkeypatch):
+    monkeypatch.setattr(queries_tables, "FILE_KEYS", 20_000)
+    made = []
+    monkeypatch.setattr(queries_tables, "scratch_path", lambda s, n: made.append(session.scratch_path(s, n)) or made[-1])
+    spark.range(100_001, 160_001).select(F.col("id").alias("o_orderkey"), F.col("id").cast("double").alias("o_totalprice")).createOrReplaceTempView("large_orders")
+    monkeypatch.setattr(queries_tables.V, "table", lambda s, folder, name: s.table("large_orders"))
+    rows = queries_tables.fill(spark, "").orderBy("cell_id").collect()
+    assert [int(r["o_totalprice"]) for r in rows] == list(range(100_001, 160_001))
+    sizes = spark.read.parquet(made[0]).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) <= 20_000
