@@ -20,6 +20,9 @@ from treatlens.sources import stages
 from treatlens.sources.fasta import read_fasta
 from treatlens.sources.wide_table import fill_ids, load_entity_table
 
+#: Keys of a file in ``fill_ids``.
+FILE_KEYS = 1_000_000
+
 SQL_DIRTY = """dirty AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber
     WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 2 THEN '-' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
     WHEN 3 THEN 'n/a' WHEN 4 THEN 'NaN' WHEN 5 THEN ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5 '
@@ -227,8 +230,12 @@ def fill(spark: SparkSession, folder: str) -> DataFrame:
     """Number the orders over several files: one of the first keys, then each about ten times larger than the last."""
     path = scratch_path(spark, "raw")
     orders = V.table(spark, folder, "orders")
-    file = F.least(F.lit(5), F.floor(F.log10(F.col("o_orderkey") + 1))).cast("int")
-    dealt = orders.repartitionById(6, file).sortWithinPartitions("o_orderkey")
+    # From the sixth on a file holds a fixed range of keys, so that no task sorts most of a large table.
+    key = F.col("o_orderkey")
+    small = F.floor(F.log10(key + 1)).cast("int")
+    file = F.when(small < 5, small).otherwise(F.expr(f"5 + o_orderkey div {FILE_KEYS}").cast("int"))
+    last = orders.agg(F.max("o_orderkey").alias("k")).first()["k"] or 0
+    dealt = orders.repartitionById(6 + last // FILE_KEYS, file).sortWithinPartitions("o_orderkey")
     dealt.select("o_totalprice").write.parquet(path)
     return fill_ids(spark.read.parquet(path), "raw")
 
