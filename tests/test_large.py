@@ -9,7 +9,7 @@ from treatlens.operators import ivgraph as I
 from treatlens.operators import transport as T
 from treatlens.operators.gram import BLOCK, matrix_from, moment_blocks
 from treatlens.operators.layout import to_sparse
-from treatlens.plans import queries_tables, views
+from treatlens.plans import queries_qc, queries_tables, views
 
 
 def plan_of(df):
@@ -102,3 +102,24 @@ def test_fill_ids_deals_large_keys_to_more_files(spark, monkeypatch):
     assert [int(r["o_totalprice"]) for r in rows] == list(range(100_001, 160_001))
     sizes = spark.read.parquet(made[0]).groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in sizes) <= 20_000
+
+
+def test_names_of_proxies_are_broadcast(spark, monkeypatch):
+    """A column of many cells is never one task's, with few batches or with many."""
+    opened = spark.range(300).select(F.col("id").alias("cell_id"), (F.col("id") % 30).cast("int").alias("i"), F.lit(1.0).alias("v"))
+    names = spark.range(30).select(
+        F.col("id").cast("int").alias("i"),
+        F.when(F.col("id") < 3, F.concat(F.lit("protocol="), "id")).otherwise(F.concat(F.lit("batch="), "id")).alias("name"),
+    )
+    monkeypatch.setattr(queries_qc, "broadcast_if_small", lambda df: session.broadcast_if_small(df, 20))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = queries_qc.with_names(opened, names.where("i < 10"))
+        many = queries_qc.with_names(opened, names)
+        assert "SortMergeJoin" not in plan_of(few) and "BroadcastHashJoin" in plan_of(few)
+        assert plan_of(many).count("BroadcastHashJoin") == 2
+        assert few.count() == 100 and many.count() == 300
+        found = {(r["i"], r["name"]) for r in many.collect()}
+        assert found == {(r["i"], r["name"]) for r in names.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -13,7 +13,7 @@ from treatlens.plans import queries_splits, queries_windows
 from treatlens.plans import views as V
 from treatlens.plans.queries_baselines import NAMES, Inputs, _control
 from treatlens.plans.queries_baselines import SQL as SQL_BASE
-from treatlens.plans.queries_qc import rounded
+from treatlens.plans.queries_qc import rounded, with_names
 from treatlens.plans.registry import query
 from treatlens.session import cut_lineage, scratch_path
 from treatlens.sources import stages
@@ -123,5 +123,5 @@ def iv_proxies(spark: SparkSession, folder: str) -> DataFrame:
     blank = F.when(F.col("batch") == "P", "  ").otherwise(F.col("batch"))
     packed, names = ivgraph.proxies(cells.withColumn("batch", blank))
     opened = packed.select("cell_id", F.explode(F.arrays_zip("widx", "wval")).alias("e"))
-    named = opened.select("cell_id", F.col("e.widx").alias("i"), F.col("e.wval").alias("v")).join(names, "i")
+    named = with_names(opened.select("cell_id", F.col("e.widx").alias("i"), F.col("e.wval").alias("v")), names)
     return named.select("cell_id", "name", rounded("v").alias("value"))
