@@ -1,5 +1,7 @@
 """What keeps large tables within the driver's and a task's memory."""
 
+import types
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from treatlens.operators import ivgraph as I
 from treatlens.operators import transport as T
 from treatlens.operators.gram import BLOCK, matrix_from, moment_blocks
 from treatlens.operators.layout import to_sparse
-from treatlens.plans import queries_qc, queries_tables, views
+from treatlens.plans import queries_models, queries_qc, queries_tables, views
 
 
 def plan_of(df):
@@ -123,3 +125,14 @@ def test_names_of_proxies_are_broadcast(spark, monkeypatch):
         assert found == {(r["i"], r["name"]) for r in names.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dense_rows_hold_every_cell_and_gene(spark, toy):
+    data = types.SimpleNamespace(expr=toy["expr"].select("cell_id", "gene_id", "z"), cells=toy["cells"])
+    preds = toy["cells"].select("perturbation_id").distinct().crossJoin(toy["genes"]).withColumn("p", F.lit(0.5))
+    done = queries_models._dense(data, preds)
+    got = {(r["cell_id"], r["gene_id"]): r["y"] for r in done.collect()}
+    assert len(got) == 90 * 12
+    for a, cell in enumerate(toy["ids"]):
+        for b, gene in enumerate(toy["gene_ids"]):
+            assert abs(got[cell, gene] - toy["z"][a, b]) < 1e-12
