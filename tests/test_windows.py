@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from treatlens.operators import windows as W
+from treatlens.sources import fasta
 from treatlens.sources.fasta import read_fasta
 
 SEQ = {"22": "ACGT" * 800, "1": "GATTACA" * 357 + "G"}
@@ -116,6 +117,26 @@ def test_fasta_plain_and_gzip(spark, tmp_path):
     assert [r[0] for r in W.available_contigs(chunks).collect()] == ["1", "22"]
 
 
+def test_fasta_runs_of_lines(spark, tmp_path, monkeypatch):
+    """A split is cut into runs of lines; headers and offsets are carried over runs and end with their file."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(fasta_text())
+    (tmp_path / "in" / "b.fa").write_text(">chr1 more\nAC\n\nGT\n")
+    saved, cut = [], fasta.cut_lineage
+
+    def kept(df, name="cut"):
+        saved.append(cut(df, name))
+        return saved[-1]
+
+    monkeypatch.setattr(fasta, "cut_lineage", kept)
+    monkeypatch.setattr(fasta, "RUN_LINES", 7)
+    assert joined(read_fasta(spark, str(tmp_path / "in"), 100)) == {"22": SEQ["22"] + "TTTT", "1": SEQ["1"] + "ACGT"}
+    assert saved[0].groupBy("_run").count().agg({"count": "max"}).first()[0] <= 7
+    (tmp_path / "in" / "b.fa").write_text("AC\n>chr1 more\nGT\n")
+    with pytest.raises(ValueError, match="before the first header"):
+        read_fasta(spark, str(tmp_path / "in"))
+
+
 def test_fasta_errors(spark, tmp_path):
     (tmp_path / "x.fa").write_text("ACGT\n>a\nA\n")
     with pytest.raises(ValueError, match="before the first header"):

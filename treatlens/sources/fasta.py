@@ -7,38 +7,45 @@ from pyspark.sql import functions as F
 
 from treatlens.functions import clean_text, contig_name
 from treatlens.operators.windows import CHUNK
-from treatlens.session import broadcast_if_small, cut_lineage
+from treatlens.session import broadcast_if_small, clustered, cut_lineage
 from treatlens.sources.numbering import scan_positions
 
+#: Lines that are sorted together.
+RUN_LINES = 16_384
+
 
 def _before(parts: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
-    """``value`` taken over all earlier scan partitions of the same keys."""
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(*keys, "_part", value.over(earlier).alias(out))
+    """``value`` taken over all earlier runs of lines of the same keys."""
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "_run", value.over(earlier).alias(out))
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(chrom, chunk_no, chunk_start, seq) from plain or gzip FASTA text.
 
-    The header of a line is the last one above it. It is found within each
-    scan partition and, for the lines before a partition's first header, from
-    the partitions before it, so a contig may span any number of partitions
-    and is never held as one value. A repeated header continues its contig.
-    A gzip file cannot be split and is read by one task.
+    The header of a line is the last one above it. Lines are taken in runs of
+    ``RUN_LINES``, and runs are dealt out evenly, so the memory of a task follows
+    neither the file nor its splits. The header is found within a run and, for the
+    lines before a run's first header, from the runs before it, so a contig may
+    span any number of runs and is never held as one value. A repeated header
+    continues its contig. A gzip file cannot be split and is read by one task.
     """
     lines = spark.read.text(path).select(
         F.input_file_name().alias("file"), clean_text(F.col("value")).alias("line")
     )
     rows = scan_positions(lines.where(F.col("line") != ""))
     header = F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>\s*(\S+)", 1))
-    tagged = rows.withColumn("_h", header)
+    # Splits are numbered in the order of files, so runs are in the order of the lines.
+    run = F.shiftleft("_part", 32) + F.floor(F.col("_pos") / RUN_LINES)
+    tagged = rows.select("file", run.alias("_run"), "_pos", "line", header.alias("_h"))
+    n_lines = rows.count()
 
-    within = Window.partitionBy("file", "_part").orderBy("_pos")
-    last_in_part = tagged.groupBy("file", "_part").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("_pos"))).alias("_l"))
-    carried = broadcast_if_small(_before(last_in_part, ["file"], F.last("_l", ignorenulls=True), "_c"))
-    named = tagged.join(carried, ["file", "_part"]).select(
-        "file",
-        "_part",
+    within = Window.partitionBy("_run").orderBy("_pos")
+    # One row per run.
+    last = tagged.groupBy("_run").agg(F.first("file").alias("file"), F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("_pos"))).alias("_l"))
+    carried = broadcast_if_small(_before(last, ["file"], F.last("_l", ignorenulls=True), "_c").drop("file"))
+    named = clustered(tagged.drop("file"), "_run", n_lines).join(carried, "_run").select(
+        "_run",
         "_pos",
         "line",
         F.col("_h").isNotNull().alias("_is_header"),
@@ -55,20 +62,17 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
         raise ValueError(f"no contig in {path}")
 
     body = saved.where(~F.col("_is_header")).select(
-        contig_name(F.col("_name")).alias("chrom"), "file", "_part", "_pos", F.upper("line").alias("line")
-    )
-    # Offset of each line within its contig: earlier lines of this partition
-    # plus the totals of the partitions before it.
-    place = F.struct("file", "_part")
-    per_part = body.groupBy("chrom", "file", "_part").agg(F.sum(F.length("line")).alias("_n"))
-    earlier = Window.partitionBy("chrom").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("chrom", "file", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
-    inside = (
-        Window.partitionBy("chrom", "file", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        contig_name(F.col("_name")).alias("chrom"), "_run", "_pos", F.upper("line").alias("line")
     )
+    # Offset of each line within its contig: earlier lines of this run
+    # plus the totals of the runs before it.
+    per_run = body.groupBy("chrom", "_run").agg(F.sum(F.length("line")).alias("_n"))
+    offsets = _before(per_run, ["chrom"], F.sum("_n"), "_o").select("chrom", "_run", F.coalesce("_o", F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_run", "chrom").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        body.withColumn("_in", F.coalesce(F.sum(F.length("line")).over(inside), F.lit(0)))
-        .join(offsets, ["chrom", "file", "_part"])
+        clustered(body, "_run", n_lines)
+        .withColumn("_in", F.coalesce(F.sum(F.length("line")).over(inside), F.lit(0)))
+        .join(broadcast_if_small(offsets), ["chrom", "_run"])
         .withColumn("_at", F.col("_o") + F.col("_in"))
     )
     span = F.sequence(
