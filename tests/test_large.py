@@ -1,9 +1,11 @@
 """What keeps large tables within the driver's and a task's memory."""
 
+import tracemalloc
 import types
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treatlens import session
@@ -136,3 +138,54 @@ def test_dense_rows_hold_every_cell_and_gene(spark, toy):
     for a, cell in enumerate(toy["ids"]):
         for b, gene in enumerate(toy["gene_ids"]):
             assert abs(got[cell, gene] - toy["z"][a, b]) < 1e-12
+
+
+class Taken(Exception):
+    """Carries the function that a frame was to be mapped with."""
+
+
+class Rows:
+    """A frame that hands out what a task would run, so that its memory can be read here."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        raise Taken(run)
+
+
+def held(run, n):
+    """Bytes at most of NumPy and of Arrow while a task runs over ``n`` batches of 2,000 rows."""
+    rng, arrow, base = np.random.default_rng(1), [0], pa.total_allocated_bytes()
+
+    def batches():
+        for _ in range(n):
+            lists = pa.array(np.arange(0, 8001, 4, dtype=np.int32))
+            idx = pa.ListArray.from_arrays(lists, pa.array(rng.permuted(np.tile(np.arange(25, dtype=np.int32), (2000, 1)), axis=1)[:, :4].ravel()))
+            val = pa.ListArray.from_arrays(lists, pa.array(rng.random(8000)))
+            w = pa.ListArray.from_arrays(pa.array(np.arange(2001, dtype=np.int32)), pa.array(rng.random(2000)))
+            yield pa.RecordBatch.from_arrays([w, idx, val], names=["w", "idx", "val"])
+            arrow[0] = max(arrow[0], pa.total_allocated_bytes() - base)
+
+    tracemalloc.start()
+    for _ in run(batches()):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return np.array([peak, arrow[0]])
+
+
+def test_python_of_products_and_scores_does_not_grow_with_the_rows():
+    model = T.LinearTransport(np.ones((2, 25)), np.zeros(25), np.ones(25), 1)
+    for made in (
+        lambda: T.model_moments(Rows(), model, None),
+        lambda: moment_blocks(Rows(), 1, 25, aligned=True, between=False),
+        lambda: moment_blocks(Rows(), 0, 25),
+    ):
+        try:
+            made()
+        except Taken as taken:
+            run = taken.args[0]
+        held(run, 2)
+        few, many = held(run, 40), held(run, 400)
+        assert (many < 1.2 * few + 1_000_000).all(), (few, many)
