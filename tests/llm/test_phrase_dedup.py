@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from treatlens.llm import phrase_dedup
@@ -82,3 +83,20 @@ def test_columns_come_back_with_shortened_texts(spark, docs):
     assert out.columns == frame.columns
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
     assert got == sorted([(1, t + "tail", 44), (2, "head", 4), (3, None, None), (None, t, 40), (4, "", 0), (4, "", 0)], key=str)
+
+
+def test_blocks_of_few_records_are_small():
+    """A batch makes a block for each target, so that their heads would outgrow the records on large tables."""
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 9, 500):
+        block = {"id": np.arange(n) * 7, "run": np.ones(n, np.int32), "n": rng.integers(1, 31, n).astype(np.uint8),
+                 "key": rng.integers(0, 2**32, n).astype(np.uint32), "high": rng.integers(0, 2**16, n).astype(np.uint16)}
+        sealed = phrase_dedup.seal(**block)
+        got = phrase_dedup.unseal(sealed)
+        assert list(got) == list(block) and all(got[k].dtype == v.dtype and (got[k] == v).all() for k, v in block.items())
+        assert len(sealed) < 200 + 10 * n
+
+
+def test_texts_are_told_apart_only_where_ids_repeat(docs):
+    assert not phrase_dedup._tagged(docs(texts(3)))
+    assert phrase_dedup._tagged(docs([(1, "a"), (2, "b"), (1, "c")]))

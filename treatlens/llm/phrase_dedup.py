@@ -39,6 +39,8 @@ WINDOW, GRAM = 50, 20
 HOT_PHRASES = 256
 #: Bytes of text handled at once in a task, and hashed at once.
 BATCH_BYTES, HASH_BYTES = 6 << 20, 1 << 18
+#: Bytes of text dealt out at once: larger blocks for each of many targets compress better.
+PACK_BYTES = 24 << 20
 #: Most text that one task takes on average, whatever the session's number of partitions.
 TASK_BYTES = 32 << 20
 SPANS, TRIGGERS, OPEN, TEXTS, PHRASES, ROWS = range(6)
@@ -51,20 +53,31 @@ _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], n
 
 
 def seal(**columns: np.ndarray) -> bytes:
-    """Arrays of any lengths as one compressed block."""
-    batch = pa.RecordBatch.from_arrays(
-        [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in columns.values()],
-        names=list(columns),
-    )
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    """Arrays of any lengths as one compressed block.
+
+    Blocks are many and small, one per batch and target, so that the head is one
+    short line. Bytes of one place of all numbers stand together, and what zstd
+    does not shorten is kept as it is.
+    """
+    zstd, head, body = pa.Codec("zstd", compression_level=3), [], []
+    for name, v in columns.items():
+        raw = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+        packed = zstd.compress(raw, asbytes=True)
+        body.append(min(raw, packed, key=len))
+        head.append(f"{name} {v.dtype.str} {len(v)} {len(body[-1])}")
+    return ";".join(head).encode() + b"\n" + b"".join(body)
 
 
 def unseal(payload: bytes) -> dict[str, np.ndarray]:
-    batch = pa.ipc.open_stream(payload).read_next_batch()
-    return {n: c.flatten().to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns)}
+    at = payload.index(b"\n") + 1
+    zstd, out = pa.Codec("zstd"), {}
+    for column in payload[: at - 1].decode().split(";"):
+        name, kind, n, size = column.split(" ")
+        whole, part = int(n) * np.dtype(kind).itemsize, payload[at : at + int(size)]
+        raw = part if len(part) == whole else zstd.decompress(part, whole, asbytes=True)
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, int(n)).T).view(kind).reshape(-1) if whole else np.empty(0, kind)
+        at += int(size)
+    return out
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -80,11 +93,11 @@ def _runs(ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
     first = np.flatnonzero(new)
-    return {"id": ids[first], "tag": tags[first], "run": np.diff(np.append(first, len(ids))).astype(np.int32)}
+    return {"id": np.diff(ids[first], prepend=0), "tag": tags[first], "run": np.diff(np.append(first, len(ids))).astype(np.int32)}
 
 
 def _docs_of(got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(got["id"], got["run"]), np.repeat(got["tag"], got["run"])
+    return np.repeat(np.cumsum(got["id"]), got["run"]), np.repeat(got["tag"], got["run"])
 
 
 def _joined(parts: list[dict[str, np.ndarray]], names: Iterable[str]) -> dict[str, np.ndarray]:
@@ -217,22 +230,26 @@ def first_docs(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
 # --- the steps, each over one task's rows ---------------------------------
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Ids, content tags and UTF-8 bytes of documents, some ``BATCH_BYTES`` at a time."""
+def _tag(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, 42)
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch], tagged: bool, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, content tags (zeros unless ``tagged``) and UTF-8 bytes of documents, some ``size`` bytes at a time."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         texts = batch.column(1).cast(pa.binary()).to_pylist()
-        for run in chunks(texts, BATCH_BYTES):
+        for run in chunks(texts, size):
             own = [texts[i] for i in run]
-            tags = np.array([xxhash.xxh64_intdigest(t, 42) for t in own], np.uint64).view(np.int64)
+            tags = np.array([_tag(t) if tagged else 0 for t in own], np.uint64).view(np.int64)
             yield ids[run], tags, own
 
 
-def parse_texts(buckets: int) -> Callable:
+def parse_texts(buckets: int, tagged: bool) -> Callable:
     """Documents -> phrases by trigger, and spans that a document of the same task settles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tags, texts in _texts_of(batches):
+        for ids, tags, texts in _texts_of(batches, tagged, BATCH_BYTES):
             got = cut_phrases(texts)
             doc_ids = ids[got["doc"]]
             same = np.argsort(got["key"] ^ _mix(got["phrase"]), kind="stable")
@@ -319,23 +336,23 @@ def _docs_in(payload: bytes) -> list[tuple[int, int, bytes]]:
     return [(i, t, whole[e - s : e]) for i, t, s, e in zip(got["id"].tolist(), got["tag"].tolist(), got["size"].tolist(), ends)]
 
 
-def pack_texts(buckets: int) -> Callable:
+def pack_texts(buckets: int, tagged: bool) -> Callable:
     """Documents as compressed blocks by document target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tags, texts in _texts_of(batches):
+        for ids, tags, texts in _texts_of(batches, tagged, PACK_BYTES):
             yield _rows([(t, TEXTS, _text_block(ids, tags, texts, p)) for t, p in _dealt(doc_target(ids, buckets))])
 
     return run
 
 
-def pack_rows(buckets: int) -> Callable:
+def pack_rows(buckets: int, tagged: bool) -> Callable:
     """Documents with their other columns (a struct) as compressed blocks by document target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, tags, texts in _texts_of(iter([batch])):
+            for ids, tags, texts in _texts_of(iter([batch]), tagged, PACK_BYTES):
                 rest = batch.column(2).slice(at, len(ids))
                 at += len(ids)
                 rows = []
@@ -458,7 +475,7 @@ def _by_doc(blocks: list[dict]) -> dict[tuple[int, int], list[np.ndarray]]:
     spans: dict[tuple[int, int], list[np.ndarray]] = {}
     for got in blocks:
         edge = np.cumsum(got["run"])
-        for i, t, n, e in zip(got["id"].tolist(), got["tag"].tolist(), got["run"].tolist(), edge.tolist()):
+        for i, t, n, e in zip(np.cumsum(got["id"]).tolist(), got["tag"].tolist(), got["run"].tolist(), edge.tolist()):
             spans.setdefault((i, t), []).append(np.stack([got["start"][e - n : e], got["end"][e - n : e]]))
     return spans
 
@@ -489,7 +506,8 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for i, t, text in docs:
         left, removed, runs = _cut(text, spans.get((i, t)))
-        out.append((i, t, len(text), removed, runs, hashlib.sha256(left).hexdigest(), left))
+        tag = t or int(np.uint64(_tag(text)).view(np.int64))
+        out.append((i, tag, len(text), removed, runs, hashlib.sha256(left).hexdigest(), left))
         if len(out) == 2000:
             yield _result(out)
             out = []
@@ -532,14 +550,19 @@ def _buckets(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
 
 
+def _tagged(named: DataFrame) -> bool:
+    """Whether rows share a ``doc_id``, so that only their texts' tags tell them apart."""
+    return not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
 def _step(rows: DataFrame, n: int, fn: Callable) -> DataFrame:
     return rows.repartitionById(n, F.col("target")).mapInArrow(tidy(fn), _ROW)
 
 
-def _spans(named: DataFrame, n: int) -> DataFrame:
+def _spans(named: DataFrame, n: int, tagged: bool) -> DataFrame:
     """Covered spans of ``named`` (doc_id, text), dealt out by document."""
-    matched = cut_lineage(_step(named.mapInArrow(tidy(parse_texts(n)), _ROW), n, match_phrases(n)), "phrases")
-    packed = named.mapInArrow(tidy(pack_texts(n)), _ROW)
+    matched = cut_lineage(_step(named.mapInArrow(tidy(parse_texts(n, tagged)), _ROW), n, match_phrases(n)), "phrases")
+    packed = named.mapInArrow(tidy(pack_texts(n, tagged)), _ROW)
     opened = _step(packed.unionByName(matched.filter(f"kind = {OPEN}")), n, open_phrases(n))
     settled = cut_lineage(_step(opened, n, sort_phrases(n)), "spans")
     return matched.filter(f"kind = {SPANS}").unionByName(settled)
@@ -557,9 +580,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = own.filter("doc_id IS NOT NULL")
-    n = _buckets(named)
-    packed = named.mapInArrow(tidy(pack_texts(n)), _ROW)
-    done = packed.unionByName(_spans(named, n)).repartitionById(n, F.col("target")).mapInArrow(tidy(cut_texts), _RESULT)
+    n, tagged = _buckets(named), _tagged(named)
+    packed = named.mapInArrow(tidy(pack_texts(n, tagged)), _ROW)
+    done = packed.unionByName(_spans(named, n, tagged)).repartitionById(n, F.col("target")).mapInArrow(tidy(cut_texts), _RESULT)
     loose = own.filter("doc_id IS NULL").select(
         "doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
@@ -580,9 +603,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rest = F.struct(text.isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), rest.alias("rest"))
     named = own.filter("doc_id IS NOT NULL")
-    n = _buckets(named)
+    n, tagged = _buckets(named), _tagged(named)
     kind = T.StructType([own.schema["rest"], T.StructField("left", T.StringType()), T.StructField("cut", T.BooleanType())])
-    rows = named.mapInArrow(tidy(pack_rows(n)), _ROW).unionByName(_spans(named.select("doc_id", "text"), n))
+    rows = named.mapInArrow(tidy(pack_rows(n, tagged)), _ROW).unionByName(_spans(named.select("doc_id", "text"), n, tagged))
     done = rows.repartitionById(n, F.col("target")).mapInArrow(tidy(cut_rows), kind)
     loose = own.filter("doc_id IS NULL").select("rest", F.col("text").alias("left"), F.lit(False).alias("cut"))
     new = {"text": F.when(~F.col("rest.none"), F.col("left"))}
