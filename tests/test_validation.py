@@ -101,3 +101,14 @@ def test_embedding_shape(spark):
     vec = t["vectors"].where("cell_id <> 'a'")
     got = {r["field"]: r["n_bad"] for r in C.check_embeddings(vec, t["cells"], "cell_state_embedding", 3).collect()}
     assert got == {"cell_state_embedding.rows": 1, "cell_state_embedding.extra": 0, "cell_state_embedding.dim": 2}
+
+
+def test_ids_of_cells_are_not_broadcast(spark, capsys, tmp_path):
+    """Equal vectors and bare ids make small files, whose tables may hold all cells."""
+    made = {}
+    for name in ("vectors", "cells"):
+        tables(spark)[name].write.parquet(str(tmp_path / name))
+        made[name] = spark.read.parquet(str(tmp_path / name))
+    C.check_embeddings(made["vectors"], made["cells"], "sequence_embedding").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
